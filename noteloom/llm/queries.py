@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from noteloom.llm import risk_rules
+from noteloom.llm.langid import identify
 from noteloom.llm.packing import pack_documents
+from noteloom.llm.quality_gam import classify
 from noteloom.llm.token_store import read_store, write_store
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,13 +25,77 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(documents.select("doc_id"), folder, manifest)
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0, capacity=2048)
 
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op4_quality_gam": op4_quality_gam,
+    "op6_risk_controlled_rules": op6_risk_controlled_rules,
+    "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+
+def rules_sql() -> str:
+    """The rules, their binomial bounds and the verdicts in DuckDB."""
+    share = risk_rules.RISK / len(risk_rules.RULES)
+    tests = [(rule, c) for rule, (*_, grid) in risk_rules.RULES.items() for c in grid]
+
+    def rejects(rule: str, cutoff: str) -> str:
+        left, factor, right, more, _ = risk_rules.RULES[rule]
+        return f"{factor} * {left} {'>' if more else '<'} {cutoff} * {right}"
+
+    def tail(k: str) -> str:
+        term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))"
+        return f"CASE WHEN {k} < n * {share!r} THEN list_sum(list_transform(range(0, {k} + 1), lambda i: {term})) ELSE 1 END"
+
+    seen = ", ".join(f"CAST(count_if({rejects(rule, str(c))}) AS BIGINT) AS {rule}_{c}" for rule, c in tests)
+    cutoffs = ", ".join(f"coalesce({', '.join(f'CASE WHEN {tail(f"{rule}_{c}")} <= {risk_rules.DELTA} / (strata * {len(tests)}) THEN {c} END' for c in grid)}) AS {rule}" for rule, (*_, grid) in risk_rules.RULES.items())
+    fires = " OR ".join(f"coalesce({rejects(rule, f'cutoffs.{rule}')}, false)" for rule in risk_rules.RULES)
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), placed AS (
+  SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM texts WHERE len(words) > 2
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM placed
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY doc_id
+), counts AS (
+  SELECT t.doc_id, lang, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM texts t LEFT JOIN covered c ON t.doc_id = c.doc_id
+), based AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+), good AS (
+  SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+), seen AS (
+  SELECT lang, count(*) AS n, {seen} FROM based JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang
+), cutoffs AS (
+  SELECT lang, {cutoffs} FROM seen, (SELECT count(*) AS strata FROM seen)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fires}) AS kept
+FROM based LEFT JOIN cutoffs USING (lang)"""
+
+
+ORACLES: dict[str, str] = {"op6_risk_controlled_rules": rules_sql()}
