@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm import risk_rules
+from noteloom.llm.extendible import shard_documents
 from noteloom.llm.langid import identify
+from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
 from noteloom.llm.quality_gam import classify
 from noteloom.llm.token_store import read_store, write_store
@@ -25,10 +27,21 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(documents.select("doc_id"), folder, manifest)
 
 
+def op3_media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+SHARD_LIMIT = 4 << 20
+
+
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), SHARD_LIMIT)
+
+
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +56,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op3_media_documents": op3_media_documents,
     "op4_quality_gam": op4_quality_gam,
+    "op5_extendible_sharding": op5_extendible_sharding,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -98,4 +113,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based LEFT JOIN cutoffs USING (lang)"""
 
 
-ORACLES: dict[str, str] = {"op6_risk_controlled_rules": rules_sql()}
+def sharding_sql() -> str:
+    """A row's bucket is its shortest address prefix whose rows fit the limit (keys are single rows here)."""
+    return f"""
+WITH sized AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS address FROM documents
+), prefixes AS (
+  SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, address >> (60 - depth) AS prefix FROM sized, range(0, 61) d(depth)
+), buckets AS (
+  SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY depth, prefix) AS BIGINT) AS shard_bytes FROM prefixes
+)
+SELECT doc_id, n_bytes, depth, prefix, CAST(0 AS BIGINT) AS part, shard_bytes FROM buckets
+WHERE shard_bytes <= {SHARD_LIMIT} OR depth = 60
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
+
+
+ORACLES: dict[str, str] = {"op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
