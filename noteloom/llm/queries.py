@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm import risk_rules
 from noteloom.llm.extendible import shard_documents
+from noteloom.llm.jaccard_join import near_duplicates
 from noteloom.llm.langid import identify
 from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     folder, manifest = write_store(documents, WORD_BPE, end_id=1)
@@ -55,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_store": op2_token_store,
     "op3_media_documents": op3_media_documents,
     "op4_quality_gam": op4_quality_gam,
