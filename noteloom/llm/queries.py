@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm import risk_rules
 from noteloom.llm.extendible import shard_documents
 from noteloom.llm.jaccard_join import near_duplicates
+from noteloom.llm.kn_lm import score_corpus
 from noteloom.llm.langid import identify
 from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
@@ -51,6 +52,10 @@ def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_quality_gam": op4_quality_gam,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
+    "op7_kneser_ney": op7_kneser_ney,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
