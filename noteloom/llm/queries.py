@@ -12,9 +12,11 @@ from noteloom.llm.kn_lm import score_corpus
 from noteloom.llm.langid import identify
 from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
+from noteloom.llm.piece_sampling import digests, sample_segmentations
 from noteloom.llm.quality_gam import classify
 from noteloom.llm.token_store import read_store, write_store
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +58,12 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all turns of conversations: the texts that are tuned on with sampled segmentations."""
+    turns = table(spark, sf_dir, "conversations")
+    return digests(sample_segmentations(turns, ["conv_id", "turn"], "text", PIECES, k=3), ["conv_id", "turn"])
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,7 @@ QUERIES = {
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
