@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame
 from noteloom.llm.shared import only, slices
 
 RANK_SHIFT = 10.0
+KEEP = 30_000
+_SEGMENT = re.compile("\u2581+[^\u2581]*|[^\u2581]+")
 _lattices: dict[tuple[str, float], "Lattice"] = {}
 SAMPLE = "sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
@@ -54,56 +57,83 @@ class Lattice:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 rank = min(-p.get_score(i), float(size))
                 self.pieces[piece] = (i, -math.log(rank + RANK_SHIFT) / temperature)
+        self.kept: dict[str, tuple] = {}
         self.longest = max(map(len, self.pieces))
         self.byte_weight = -math.log(size + RANK_SHIFT) / temperature
 
-    def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """From each position: (end, ids, weight) of the pieces that begin there."""
+    def _segment(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+        """Of one segment: pieces from each position as (length, ids, weight), and the log-total from there to its end."""
         out, get, n = [], self.pieces.get, len(text)
         for i in range(n):
             here = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                got = get(text[i:j])
+            for d in range(1, min(n - i, self.longest) + 1):
+                got = get(text[i : i + d])
                 if got:
-                    here.append((j, (got[0],), got[1]))
-            if not here or here[0][0] != i + 1:
+                    here.append((d, (got[0],), got[1]))
+            if not here or here[0][0] != 1:
                 raw = text[i].encode()
-                here.append((i + 1, tuple(self.bytes[b] for b in raw), self.byte_weight * len(raw)))
+                here.append((1, tuple(self.bytes[b] for b in raw), self.byte_weight * len(raw)))
             out.append(here)
-        return out
-
-    def sample(self, text: str | None, k: int, seed: str) -> list[tuple[list[int], float, float, float]]:
-        """k distinct segmentations at most: (ids, log-probability, perturbed one, inclusion score), largest perturbed first."""
-        text = self.processor.normalize(text or "")
-        edges, n = self.edges(text), len(text)
         below = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            terms = [w + below[j] for j, _, w in edges[i]]
+            terms = [w + below[i + d] for d, _, w in out[i]]
             top = max(terms)
             below[i] = top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top
-        draw, log = random.Random(seed).random, math.log
+        return out, below[:n]
+
+    def edges(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+        """From each position the pieces that begin there, and the log-total of all ways to the end.
+
+        Only runs of word marks stand after a piece's first character, so no piece crosses into
+        the next mark: segments between marks are independent, and met ones are kept.
+        """
+        parts = _SEGMENT.findall(text)
+        out: list = []
+        totals: list[list[float]] = []
+        for part in parts:
+            got = self.kept.get(part)
+            if got is None:
+                if len(self.kept) >= KEEP:
+                    self.kept.clear()
+                got = self.kept[part] = self._segment(part)
+            out += got[0]
+            totals.append(got[1])
+        below, after = [], 0.0
+        for part in reversed(totals):
+            below += [x + after for x in reversed(part)]
+            after = below[-1]
+        below.reverse()
+        below.append(0.0)
+        return out, below
+
+    def sample(self, text: str | None, k: int, seed: str) -> list[tuple[list[int], float, float, float]]:
+        """k distinct segmentations at most: (ids, log-probability, perturbed one, inclusion score), largest perturbed first."""
+        text = self.processor.normalize(text or "")
+        n = len(text)
+        edges, below = self.edges(text)
+        draw, log, exp = random.Random(seed).random, math.log, math.exp
         total = below[0]
-        gumbel = lambda: -log(-log(draw() or 5e-324))
         # (-maximum, order of creation, position, weight so far, (ids of the last piece, its parent))
-        heap = [(-gumbel(), 0, 0, 0.0, None)]
+        heap = [(log(-log(draw() or 5e-324)), 0, 0, 0.0, None)]
         made, found = 1, []
         while heap and len(found) <= k:
             best, _, i, weight, link = heapq.heappop(heap)
             while i < n and len(edges[i]) == 1:  # the only way on keeps the maximum
-                j, ids, w = edges[i][0]
-                i, weight, link = j, weight + w, (ids, link)
+                d, ids, w = edges[i][0]
+                i, weight, link = i + d, weight + w, (ids, link)
             if i == n:
                 found.append((-best, weight - total, link))
                 continue
-            g = [weight + w + below[j] - total + gumbel() for j, _, w in edges[i]]
+            so_far = weight - total
+            g = [so_far + w + below[i + d] - log(-log(draw() or 5e-324)) for d, _, w in edges[i]]
             top = max(g)
-            for (j, ids, w), own in zip(edges[i], g):
+            for (d, ids, w), own in zip(edges[i], g):
                 if own == top:
                     bound = -best
                 else:
-                    v = -best - own + math.log1p(-math.exp(own - top)) if own > top - 700 else -best - own
-                    bound = -best - max(0.0, v) - math.log1p(math.exp(-abs(v)))
-                heapq.heappush(heap, (-bound, made, j, weight + w, (ids, link)))
+                    v = -best - own + math.log1p(-exp(own - top)) if own > top - 700 else -best - own
+                    bound = -best - max(0.0, v) - math.log1p(exp(-abs(v)))
+                heapq.heappush(heap, (-bound, made, i + d, weight + w, (ids, link)))
                 made += 1
         threshold = found[k][0] if len(found) > k else -math.inf
         out = []
