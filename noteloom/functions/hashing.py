@@ -20,8 +20,15 @@ def djb2(text: Column) -> Column:
     """64-bit djb2 (h * 33 + byte) over UTF-8 bytes, as hex without leading zeros."""
     raw = F.hex(F.encode(text, "UTF-8"))
     values = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substr(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
-    folded = F.aggregate(values, F.lit(5381).cast("long"), lambda h, b: F.shiftleft(h, 5) + h + b)
-    return F.lower(F.hex(F.when(F.octet_length(text) == 0, F.lit(5381).cast("long")).otherwise(folded)))
+    # Two 32-bit halves, so that nothing overflows.
+    start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(5381).cast("long").alias("lo"))
+
+    def step(s: Column, b: Column) -> Column:
+        low = s["lo"] * 33 + b
+        return F.struct((s["hi"] * 33 + F.shiftright(low, 32)).bitwiseAND(MASK).alias("hi"), low.bitwiseAND(MASK).alias("lo"))
+
+    digits = F.aggregate(values, start, step, lambda s: F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0")))
+    return F.lower(F.regexp_replace(F.when(F.octet_length(text) == 0, F.lit("1505")).otherwise(digits), "^0+(?=.)", ""))
 
 
 def content_key(text: Column, digits: int = 64) -> Column:

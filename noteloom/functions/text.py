@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ QUESTION_STARTS = (
 CAPTURE_FOLDERS = ("inbox", "capture", "fleeting", "scratch", "rascunho", "captura", "quick", "daily", "diário", "diario", "log", "notas-rápidas")
 SOURCE_KEYS = ("source", "author", "authors", "url", "doi", "isbn", "journal", "book", "livro", "fonte", "autor", "artigo", "paper", "reference", "referência", "referencia")
 
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 _HEADER = r"\A---\n[\s\S]*?\n---\n"
 # A word boundary that knows ASCII word characters only.
 _EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
@@ -62,16 +70,18 @@ def fold(text: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """Light stemmer; null below two characters."""
-    t = fold(token)
-    plural = t
-    for ending, single in PLURALS:
-        plural = F.regexp_replace(plural, ending + "$", single)
-    t = F.when(F.length(t) >= 4, plural).otherwise(t)
-    cut = t
-    for suffix in reversed(SUFFIXES):
-        short = F.regexp_replace(t, suffix + "$", "")
-        cut = F.when((F.length(short) >= 3) & (F.length(short) < F.length(t)), short).otherwise(cut)
-    return F.when(F.length(fold(token)) >= 2, cut)
+
+    def plural(t: Column) -> Column:
+        out = t
+        for ending, single in PLURALS:
+            out = F.regexp_replace(out, ending + "$", single)
+        return F.when(F.length(t) >= 4, out).otherwise(t)
+
+    def cut(t: Column) -> Column:
+        shorter = [let(F.regexp_replace(t, suffix + "$", ""), lambda s: F.when((F.length(s) >= 3) & (F.length(s) < F.length(t)), s)) for suffix in SUFFIXES]
+        return F.coalesce(*shorter, t)
+
+    return let(fold(token), lambda t: F.when(F.length(t) >= 2, let(plural(t), cut)))
 
 
 def body_of(content: Column) -> Column:
@@ -87,20 +97,23 @@ def header(content: Column) -> Column:
     clean = lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", "")
 
     def value(entry: Column) -> Column:
-        rest = F.trim(F.regexp_extract(entry, r"^[^:\n]*:([^\n]*)", 1))
-        flow = F.transform(F.split(F.regexp_extract(rest, r"^\[(.*)\]$", 1), ","), clean)
-        dashed = F.transform(F.regexp_extract_all(entry, F.lit(r"(?m)^[ \t]*-[ \t]+([^\n]*)"), F.lit(1)), clean)
-        found = F.when(rest.rlike(r"^\[.*\]$"), flow).when(rest == "", dashed).otherwise(F.array(clean(rest)))
-        return F.filter(found, lambda x: x != "")
+        def parsed(rest: Column) -> Column:
+            flow = F.transform(F.split(F.regexp_extract(rest, r"^\[(.*)\]$", 1), ","), clean)
+            dashed = F.transform(F.regexp_extract_all(entry, F.lit(r"(?m)^[ \t]*-[ \t]+([^\n]*)"), F.lit(1)), clean)
+            found = F.when(rest.rlike(r"^\[.*\]$"), flow).when(rest == "", dashed).otherwise(F.array(clean(rest)))
+            return F.filter(found, lambda x: x != "")
+
+        return let(F.trim(F.regexp_extract(entry, r"^[^:\n]*:([^\n]*)", 1)), parsed)
 
     pairs = F.transform(entries, lambda e: F.struct(F.trim(F.regexp_extract(e, r"^([^:\n]*):", 1)).alias("key"), value(e).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    # Of a key's several entries the last counts.
+    last = let(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"])))
     return F.map_from_entries(last)
 
 
 def as_list(values: Column) -> Column:
     """A list stays, a single comma-separated string is cut up."""
-    return F.filter(F.flatten(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.transform(F.split(v, ","), F.trim))), lambda x: x != "")
+    return F.filter(F.flatten(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.transform(F.split(v, ","), lambda x: F.trim(x)))), lambda x: x != "")
 
 
 def headings(body: Column) -> Column:
@@ -113,7 +126,7 @@ def inline_tags(body: Column) -> Column:
 
 
 def wikilinks(body: Column) -> Column:
-    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x))
 
 
 def title_of(content: Column, path: Column) -> Column:
@@ -123,10 +136,14 @@ def title_of(content: Column, path: Column) -> Column:
 
 def unique_folded(items: Column, least: int, most: int) -> Column:
     """Trimmed items of at least ``least`` characters, first of each lower-cased form, at most ``most``."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: F.length(x) >= least)
-    lowered = F.transform(kept, F.lower)
-    first = F.filter(kept, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+
+    def first(both: Column) -> Column:
+        lowered = F.transform(both, lambda x: x["low"])
+        return let(lowered, lambda low: F.filter(both, lambda x, i: F.array_position(low, x["low"]) == i + 1))
+
+    pairs = F.transform(kept, lambda x: F.struct(x.alias("own"), F.lower(x).alias("low")))
+    return F.transform(F.slice(let(pairs, first), 1, most), lambda x: x["own"])
 
 
 def proper_nouns(body: Column, most: int = 15) -> Column:
@@ -192,25 +209,30 @@ def sentences(text: Column) -> Column:
 def one_line_summary(body: Column, override: Column | None = None, most: int = 250) -> Column:
     """Override, else the first two sentences of prose lines, else the top heading and its first line."""
     prose = F.regexp_replace(F.trim(body), r"(?m)^[ \t]*```[\s\S]*?(?:^[ \t]*```[^\n]*$|\z)", "")
-    lines = F.filter(F.transform(F.split(prose, "\n"), F.trim), lambda t: (t != "") & ~t.rlike(r"^(?:#|- |\* |\d+\.\s|>|\|)"))
+    lines = F.filter(F.transform(F.split(prose, "\n"), lambda x: F.trim(x)), lambda t: (t != "") & ~t.rlike(r"^(?:#|- |\* |\d+\.\s|>|\|)"))
     # Lines are taken until those so far exceed one and a half summaries.
     taken = F.aggregate(lines, F.lit(""), lambda a, t: F.when(F.length(a) > most * 1.5, a).when(a == "", t).otherwise(F.concat(a, F.lit(" "), t)))
     found = F.substring(F.trim(F.array_join(F.slice(sentences(taken), 1, 2), " ")), 1, most)
-    h1 = F.get(F.filter(headings(body), lambda h: h["level"] == 1), F.lit(0))["heading"]
-    rest = F.get(F.filter(F.transform(F.split(F.regexp_replace(body, r"(?m)\A([\s\S]*?)^#+\s.*$", "$1"), "\n"), F.trim), lambda t: t != ""), F.lit(0))
-    fallback = F.coalesce(F.substring(F.concat(h1, F.lit(" — "), F.coalesce(rest, F.lit(""))), 1, most), F.lit(""))
-    own = F.when(found != "", found).otherwise(fallback)
-    return own if override is None else F.when(F.trim(override) != "", F.substring(F.trim(override), 1, most)).otherwise(own)
+
+    def fallback() -> Column:
+        h1 = F.get(F.filter(headings(body), lambda h: h["level"] == 1), F.lit(0))["heading"]
+        rest = F.get(F.filter(F.transform(F.split(F.regexp_replace(body, r"(?m)\A([\s\S]*?)^#+\s.*$", "$1"), "\n"), lambda x: F.trim(x)), lambda t: t != ""), F.lit(0))
+        return F.coalesce(F.substring(F.concat(h1, F.lit(" — "), F.coalesce(rest, F.lit(""))), 1, most), F.lit(""))
+
+    own = let(found, lambda x: F.when(x != "", x).otherwise(fallback()))
+    return own if override is None else let(F.trim(override), lambda x: F.when(x != "", F.substring(x, 1, most)).otherwise(own))
 
 
 def cue_of(heading: Column) -> Column:
     """A heading as a question for recall."""
-    h, low = F.trim(heading), F.lower(F.trim(heading))
-    asks = F.lit(False)
-    for start in QUESTION_STARTS:
-        asks = asks | low.startswith(start)
-    asked = F.when(h.endswith("?"), h).otherwise(F.concat(h, F.lit("?")))
-    return F.when(h.rlike("[?？]$"), h).when(asks | (F.size(F.split(h, r"\s+")) > 6), asked).otherwise(F.concat(F.lit("O que é "), F.regexp_replace(low, "[?！!]", ""), F.lit("?")))
+    starts = "^(?:" + "|".join(QUESTION_STARTS) + ")"
+
+    def asked(h: Column) -> Column:
+        low = F.lower(h)
+        with_mark = F.when(h.endswith("?"), h).otherwise(F.concat(h, F.lit("?")))
+        return F.when(h.rlike("[?？]$"), h).when(low.rlike(starts) | (F.size(F.split(h, r"\s+")) > 6), with_mark).otherwise(F.concat(F.lit("O que é "), F.regexp_replace(low, "[?！!]", ""), F.lit("?")))
+
+    return let(F.trim(heading), asked)
 
 
 def cues(body: Column, concepts: Column, override: Column | None = None) -> Column:
@@ -219,16 +241,16 @@ def cues(body: Column, concepts: Column, override: Column | None = None) -> Colu
     named = F.filter(F.transform(second, lambda h: F.regexp_replace(F.trim(h), r"\*\*|__", "")), lambda h: F.length(h).between(3, 80))
     asked = F.filter(F.transform(F.slice(named, 1, 8), cue_of), lambda x: x != "")
     from_concepts = F.transform(F.slice(F.coalesce(concepts, F.array().cast("array<string>")), 1, 3), lambda c: F.concat(F.lit("O que é "), F.lower(c), F.lit("?")))
-    own = F.when(F.size(asked) > 0, asked).otherwise(from_concepts)
+    own = let(asked, lambda x: F.when(F.size(x) > 0, x).otherwise(from_concepts))
     if override is None:
         return own
-    given = F.filter(F.flatten(F.transform(F.coalesce(override, F.array().cast("array<string>")), lambda x: F.transform(F.split(x, r"[;,\n]+"), F.trim))), lambda x: x != "")
-    return F.when(F.size(given) > 0, given).otherwise(own)
+    given = F.filter(F.flatten(F.transform(F.coalesce(override, F.array().cast("array<string>")), lambda x: F.transform(F.split(x, r"[;,\n]+"), lambda x: F.trim(x)))), lambda x: x != "")
+    return let(given, lambda x: F.when(F.size(x) > 0, x).otherwise(own))
 
 
 def cue_summary(body: Column, summary: Column, override: Column | None = None) -> Column:
-    first = F.split(F.trim(F.regexp_replace(body, r"(?m)\A([\s\S]*?)^#{1,6}\s+.+\n?", "$1")), r"[.!?]\s")[0]
-    cut = F.when(F.length(first) > 20, F.concat(F.trim(F.substring(first, 1, 200)), F.when(F.length(first) > 200, "…").otherwise("")))
+    opening = F.split(F.trim(F.regexp_replace(body, r"(?m)\A([\s\S]*?)^#{1,6}\s+.+\n?", "$1")), r"[.!?]\s")[0]
+    cut = let(opening, lambda x: F.when(F.length(x) > 20, F.concat(F.trim(F.substring(x, 1, 200)), F.when(F.length(x) > 200, "…").otherwise(""))))
     own = F.coalesce(F.when(summary != "", summary), cut, F.lit(""))
     return own if override is None else F.when(F.trim(override) != "", F.trim(override)).otherwise(own)
 
@@ -264,18 +286,21 @@ def note_id(at: Column, override: Column | None = None) -> Column:
 def atomic_splits(body: Column) -> Column:
     """Headings of second or third level whose section has over 200 non-blank characters, five at most."""
     sections = F.split(F.concat(F.lit("\n"), body), r"\n#{2,3}\s+")
-    named = F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^#{2,3}\s+(.+)$"), F.lit(1)), F.trim)
+    named = F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^#{2,3}\s+(.+)$"), F.lit(1)), lambda x: F.trim(x))
     large = F.filter(named, lambda h, i: F.length(F.regexp_replace(F.coalesce(F.get(sections, i + 1), F.lit("")), r"\s", "")) > 200)
     return F.slice(large, 1, 5)
 
 
 def excerpt(content: Column, query: Column, most: int = 220) -> Column:
     """Text around the query's first word, blanks collapsed, ellipses where it was cut."""
-    at = F.instr(fold(content), F.split(fold(query), " ")[0]) - 1
-    start, end = F.greatest(F.lit(0), at - 40), F.least(F.length(content), at + most - 40)
-    inner = F.trim(F.regexp_replace(F.substr(content, start + 1, end - start), r"\s+", " "))
-    around = F.concat(F.when(start > 0, "…").otherwise(""), inner, F.when(end < F.length(content), "…").otherwise(""))
-    return F.when(at < 0, F.trim(F.regexp_replace(F.substring(content, 1, most), r"\s+", " "))).otherwise(around)
+
+    def around(at: Column) -> Column:
+        start, end = F.greatest(F.lit(0), at - 40), F.least(F.length(content), at + most - 40)
+        inner = F.trim(F.regexp_replace(F.substr(content, start + 1, end - start), r"\s+", " "))
+        whole = F.concat(F.when(start > 0, "…").otherwise(""), inner, F.when(end < F.length(content), "…").otherwise(""))
+        return F.when(at < 0, F.trim(F.regexp_replace(F.substring(content, 1, most), r"\s+", " "))).otherwise(whole)
+
+    return let(F.instr(fold(content), F.split(fold(query), " ")[0]) - 1, around)
 
 
 def trim_summary(text: Column, most: int = 300) -> Column:

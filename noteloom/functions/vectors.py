@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteloom.functions.text import let
+
 BITS = 128
 
 
@@ -32,25 +34,32 @@ def _sign(bit: Column, dim: Column, projection: str) -> Column:
     """+1 or -1. ``compat``: the low bit of an FNV-1a hash of (bit, dim), which depends on three
     low bits only, so all rows are one vector or its negation; ``mixed``: a well mixed hash."""
     if projection == "compat":
-        low = bit.bitwiseAND(1).bitwiseXOR(dim.bitwiseAND(1)).bitwiseXOR(F.shiftright(dim, 8).bitwiseAND(1))
+        low = bit.bitwiseAND(1).bitwiseXOR(dim.bitwiseAND(1)).bitwiseXOR(F.shiftright(dim.cast("int"), 8).bitwiseAND(1))
         return F.when(low == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     return F.when(F.xxhash64(bit, dim).bitwiseAND(1) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
 def signature_bits(vec: Column, projection: str = "mixed", dims: int = 512) -> Column:
     """Signs of ``BITS`` projections as array<boolean>."""
+
+    def folded(x: Column, bit: Column) -> Column:
+        return F.aggregate(F.transform(x, lambda v, d: v.cast("double") * _sign(bit, d, projection)), F.lit(0.0), lambda s, v: s + v)
+
+    numbers = F.sequence(F.lit(0), F.lit(BITS - 1))
     used = F.slice(vec, 1, dims)
     if projection == "compat":  # two distinct rows only: fold once, negate for the other
-        one = F.aggregate(F.transform(used, lambda x, d: x.cast("double") * _sign(F.lit(0), d, projection)), F.lit(0.0), lambda s, x: s + x)
-        return F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.when(b % 2 == 0, one).otherwise(-one) > 0)
-    return F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.aggregate(F.transform(used, lambda x, d: x.cast("double") * _sign(b, d, projection)), F.lit(0.0), lambda s, x: s + x) > 0)
+        return let(folded(used, F.lit(0)), lambda one: F.transform(numbers, lambda b: F.when(b % 2 == 0, one).otherwise(-one) > 0))
+    return F.transform(numbers, lambda b: folded(used, b) > 0)
 
 
 def signature(vec: Column, projection: str = "mixed", dims: int = 512) -> Column:
     """Four 32-bit words as 32 hex digits; bit b is bit b % 32 of word b / 32."""
-    bits = signature_bits(vec, projection, dims)
-    word = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get(bits, i + 32 * k), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(vec.isNotNull(), F.concat(*(F.lpad(F.lower(F.hex(word(k))), 8, "0") for k in range(4))))
+
+    def word(bits: Column, k: int) -> Column:
+        powers = F.transform(F.slice(bits, 32 * k + 1, 32), lambda on, i: F.when(on, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+        return F.lpad(F.lower(F.hex(F.aggregate(powers, F.lit(0).cast("long"), lambda s, x: s + x))), 8, "0")
+
+    return F.when(vec.isNotNull(), let(signature_bits(vec, projection, dims), lambda bits: F.concat(*(word(bits, k) for k in range(4)))))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -151,4 +151,4 @@ def radial(neighbours: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("path"))
     angle = 2 * F.lit(3.141592653589793) * (F.col("rank") - 1) / n - F.lit(3.141592653589793) / 2
     far = 50 + (1 - F.col("score")) * 90
-    return neighbours.select("path", "neighbour", F.round(far * F.cos(angle), 4).alias("x"), F.round(far * F.sin(angle), 4).alias("y"))
+    return neighbours.select("path", "neighbour", F.round(far * F.cos(angle), 3).alias("x"), F.round(far * F.sin(angle), 3).alias("y"))

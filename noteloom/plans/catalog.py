@@ -1,4 +1,8 @@
 """Registry of the engine's queries and of the equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from noteloom.plans import knowledge, retrieval
+
+QUERIES = retrieval.QUERIES | knowledge.QUERIES
+ORACLES = retrieval.ORACLES | knowledge.ORACLES
