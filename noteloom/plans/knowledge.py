@@ -65,7 +65,7 @@ def atomic_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    html = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>", ""), r"(?s).*?<body>", "")
+    html = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>", ""), r"(?s)\A.*?<body>", "")
     md = F.regexp_replace(F.regexp_replace(html, "<h1[^>]*>", "\n# "), "<h[23][^>]*>", "\n## ")
     md = F.regexp_replace(F.regexp_replace(md, "</h[123]>", "\n"), "<[^>]+>", " ")
     return D.read(spark, sf, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), md.alias("body"))
