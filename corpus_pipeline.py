@@ -20,7 +20,7 @@ from noteloom.llm.jaccard_join import near_duplicates
 from noteloom.llm.langid import fit_languages, has_letter
 from noteloom.llm.packing import pack_documents
 from noteloom.llm.quality_gam import MAX_FIT_ROWS, feature_table, fit_quality, held_out
-from noteloom.llm.shared import slices, written
+from noteloom.llm.shared import let_go, slices, written
 from noteloom.llm.text_features import features
 
 THRESHOLD = 0.3
@@ -32,7 +32,8 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFra
     docs = docs.select(*COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000):
+        let_go()
+        for batch in slices(batches, 2000):
             yield batch.filter(pa.array(keep(batch.column(1)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

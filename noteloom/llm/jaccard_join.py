@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.components import connected, join_hot
-from noteloom.llm.shared import input_bytes, mix, only, parts_for, slices, written
+from noteloom.llm.shared import input_bytes, let_go, mix, only, parts_for, slices, written
 from noteloom.llm.textscan import distinct_shingles, word_hashes
 
 WORDS = 5
@@ -75,8 +75,9 @@ def set_table(documents: DataFrame) -> DataFrame:
     """Written rows: (doc_id, set_id, n) of every document, and (token, df) of frequent shingles in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         names = ["doc_id", "set_id", "n", "token", "df"]
-        for batch in slices(batches, 4000):
+        for batch in slices(batches, 3000):
             s, t, size, ident = _sets(batch.column(1))
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ident), pa.array(size.astype(np.int64)), none, none], names)
@@ -121,8 +122,9 @@ def _tokens_out(documents: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buck
     shipped = documents.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         common = shipped.value[0]
-        for batch in slices(batches, 8000):
+        for batch in slices(batches, 4000):
             s, t, size, ident = _sets(batch.column(0))
             keep = _unique_rows(ident, size)
             own = keep[t]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.shared import only, slices, written
+from noteloom.llm.shared import let_go, only, slices, written
 from noteloom.llm.text_features import NAMES, features
 
 MAX_FIT_ROWS = 30_000
@@ -147,7 +147,8 @@ def feature_table(documents: DataFrame) -> DataFrame:
     """(doc_id, x): the features of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000):
+        let_go()
+        for batch in slices(batches, 2000):
             x = features(batch.column(1))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])

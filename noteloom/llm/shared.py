@@ -7,6 +7,8 @@ recomputation and never a file.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import posixpath
 import tempfile
@@ -29,6 +31,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: What operators keep in a worker between tasks (encoders, mapped arrays, lattices).
+KEPT: list[dict] = []
+
+
+def let_go() -> None:
+    """Drop what earlier operators kept in this worker and hand freed memory back to the system;
+    for tasks that need none of it."""
+    if any(KEPT):
+        for kept in KEPT:
+            kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/noteloom/{name}-{uuid.uuid4().hex}"
 

@@ -4,7 +4,7 @@ Both vocabularies cut a text at certain places whatever stands around them: the
 one begins a new word at a single space (or line end) between two other characters, the
 lower-casing one drops white space. The ids of a text are those of the pieces between such
 cuts, in turn. Pieces are told apart by 64-bit hashes of their bytes, found by array
-operations, and only new ones reach the tokenizers library: plain ASCII words go straight
+operations, and only new ones reach the tokenizers library: plain Latin words go straight
 to its merge model, everything else through its whole pipeline.
 """
 
@@ -16,16 +16,21 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from noteloom.llm.shared import text_buffers
+from noteloom.llm.shared import KEPT, text_buffers
 from noteloom.llm.textscan import SPACE, chunks, span_hashes, spans
 
-#: The byte-level vocabulary's own split of a text, for ASCII letters and digits.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s A-Za-z0-9]+|\s+(?!\S)|\s+")
+#: The byte-level vocabulary's own split of a text, for the letters and digits of ASCII and Latin-1.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s A-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 #: The lower-casing vocabulary's split, the same way.
-_LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PLAIN = re.compile(r"[ -~]*\Z")
+_LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Characters for which those two splits and plain lower-casing are the library's own.
+_PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*\Z")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in turn.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[tuple[str, bool], "TextEncoder"] = {}
-SLICE = 6 << 20
+KEPT.append(_encoders)
+SLICE = 3 << 20
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +56,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class TextEncoder:
     """``encode`` gives the ids of whole texts; at most ``keep`` pieces stay in memory."""
 
-    def __init__(self, path: str, spaces_matter: bool, keep: int = 900_000):
+    def __init__(self, path: str, spaces_matter: bool, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,9 +69,9 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) > self.keep // 2:
+            if len(self.words) > self.keep // 4:
                 self.words.clear()
-            ids = [t.id for t in self.tokenizer.model.tokenize("Ġ" + word[1:] if word[:1] == " " else word)]
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))]
             got = self.words[word] = np.array(ids, "<u4").tobytes()
         return got
 
