@@ -8,9 +8,9 @@ lattice's total, which one backward pass gives.
 Gumbel top-k without replacement: giving every path its weight plus Gumbel noise and taking the
 k largest draws k distinct paths in proportion to their probabilities. The noise is drawn
 lazily, from the top: a prefix holds the maximum over its paths, its children's maxima are
-drawn under the condition that the largest equals it, and a best-first (A-star) search pops
+drawn under the condition that the largest equals it, and a best-first (A-star) search opens
 prefixes by their maxima, which bound what lies below exactly. So only the prefixes of drawn
-paths are ever opened. The (k + 1)-th maximum is the threshold from which a path's inclusion
+paths are ever opened, and no more than k + 1 of them wait. The (k + 1)-th maximum is the threshold from which a path's inclusion
 score follows, 1 - exp(-exp(log-probability - threshold)).
 
 The generator is seeded by the row's key, so results don't depend on partitions or retries.
@@ -22,11 +22,11 @@ and texts draw the same; an empty table gives no rows; further columns are ignor
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from noteloom.llm.shared import only, slices
 
 RANK_SHIFT = 10.0
-KEEP = 30_000
+KEEP = 60_000
 _SEGMENT = re.compile("\u2581+[^\u2581]*|[^\u2581]+")
 _lattices: dict[tuple[str, float], "Lattice"] = {}
 SAMPLE = "sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
@@ -57,31 +57,44 @@ class Lattice:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 rank = min(-p.get_score(i), float(size))
                 self.pieces[piece] = (i, -math.log(rank + RANK_SHIFT) / temperature)
+        self.begins = {piece[:i] for piece in self.pieces for i in range(1, len(piece))}
         self.kept: dict[str, tuple] = {}
         self.longest = max(map(len, self.pieces))
         self.byte_weight = -math.log(size + RANK_SHIFT) / temperature
 
-    def _segment(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
-        """Of one segment: pieces from each position as (length, ids, weight), and the log-total from there to its end."""
-        out, get, n = [], self.pieces.get, len(text)
+    def _segment(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float, float]]], list[float]]:
+        """Of one segment: pieces from each position as (length, ids, weight, 1 / probability given
+        the position), and the log-total from there to its end."""
+        found, get, begins, n = [], self.pieces.get, self.begins, len(text)
         for i in range(n):
             here = []
-            for d in range(1, min(n - i, self.longest) + 1):
-                got = get(text[i : i + d])
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                part = text[i:j]
+                got = get(part)
                 if got:
-                    here.append((d, (got[0],), got[1]))
+                    here.append((j - i, (got[0],), got[1]))
+                if part not in begins:
+                    break
             if not here or here[0][0] != 1:
                 raw = text[i].encode()
                 here.append((1, tuple(self.bytes[b] for b in raw), self.byte_weight * len(raw)))
-            out.append(here)
-        below = [0.0] * (n + 1)
+            found.append(here)
+        below, out, log, exp = [0.0] * (n + 1), [], math.log, math.exp
         for i in range(n - 1, -1, -1):
-            terms = [w + below[i + d] for d, _, w in out[i]]
-            top = max(terms)
-            below[i] = top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top
+            here = found[i]
+            if len(here) == 1:
+                d, ids, w = here[0]
+                below[i] = w + below[i + d]
+                out.append([(d, ids, w, 1.0)])
+            else:
+                terms = [w + below[i + d] for d, _, w in here]
+                top = max(terms)
+                below[i] = all_ = top + log(sum([exp(t - top) for t in terms]))
+                out.append([(d, ids, w, exp(min(all_ - t, 700.0))) for (d, ids, w), t in zip(here, terms)])
+        out.reverse()
         return out, below[:n]
 
-    def edges(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+    def edges(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float, float]]], list[float]]:
         """From each position the pieces that begin there, and the log-total of all ways to the end.
 
         Only runs of word marks stand after a piece's first character, so no piece crosses into
@@ -111,30 +124,44 @@ class Lattice:
         text = self.processor.normalize(text or "")
         n = len(text)
         edges, below = self.edges(text)
-        draw, log, exp = random.Random(seed).random, math.log, math.exp
+        draw, log, exp, log1p, expm1 = random.Random(seed).random, math.log, math.exp, math.log1p, math.expm1
         total = below[0]
-        # (-maximum, order of creation, position, weight so far, (ids of the last piece, its parent))
-        heap = [(log(-log(draw() or 5e-324)), 0, 0, 0.0, None)]
-        made, found = 1, []
-        while heap and len(found) <= k:
-            best, _, i, weight, link = heapq.heappop(heap)
-            while i < n and len(edges[i]) == 1:  # the only way on keeps the maximum
-                d, ids, w = edges[i][0]
-                i, weight, link = i + d, weight + w, (ids, link)
-            if i == n:
-                found.append((-best, weight - total, link))
-                continue
-            so_far = weight - total
-            g = [so_far + w + below[i + d] - log(-log(draw() or 5e-324)) for d, _, w in edges[i]]
-            top = max(g)
-            for (d, ids, w), own in zip(edges[i], g):
-                if own == top:
-                    bound = -best
+        # Open prefixes by their maximum, largest last: (maximum, -order of creation, position, weight
+        # so far, (ids of the last piece, its parent)). Each leads to a path with just that maximum,
+        # so of those not among the k + 1 largest none can be drawn.
+        waiting = [(-log(-log(draw() or 5e-324)), 0, 0, 0.0, None)]
+        made, found = 0, []
+        while waiting and len(found) <= k:
+            best, _, i, weight, link = waiting.pop()
+            room = k - len(found)  # prefixes that may wait besides this one
+            while i < n:
+                ways = edges[i]
+                if len(ways) == 1:
+                    d, ids, w, _ = ways[0]
                 else:
-                    v = -best - own + math.log1p(-exp(own - top)) if own > top - 700 else -best - own
-                    bound = -best - max(0.0, v) - math.log1p(exp(-abs(v)))
-                heapq.heappush(heap, (-bound, made, i + d, weight + w, (ids, link)))
-                made += 1
+                    # Maxima of the children are those of exponential races: the first to arrive keeps
+                    # the parent's maximum, one that is late by t has best - log1p(t * exp(best - mass)).
+                    times = [-log(draw() or 5e-324) * slow for _, _, _, slow in ways]
+                    first = min(times)
+                    chosen = times.index(first)
+                    if room:
+                        mass = weight + below[i] - total
+                        scale = exp(min(best - mass, 700.0))
+                        floor = waiting[0][0] if len(waiting) >= room else -math.inf
+                        latest = expm1(min(best - floor, 700.0)) / scale
+                        for at, t in enumerate(times):
+                            if t - first < latest and at != chosen:
+                                bound = best - log1p((t - first) * scale)
+                                made += 1
+                                d, ids, w, _ = ways[at]
+                                insort(waiting, (bound, -made, i + d, weight + w, (ids, link)))
+                                if len(waiting) > room:
+                                    del waiting[0]
+                                if len(waiting) >= room:
+                                    latest = expm1(min(best - waiting[0][0], 700.0)) / scale
+                    d, ids, w, _ = ways[chosen]
+                i, weight, link = i + d, weight + w, (ids, link)
+            found.append((best, weight - total, link))
         threshold = found[k][0] if len(found) > k else -math.inf
         out = []
         for perturbed, weight, link in found[:k]:
