@@ -16,8 +16,8 @@ continuation counts cc, discounts D from counts of counts (Chen and Goodman):
 
 Order 2 rather than 3: distinct triples would take about twice the disk for counting (README).
 
-A pair's entry is one 64-bit integer: 48 bits of hash above 16 bits of count (larger counts
-stay at 65535, where the discount no longer depends on them; the word arrays hold exact sums).
+A pair's entry is one 64-bit integer: 48 bits of hash above 16 bits of count. Counts of 65535
+and more read 65535 there and stand exactly in a second, short array of the range (``common``).
 
 Nulls and edge cases: a null text is empty and scores its end token; a null doc_id is in the
 training part; repeated rows count and score each; without training text V and N are 0 and
@@ -43,6 +43,8 @@ FLUSH_TOKENS = 3_000_000
 START, END = np.uint64(1), np.uint64(2)  # no word hashes to them (words keep their top bit set)
 _TOP = np.uint64(1 << 55)
 _LOW56 = np.uint64((1 << 56) - 1)
+FULL = 65535  # from here on an entry's 16 bits don't hold the count
+COMMON = np.dtype([("key", "<u8"), ("count", "<u8")])
 WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("first", "<u8"), ("kinds", "<u4"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4")])
 _PACKED = "part int, kind int, a binary, b binary, c binary"
 
@@ -150,7 +152,12 @@ def _write_pairs(packed: DataFrame, folder: str, words: int) -> DataFrame:
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             c = np.add.reduceat(c[order], edge)
             key, v, w = key[edge], v[order[edge]], w[order[edge]]
-            put_file(f"{folder}/pairs/{part:06d}.u64", ((key << np.uint64(16)) | np.minimum(c, 65535).astype(np.uint64)).tobytes())
+            put_file(f"{folder}/pairs/{part:06d}.u64", ((key << np.uint64(16)) | np.minimum(c, FULL).astype(np.uint64)).tobytes())
+            large = np.flatnonzero(c >= FULL)
+            if len(large):
+                common = np.zeros(len(large), COMMON)
+                common["key"], common["count"] = key[large], c[large]
+                put_file(f"{folder}/common/{part:06d}.bin", common.tobytes())
             out = []
             for kind, word in ((1, v), (2, w)):
                 order = np.argsort(word, kind="stable")
@@ -255,7 +262,7 @@ def _array(model: Model, kind: str, part: int) -> np.ndarray:
     if key not in _open:
         if any(k[0] != model.folder for k in _open):
             _open.clear()
-        name, dtype = ("u64", np.dtype("<u8")) if kind == "pairs" else ("bin", WORD)
+        name, dtype = {"pairs": ("u64", np.dtype("<u8")), "common": ("bin", COMMON), "words": ("bin", WORD)}[kind]
         try:
             _open[key] = map_file(f"{model.folder}/{kind}/{part:06d}.{name}").view(dtype)
         except FileNotFoundError:
@@ -278,7 +285,12 @@ def _find(model: Model, kind: str, keys: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(table, own << np.uint64(16)), len(table) - 1)
             got = table[at]
             hit = (got >> np.uint64(16)) == own
-            out[ends[p] : ends[p + 1]][hit] = (got & np.uint64(0xFFFF))[hit].astype(np.int64)
+            count = np.where(hit, got & np.uint64(0xFFFF), np.uint64(0)).astype(np.int64)
+            large = np.flatnonzero(count == FULL)
+            if len(large):
+                common = _array(model, "common", p)
+                count[large] = common["count"][np.searchsorted(common["key"], own[large])]
+            out[ends[p] : ends[p + 1]] = count
         else:
             at = np.minimum(np.searchsorted(table["word"], own), len(table) - 1)
             hit = table["word"][at] == own

@@ -163,6 +163,17 @@ def test_language_model(spark, docs, corpus, no_docs):
     assert kn_lm.score_corpus(no_docs).count() == 0
 
 
+def test_pairs_counted_beyond_16_bits(spark):
+    train = [k for k in range(40) if crc(k, 7) != 2]
+    hot, edge = "u v " * 20_000, "y z " * 21_845  # four and three times: 80,000 and the first full count, 65,535
+    rows = [(k, t) for k, t in zip(train, [hot] * 4 + [edge] * 3 + ["u x", "z y y", None])]
+    want = brute_lm(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    table.count()
+    got = kn_lm.score_corpus(table).collect()
+    assert len(got) == len(rows) and all(r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9) for r in got)
+
+
 def test_language_id(spark, docs, corpus, no_docs):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert len(got) == len(corpus)
