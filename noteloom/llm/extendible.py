@@ -8,10 +8,14 @@ its rows are counted again, deeper. What shares all 60 bits (rows of one key) ca
 address: such a bucket is cut into runs of rows in the order of (key, bytes, text hash), each
 within the limit, numbered by ``part``. A row longer than the limit has a shard of its own.
 
+The rows are moved whole: each goes with its placing, never by a join on the key, into the
+Parquet folder of its shard (depth, prefix, part), all its columns in the struct ``row``. What a
+query returns is read back from those files.
+
 The directory has a leaf a shard, so it grows as the corpus divided by the limit.
 
 Nulls and edge cases: a null text has no bytes; a null key has the address of the empty string;
-repeated rows share their address; an empty table has no shards; further columns are ignored.
+repeated rows share their address; an empty table has no shards; further columns stay in the row.
 """
 
 from __future__ import annotations
@@ -23,18 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noteloom.llm.shared import only, written
+from noteloom.llm.shared import new_folder, written
 
 BITS = 60
 
 
 def addresses(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, address, text_hash) of every row."""
+    """(key, n_bytes, address, text_hash, row) of every row."""
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    return only(documents, key, text).select(
-        key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+    return documents.select(
+        F.col(f"`{key}`"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
         F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("address"), F.xxhash64(text).alias("text_hash"),
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
     )
 
 
@@ -72,11 +78,11 @@ def grow_directory(rows: DataFrame, limit: int) -> list[tuple[int, int, int]]:
 
 
 def assign(rows: DataFrame, leaves: list[tuple[int, int, int]], limit: int, key: str = "doc_id") -> DataFrame:
-    """Every row with its leaf: (key, n_bytes, depth, prefix, part, shard_bytes)."""
+    """Every row with its leaf: (row, depth, prefix, part)."""
     spark = rows.sparkSession
     starts = np.array([p << (BITS - d) for p, d, _ in leaves], np.int64)
     table = spark.sparkContext.broadcast((starts, np.array([x[0] for x in leaves], np.int64), np.array([x[1] for x in leaves], np.int32), np.array([x[2] for x in leaves], np.int64)))
-    kind = rows.select(key).dtypes[0][1]
+    schema = T.StructType([*rows.schema, *(T.StructField(c, t) for c, t in (("depth", T.IntegerType()), ("prefix", T.LongType()), ("shard_bytes", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, prefixes, depths, sizes = table.value
@@ -84,9 +90,9 @@ def assign(rows: DataFrame, leaves: list[tuple[int, int, int]], limit: int, key:
             at = np.searchsorted(starts, batch.column(2).to_numpy(), "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depths[at]), pa.array(prefixes[at]), pa.array(sizes[at])], [*batch.schema.names, "depth", "prefix", "shard_bytes"])
 
-    placed = rows.mapInArrow(run, f"`{key}` {kind}, n_bytes long, address long, text_hash long, depth int, prefix long, shard_bytes long")
+    placed = rows.mapInArrow(run, schema)
     if not any(d == BITS and n > limit for _, d, n in leaves):
-        return placed.select(key, "n_bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"), "shard_bytes")
+        return placed.select("row", "depth", "prefix", F.lit(0).cast("long").alias("part"))
     # Only rows of one address beyond the limit are numbered, in windows of that address and a salt.
     heavy = placed.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit))
     salted = heavy.withColumn("salt", F.pmod(F.xxhash64("text_hash", F.monotonically_increasing_id()), F.ceil(F.col("shard_bytes") / F.lit(64 * limit))))
@@ -96,19 +102,23 @@ def assign(rows: DataFrame, leaves: list[tuple[int, int, int]], limit: int, key:
     per = Window.partitionBy("prefix", "salt", "run").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("over", (F.sum("n_bytes").over(per) > limit).cast("long"))
     cut = cut.withColumn("part", F.col("salt") + F.expr(f"(2 * run + over) * (ceil(shard_bytes / (64D * {limit})))").cast("long"))
-    own = Window.partitionBy("prefix", "part")
-    cut = cut.withColumn("shard_bytes", F.sum("n_bytes").over(own)).select(key, "n_bytes", "depth", "prefix", "part", "shard_bytes")
-    light = placed.where((F.col("depth") != BITS) | (F.col("shard_bytes") <= limit)).select(key, "n_bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"), "shard_bytes")
-    return light.unionByName(cut)
+    light = placed.where((F.col("depth") != BITS) | (F.col("shard_bytes") <= limit)).select("row", "depth", "prefix", F.lit(0).cast("long").alias("part"))
+    return light.unionByName(cut.select("row", "depth", "prefix", "part"))
 
 
-def shard_documents(documents: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Grow the directory over all rows and deal them out."""
-    rows = written(addresses(documents, key, text), "addresses")
-    return assign(rows, grow_directory(rows, limit), limit, key)
+def write_shards(documents: DataFrame, limit: int, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Grow the directory over all rows, write them whole, a Parquet folder a shard; (row, depth, prefix, part) as read back."""
+    rows = addresses(documents, key, text)
+    leaves = grow_directory(written(rows.drop("row"), "addresses"), limit)
+    placed = assign(rows, leaves, limit, key)
+    placed.repartition("depth", "prefix", "part").write.partitionBy("depth", "prefix", "part").parquet(folder)
+    return documents.sparkSession.read.schema(placed.schema).parquet(folder)
 
 
-def write_shards(documents: DataFrame, placed: DataFrame, folder: str, key: str = "doc_id") -> None:
-    """The rows themselves as one Parquet folder a shard (depth, prefix, part)."""
-    joined = documents.join(placed.select(key, "depth", "prefix", "part").distinct(), key)
-    joined.repartition("depth", "prefix", "part").write.partitionBy("depth", "prefix", "part").parquet(folder)
+def shard_documents(documents: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the shards; (key, n_bytes, depth, prefix, part, shard_bytes) of every row found in them."""
+    back = write_shards(documents, limit, new_folder(documents.sparkSession, "shards"), key, text)
+    rows = back.select(F.col("row").getField(key).alias(key), F.coalesce(F.octet_length(F.col("row").getField(text)), F.lit(0)).cast("long").alias("n_bytes"), "depth", "prefix", "part")
+    shard = ["depth", "prefix", "part"]
+    sizes = rows.groupBy(*shard).agg(F.sum("n_bytes").alias("shard_bytes"))
+    return rows.join(sizes, shard).select(key, "n_bytes", *shard, "shard_bytes")

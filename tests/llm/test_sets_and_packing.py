@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from noteloom.llm import jaccard_join, packing
 from noteloom.llm.components import connected, join_hot
-from noteloom.llm.extendible import shard_documents
+from noteloom.llm.extendible import shard_documents, write_shards
 from noteloom.llm.queries import BYTE_BPE, ORACLES, QUERIES, WORD_BPE
 from noteloom.llm.token_store import PerfectHash, Shard, read_store, write_store
 from noteloom.llm.tokenids import encoder
@@ -208,6 +208,17 @@ def test_extendible_hashing(spark, docs, corpus, no_docs):
     assert sum(cut.values()) == 5001 and all(n <= 1000 for n in cut.values())
 
 
+def test_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "n" * 30, 1)] * 3 + [(1, "x" * 100, 2)] * 50 + [(1, None, 3), (2, "y", 4), (2, "z" * 3000, 5)]
+    back = write_shards(spark.createDataFrame(rows, "doc_id long, text string, part long"), 1000, str(tmp_path / "shards")).collect()
+    assert Counter(tuple(r["row"]) for r in back) == Counter(rows)
+    shards = defaultdict(list)
+    for r in back:
+        shards[r["depth"], r["prefix"], r["part"]].append(len(r["row"]["text"] or ""))
+    assert all(sum(x) <= 1000 or sum(n > 0 for n in x) == 1 for x in shards.values())
+    assert len(list((tmp_path / "shards").rglob("part=*"))) == len(shards)
+
+
 def test_registered_queries(spark, sf_dir):
     import corpus_pipeline
 
