@@ -2,8 +2,8 @@
 
 Quality classifier, language identification, near duplicates, packing. Every stage works on all
 rows that the one before kept, and rows it rejects are gone afterwards. Nulls, empty texts,
-repeated rows and empty tables are handled as the operators' own modules say; of rows that
-repeat a doc_id the near-duplicate stage keeps one.
+repeated rows and empty tables are handled as the operators' own modules say; the
+near-duplicate stage judges rows, not keys: rows with a null or repeated doc_id count each.
 """
 
 from __future__ import annotations
@@ -63,12 +63,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of linked ones."""
-    found = written(near_duplicates(docs).select("doc_id", "component_id"), "duplicate-groups")
-    first = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.select(*COLUMNS).join(first.distinct(), "doc_id", "left_semi").select(*COLUMNS)
-    repeated = first.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Keep one row of each group of linked ones: the smallest (doc_id, nulls last, text hash).
+
+    Groups are those of rows, which get a number of their own for it. Texts without words are
+    linked to nothing; of such rows only exact repeats of doc_id and text are one.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    keyed = rows.select("row", "doc_id", F.xxhash64("text").alias("text_hash")).join(found, "row")
+    empty = F.col("n_shingles") == 0
+    group = (F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("text_hash")), F.when(empty & F.col("doc_id").isNull(), F.col("row")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row")
+    first = keyed.groupBy(*(x.alias(f"g{i}") for i, x in enumerate(group))).agg(F.min_by("row", order).alias("row"))
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,14 @@ def test_pipeline_stages_on_odd_rows(spark, docs, no_docs, sf_dir):
             out = stage(spark, frame, sf_dir)
             assert out.count() >= 0
     assert P.STAGES[2][1](spark, twice, sf_dir).where("doc_id = 30").count() == 1
+
+
+def test_duplicates_keep_one_row_a_component(spark, sf_dir):
+    import corpus_pipeline as P
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(3, text("a")), (7, text("a") + " more"), (7, text("b")), (5, text("c")), (5, text("d")), (None, text("e")), (None, text("a")), (None, text("f")), (None, text("f")), (9, ""), (9, ""), (None, "")]
+    frame = spark.createDataFrame([(k, t, None, None, len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").cache()
+    frame.count()
+    got = Counter((r["doc_id"], r["text"]) for r in P.duplicates(spark, frame, sf_dir).collect())
+    assert got == Counter([(3, text("a")), (7, text("b")), (5, text("c")), (5, text("d")), (None, text("e")), (None, text("f")), (9, ""), (None, "")])
