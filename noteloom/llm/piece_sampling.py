@@ -226,16 +226,18 @@ def decode_pieces(rows: DataFrame, keys: list[str], model: str) -> DataFrame:
     return only(rows, *keys, "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", text string")
 
 
-def digests(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples with number of pieces and crc32 of the ids (little-endian, 32 bits) for the ids."""
+def digests(samples: DataFrame, keys: list[str], model: str) -> DataFrame:
+    """Samples with number of pieces, crc32 of the ids (little-endian, 32 bits) and crc32 of the text they decode to."""
     kinds = dict(samples.dtypes)
     others = ["sample", "log_prob", "perturbed", "inclusion"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
+            decode = lattice(model, 1.0).processor.decode
             ids = batch.columns[-1].to_pylist()
+            texts = [zlib.crc32((decode(x) if x else "").encode()) for x in ids]
             crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x) for x in ids], pa.int32()), pa.array(crc, pa.int64())], [*keys, *others, "n_pieces", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x) for x in ids], pa.int32()), pa.array(crc, pa.int64()), pa.array(texts, pa.int64())], [*keys, *others, "n_pieces", "ids_crc32", "text_crc32"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *others]) + ", n_pieces int, ids_crc32 long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *others]) + ", n_pieces int, ids_crc32 long, text_crc32 long"
     return samples.select(*keys, *others, "ids").mapInArrow(run, schema)

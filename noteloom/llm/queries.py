@@ -59,9 +59,9 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all turns of conversations: the texts that are tuned on with sampled segmentations."""
-    turns = table(spark, sf_dir, "conversations")
-    return digests(sample_segmentations(turns, ["conv_id", "turn"], "text", PIECES, k=3), ["conv_id", "turn"])
+    """Over all whole texts of documents, the samples decoded again."""
+    documents = table(spark, sf_dir, "documents")
+    return digests(sample_segmentations(documents, ["doc_id"], "text", PIECES, k=3), ["doc_id"], PIECES)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,15 @@ def test_sampling_operator(spark, docs, corpus, no_docs):
     assert piece_sampling.sample_segmentations(no_docs, ["doc_id"], "text", PIECES).count() == 0
 
 
+def test_sampling_query_covers_documents_and_decodes(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000").limit(30).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    own = piece_sampling.decode_pieces(piece_sampling.encode_pieces(texts, ["doc_id"], "text", PIECES), ["doc_id"], PIECES).collect()
+    want = {r["doc_id"]: zlib.crc32(r["text"].encode()) for r in own}
+    got = QUERIES["op8_piece_sampling"](spark, str(tmp_path)).collect()
+    assert len(want) == 30 and {r["doc_id"] for r in got} == set(want) and all(r["text_crc32"] == want[r["doc_id"]] for r in got)
+
+
 def test_pipeline_stages(spark, sf_dir, tmp_path):
     import corpus_pipeline as P
 
