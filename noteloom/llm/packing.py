@@ -4,9 +4,9 @@
    the capacity: the first piece takes the remainder, the others are full.
 2. Count pieces by length: at most ``capacity`` numbers, whatever the corpus, so the packing
    problem itself fits the driver as a bin-packing instance with multiplicities.
-3. Reduce it by Martello-Toth dominance (``reduce_instance``): while some small set holding the
-   largest length provably dominates every other way to fill that length's sequence, fix it
-   as often as the counts allow. What is left is packed best-fit decreasing.
+3. Reduce it by Martello-Toth dominance (``reduce_instance``): from the largest length down,
+   where some small set holding it provably dominates every other way to fill its sequence from
+   all that is left, fix it as often as the counts allow. The rest is packed best-fit decreasing.
 4. Hand the plan back: pieces of one length are interchangeable, so a piece's rank among its
    length decides its place. Ranks come from windows over (length, salt), where the number of
    salts follows a length's count, so that no task gets an unbounded group.
@@ -42,87 +42,87 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
         codes = encoder(tokenizer, spaces_matter)
         for batch in slices(batches, 4000):
             ids, at = codes.encode(batch.column(1))
-            keys, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for k, key in enumerate(keys):
-                whole = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
-                edges = [0, *range(len(whole) % capacity or capacity, len(whole) + 1, capacity)]
-                for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                    for column, value in zip(out, (key, i, a, b - a, zlib.crc32(whole[a:b].tobytes()))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            whole = memoryview(np.insert(ids, at[1:], end_id).astype("<u4", copy=False)).cast("B")
+            size = np.diff(at) + 1
+            begin = np.cumsum(size) - size
+            times = -(-size // capacity)
+            owner = np.repeat(np.arange(len(size)), times)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+            first = (size - (times - 1) * capacity)[owner]  # the first piece takes the remainder
+            start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first)
+            low = (begin[owner] + start) * 4
+            crc = [zlib.crc32(whole[a:b]) for a, b in zip(low.tolist(), (low + length * 4).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return only(documents, "doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def _dominating(largest: int, lengths: list[int], counts: dict[int, int], capacity: int) -> tuple[int, ...] | None:
-    """The set of at most three lengths, holding ``largest``, that provably dominates all others, or None.
+def _dominating(item: int, lengths: list[int], counts: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """The set of at most three lengths, holding ``item``, that provably dominates all others, or None.
 
-    ``lengths`` ascends and holds the lengths still to pack (``largest`` once fewer).
-    A set dominates another if the other's items can be dealt onto its own items so that each
-    takes no more than its own length; swapping then never costs a sequence.
+    ``lengths`` ascends and holds all lengths still to pack, shorter or longer (``item`` itself
+    once fewer). A set dominates another if the other's items can be dealt onto its own items
+    so that each takes no more than its own length; swapping then never costs a sequence.
     """
-    room = capacity - largest
+    room = capacity - item
     if not lengths or lengths[0] > room:
-        return (largest,)
+        return (item,)
     best = lengths[bisect_left(lengths, room + 1) - 1]
     if best == room:
-        return (largest, best)
+        return (item, best)
     small = [x for x in lengths[:3] for _ in range(min(3, counts[x]))][:3]
     if len(small) < 2 or small[0] + small[1] > room:
-        return (largest, best)
-    # Pairs: the best is the one whose sum is largest; a single item at least that long dominates every pair.
-    if len(small) < 3 or sum(small) > room:
-        pairs = []
-        for i, a in enumerate(lengths):
-            if 2 * a > room:
-                break
-            j = bisect_left(lengths, room - a + 1) - 1
-            if j > i or (j == i and counts[a] > 1):
-                pairs.append((a, lengths[j]))
-        if not pairs:
-            return (largest, best)
-        if best >= max(a + b for a, b in pairs):
-            return (largest, best)
-        # One pair dominates all if its items dominate every other feasible pair's and the best single one.
-        a, b = max(pairs, key=lambda p: (p[1], p[0]))
-        if b >= best and all(a >= x and b >= y for x, y in pairs):
-            return (largest, a, b)
+        return (item, best)  # no two fit beside it: the longest single one is best
+    if len(small) == 3 and sum(small) <= room:
+        return None
+    # Pairs at most: a single item as long as any pair's sum dominates, else perhaps one pair.
+    pairs = []
+    for i, a in enumerate(lengths):
+        if 2 * a > room:
+            break
+        j = bisect_left(lengths, room - a + 1) - 1
+        if j > i or (j == i and counts[a] > 1):
+            pairs.append((a, lengths[j]))
+        elif j > 0:  # a meets itself only once: the next shorter one, seen from the other side
+            pairs.append((lengths[j - 1], a))
+    if best >= max(a + b for a, b in pairs):
+        return (item, best)
+    a, b = max(pairs, key=lambda p: (p[1], p[0]))
+    if b >= best and all(a >= x and b >= y for x, y in pairs):
+        return (item, a, b)
     return None
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """Fix dominating sets from the largest length down: ([(set, how often)], lengths left over).
+    """Fix dominating sets, from the largest length down: ([(set, how often)], lengths left over).
 
-    A length without a dominating set is put by for best fit, so later sets are chosen among
-    what the plain method would have too; sets already fixed stay optimal for their instance.
+    A length without a dominating set is put by, but stays among what later lengths may be
+    packed with, so a set that is fixed dominates within all that is left: the least number of
+    sequences is that of the sets fixed plus the least number for the rest.
     """
     left = {k: v for k, v in counts.items() if v}
     fixed: list[tuple[tuple[int, ...], int]] = []
     order = sorted(left)
-    kept: dict[int, int] = {}
-    while order:
-        top = order[-1]
-        left[top] -= 1
-        others = order if left[top] else order[:-1]
-        chosen = _dominating(top, others, left, capacity)
-        left[top] += 1
-        if chosen is None:
-            kept[top] = left.pop(top)
-            order.pop()
-            continue
-        need: dict[int, int] = defaultdict(int)
-        for x in chosen:
-            need[x] += 1
-        times = min(left[x] // n for x, n in need.items())
-        if len(chosen) == 3 or (len(chosen) == 2 and sum(chosen) != capacity):
-            times = 1 if len(chosen) == 3 else times
-        fixed.append((chosen, times))
-        for x, n in need.items():
-            left[x] -= n * times
-            if not left[x]:
-                del left[x]
-                order.remove(x)
-    return fixed, kept
+    for item in reversed(order.copy()):
+        while left.get(item):
+            left[item] -= 1
+            chosen = _dominating(item, order if left[item] else [x for x in order if x != item], left, capacity)
+            left[item] += 1
+            if chosen is None:
+                break
+            need: dict[int, int] = defaultdict(int)
+            for x in chosen:
+                need[x] += 1
+            # While the set's own items last it stays the best: what it is compared with only gets less.
+            times = min(left[x] // n for x, n in need.items())
+            fixed.append((chosen, times))
+            for x, n in need.items():
+                left[x] -= n * times
+                if not left[x]:
+                    del left[x]
+                    order.remove(x)
+    return fixed, left
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -164,13 +164,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Every length as often as counted, in patterns that fit the capacity.
 
-    The lengths that no small set dominates keep all of what the reduction left; both parts
-    are exact covers of ``counts``.
+    Best fit takes the whole of what the reduction leaves. Where best fit alone happens to need
+    fewer sequences (the reduction keeps the optimum, best fit of the rest may still miss it),
+    that plan is returned: never more sequences than plain best fit decreasing.
     """
-    full = {k: v for k, v in counts.items() if k == capacity}
+    full = [((k,), v) for k, v in counts.items() if k == capacity]
     rest = {k: v for k, v in counts.items() if 0 < k < capacity}
-    fixed, kept = reduce_instance(rest, capacity)
-    return [((k,), v) for k, v in full.items()] + fixed + best_fit(kept, capacity)
+    fixed, left = reduce_instance(rest, capacity)
+    plans = [fixed + best_fit(left, capacity), best_fit(rest, capacity)]
+    return full + min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -149,8 +149,41 @@ def test_plan_is_an_exact_cover_near_the_bound(lengths):
         for x in pattern:
             used[x] += times
     assert used == Counter(lengths)
-    # First fit decreasing needs at most 11/9 of the least number plus one; so does the plan.
-    assert sum(t for _, t in plan) <= -(-sum(lengths) // 64) * 11 / 9 * 1.25 + 2
+    plain = packing.best_fit(Counter(x for x in lengths if x < 64), 64)
+    assert sum(t for _, t in plan) <= sum(t for _, t in plain) + lengths.count(64)
+
+
+def least(lengths, capacity):
+    """The optimum by exhaustive search: each item, longest first, into every different open room."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in sorted(set(r for r in rooms if r >= lengths[i])):
+            rest = list(rooms)
+            rest[rest.index(room)] -= lengths[i]
+            place(i + 1, rest)
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0] if lengths else 0
+
+
+@given(st.lists(st.integers(4, 49), max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_reduction_keeps_the_optimum(lengths):
+    fixed, left = packing.reduce_instance(Counter(lengths), 50)
+    rest = [x for x, n in left.items() for _ in range(n)]
+    assert Counter(x for p, t in fixed for x in p * t) + Counter(rest) == Counter(lengths)
+    assert sum(t for _, t in fixed) + least(rest, 50) == least(lengths, 50)
+
+
+def test_an_instance_that_wrong_dominance_spoils():
+    assert sum(t for _, t in packing.plan_sequences({7: 2, 9: 1, 16: 1}, 50)) == 1
 
 
 def test_reduction_fixes_only_optimal_sets():
@@ -186,7 +219,9 @@ def test_packing(spark, docs, corpus, no_docs, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_RANK_TASK", 3)  # so that ranks are salted
     rows = packing.pack_documents(docs, BYTE_BPE, 0, 512).collect()
     n = check_packed(rows, corpus, 512)
-    assert n <= -(-sum(r["length"] for r in rows) // 512) * 1.05 + 2
+    lengths = Counter(r["length"] for r in rows)
+    plain = packing.best_fit({k: v for k, v in lengths.items() if k < 512}, 512)
+    assert n <= sum(t for _, t in plain) + lengths[512]
     assert packing.pack_documents(no_docs, BYTE_BPE).count() == 0
 
 
