@@ -51,12 +51,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/noteloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table (a few numbers a row) for one file.
+FILE_ROWS = 250_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage
-    with files that survive the loss of executors."""
+    with files that survive the loss of executors. ``discard`` deletes them once they have served.
+    Where about how many ``rows`` a narrow table has is known, small ones get few files."""
     path = new_folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written``; for those that nothing reads any more, neither a plan still to run."""
+    for table in tables:
+        jvm, sc = table.sparkSession._jvm, table.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -90,14 +107,19 @@ def map_file(uri: str) -> np.ndarray:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of ``df``'s input as Catalyst estimates it from file sizes (no job runs)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Size of what ``df`` is made from: its leaves' sizes as Catalyst knows them from files or local
+    rows (no job runs). Where a leaf's size is unknown (an RDD, a cache not yet filled), ``df`` is measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(known, default=0) < 1 << 60:
+        return sum(known)
+    wide = [F.octet_length(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema]
+    return df.agg(F.sum(sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(16)))).first()[0] or 0
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1 << 20) -> int:
     """How many parts keep each near ``bytes_each`` of the input; grows with the input."""
-    return int(min(most, max(least, -(-min(input_bytes(df), 1 << 62) // bytes_each))))
+    return int(min(most, max(least, -(-input_bytes(df) // bytes_each))))
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -120,10 +142,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 48 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches to ``rows`` rows and about ``size`` bytes each; a longer row stands alone."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        todo = [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def mix(x: np.ndarray) -> np.ndarray:
