@@ -3,22 +3,26 @@
 File format (little-endian), one pair of files a shard:
 
 * ``NNNNNN.ids``: the raw ids of the shard's documents, in ascending key order, as unsigned
-  16-bit integers (32-bit if the vocabulary needs them), without any separators.
-* ``NNNNNN.mph``: a header, the hash's levels of bits with running popcounts, then by hash
-  value: fingerprint (uint32), offset of the first id (uint64), number of ids (uint32).
+  16-bit integers (32-bit if the vocabulary or the end id needs them), without any separators.
+* ``NNNNNN.mph``: a header (keys, levels, bytes of an id, rows), the hash's levels of bits, then
+  by hash value: fingerprint (uint32), offset of the first id (uint64), number of the first row
+  (uint64), number of rows (uint32); last the number of ids of every row in turn (uint64).
 
 The hash is a cascade: a level has twice as many bits as it gets keys; keys alone on their bit
 stay there, the others go on to the next level with another seed. A key's number is the rank
 of its bit among all set bits, so numbers are 0..n-1 without gaps and a look-up takes constant
 expected time. A stored fingerprint rejects keys that aren't there.
 
-Shards are ranges of keys: documents are dealt by range, so that every task writes its own
-shards in key order; a retried task overwrites its files whole. A document may be of any length.
+Shards are ranges of (key, hash of the text): documents are dealt by range, so that every task
+writes its own shards in key order; a retried task overwrites its files whole. A document may be
+of any length, and a key with very many rows may go on in the next shard.
+
+The manifest has a row a shard: some 64 bytes for 32 million ids. It is the only thing that is
+collected and broadcast, about a millionth of the store.
 
 Nulls and edge cases: a null text is the empty one; rows with a null key are kept in the first
-shard under a reserved key; of rows that share a key all are stored one after another and the
-index spans them (``rows`` tells how many; look-ups return them as separate documents); an
-empty table has no shards.
+shard under a reserved key; rows that share a key are stored one after another, in the order of
+their texts' hashes, and a look-up of the key returns each of them; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.shared import map_file, mix, new_folder, only, parts_for, put_file, written
-from noteloom.llm.tokenids import encoder
+from noteloom.llm.shared import map_file, mix, new_folder, only, parts_for, put_file, slices, written
+from noteloom.llm.tokenids import encoder, vocabulary_size
 
 SHARD_IDS = 32 << 20
 NULL_KEY = -(1 << 63)
-_MAGIC = b"NLMPH001"
+_MAGIC = b"NLMPH002"
 MANIFEST = "shard long, first_key long, last_key long, n_rows long, n_keys long, n_ids long"
 
 
@@ -88,46 +92,51 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
 
 
-def shard_index(keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> bytes:
-    """The .mph file's bytes for distinct ascending keys."""
+def shard_index(keys: np.ndarray, begins: np.ndarray, firsts: np.ndarray, rows: np.ndarray, sizes: np.ndarray, width: int) -> bytes:
+    """The .mph file's bytes: distinct ascending keys, where their ids and rows begin, how many rows; ids of every row."""
     mph = PerfectHash.build(keys)
     order = np.argsort(mph.find(keys), kind="stable")
-    parts = [_MAGIC, struct.pack("<QQ", len(keys), len(mph.levels)), struct.pack(f"<{len(mph.levels)}Q", *map(len, mph.levels)), *(w.astype("<u8").tobytes() for w in mph.levels)]
-    parts += [fingerprints(keys)[order].astype("<u4").tobytes(), begins[order].astype("<u8").tobytes(), sizes[order].astype("<u8").tobytes(), rows[order].astype("<u4").tobytes()]
+    parts = [_MAGIC, struct.pack("<QQQQ", len(keys), len(mph.levels), width, len(sizes)), struct.pack(f"<{len(mph.levels)}Q", *map(len, mph.levels)), *(w.astype("<u8").tobytes() for w in mph.levels)]
+    parts += [fingerprints(keys)[order].astype("<u4").tobytes(), begins[order].astype("<u8").tobytes(), firsts[order].astype("<u8").tobytes(), rows[order].astype("<u4").tobytes(), sizes.astype("<u8").tobytes()]
     return b"".join(parts)
 
 
 class Shard:
     """A shard's files, memory-mapped; ``locate`` is the keyed access."""
 
-    def __init__(self, folder: str, shard: int, dtype: str):
+    def __init__(self, folder: str, shard: int):
         raw = map_file(f"{folder}/{shard:06d}.mph")
         if raw[:8].tobytes() != _MAGIC:
             raise ValueError(f"not an index: {folder}/{shard:06d}.mph")
-        n, depth = struct.unpack("<QQ", raw[8:24].tobytes())
-        sizes = struct.unpack(f"<{depth}Q", raw[24 : 24 + 8 * depth].tobytes())
-        at, levels = 24 + 8 * depth, []
-        for size in sizes:
+        n, depth, width, stored = struct.unpack("<QQQQ", raw[8:40].tobytes())
+        words = struct.unpack(f"<{depth}Q", raw[40 : 40 + 8 * depth].tobytes())
+        at, levels = 40 + 8 * depth, []
+        for size in words:
             levels.append(np.frombuffer(raw[at : at + 8 * size].tobytes(), "<u8"))
             at += 8 * size
         self.mph = PerfectHash(levels, n)
         fields = []
-        for kind, width in (("<u4", 4), ("<u8", 8), ("<u8", 8), ("<u4", 4)):
-            fields.append(np.frombuffer(raw[at : at + width * n].tobytes(), kind))
-            at += width * n
-        self.marks, self.begins, self.sizes, self.rows = fields
-        self.ids = map_file(f"{folder}/{shard:06d}.ids").view(dtype)
-
-    def locate(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(found, offset, number of ids, number of rows) of each key."""
+        for kind, count in (("<u4", n), ("<u8", n), ("<u8", n), ("<u4", n), ("<u8", stored)):
+            size = np.dtype(kind).itemsize * count
+            fields.append(np.frombuffer(raw[at : at + size].tobytes(), kind))
+            at += size
+        self.marks, self.begins, self.firsts, self.rows, self.sizes = fields
+        self.ids = map_file(f"{folder}/{shard:06d}.ids").view(f"<u{width}")
+
+    def locate(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the key, offset, number of ids) of every row stored under the keys."""
         at = self.mph.find(keys)
         found = at >= 0
         if self.mph.n:
             found &= self.marks[at] == fingerprints(keys)
-            at = np.where(found, at, 0)
-            return found, self.begins[at].astype(np.int64), self.sizes[at].astype(np.int64), self.rows[at].astype(np.int64)
-        zero = np.zeros(len(keys), np.int64)
-        return found, zero, zero, zero
+        which = np.flatnonzero(found)
+        at = at[which]
+        rows = self.rows[at].astype(np.int64)
+        nth = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+        size = self.sizes[np.repeat(self.firsts[at].astype(np.int64), rows) + nth].astype(np.int64)
+        before = np.cumsum(size) - size
+        heads = np.repeat(before[nth == 0], rows) if len(nth) else before
+        return np.repeat(which, rows), np.repeat(self.begins[at].astype(np.int64), rows) + before - heads, size
 
 
 class _Writer:
@@ -149,46 +158,36 @@ class _Writer:
             return []
         keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
         distinct, first, rows = np.unique(keys, return_index=True, return_counts=True)
-        ends = np.cumsum(counts)
-        begins = (ends - counts)[first]
-        sizes = ends[first + rows - 1] - begins
+        begins = (np.cumsum(counts) - counts)[first]
         put_file(f"{self.folder}/{self.shard:06d}.ids", *(x.tobytes() for x in self.ids))
-        put_file(f"{self.folder}/{self.shard:06d}.mph", shard_index(distinct, begins, sizes, rows))
-        # Lengths of rows that share a key aren't in the index; they go with the manifest's row order.
+        put_file(f"{self.folder}/{self.shard:06d}.mph", shard_index(distinct, begins, first, rows, counts, np.dtype(self.dtype).itemsize))
         row = (self.shard, int(keys[0]), int(keys[-1]), len(keys), len(distinct), int(counts.sum()))
         self.shard += 1
         self.clear()
         return [row]
 
 
-def write_store(documents: DataFrame, tokenizer: str, end_id: int, spaces_matter: bool = False, wide: bool = False, folder: str | None = None, shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
+def write_store(documents: DataFrame, tokenizer: str, end_id: int, spaces_matter: bool = False, folder: str | None = None, shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
     """Encode every whole text, append ``end_id``, write the shards; (folder, manifest).
 
-    Documents are dealt by ranges of doc_id and sorted within each; shard numbers ascend with keys.
+    Documents are dealt by ranges of (doc_id, hash of the text) and sorted within each; shard
+    numbers ascend with keys. Ids take two bytes where the vocabulary and the end id allow it.
     """
     spark = documents.sparkSession
     folder = folder or new_folder(spark, "token-store")
-    dtype = "<u4" if wide else "<u2"
+    dtype = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     parts = parts_for(documents, 16 << 20)
-    keyed = only(documents, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)))
-    dealt = keyed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    keyed = only(documents, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit(NULL_KEY))).withColumn("hash", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, out, rows = encoder(tokenizer, spaces_matter), None, []
-        for whole in batches:
-            keys_all = whole.column(0).to_numpy()
-            i = 0
-            while i < whole.num_rows:
-                # Rows of one key are never parted from each other.
-                j = min(i + 4000, whole.num_rows)
-                batch, keys = whole.slice(i, j - i), keys_all[i:j]
-                out = out or _Writer(folder, int(batch.column(2)[0].as_py()) << 20, dtype)
-                if out.n >= shard_ids and out.keys[-1][-1] != keys[0]:
-                    rows += out.close()
-                ids, at = codes.encode(batch.column(1))
-                counts = np.diff(at) + 1
-                out.add(keys, counts, np.insert(ids, at[1:], end_id))
-                i = j
+        for batch in slices(batches, 4000):
+            out = out or _Writer(folder, int(batch.column(2)[0].as_py()) << 20, dtype)
+            if out.n >= shard_ids:
+                rows += out.close()
+            ids, at = codes.encode(batch.column(1))
+            out.add(batch.column(0).to_numpy(), np.diff(at) + 1, np.insert(ids, at[1:], end_id))
         rows += out.close() if out else []
         names = ["shard", "first_key", "last_key", "n_rows", "n_keys", "n_ids"]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], names)
@@ -196,49 +195,44 @@ def write_store(documents: DataFrame, tokenizer: str, end_id: int, spaces_matter
     return folder, written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
 
-def read_store(keys: DataFrame, folder: str, manifest: DataFrame, wide: bool = False) -> DataFrame:
-    """Keyed access: (doc_id, start, n_tokens, ids_crc32, shard, shard_offset) of every distinct key in ``keys`` that is stored.
+def read_store(keys: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
+    """Keyed access: (doc_id, start, n_tokens, ids_crc32, shard, shard_offset) of every row stored
+    under a key in ``keys`` (however often the key stands there).
 
-    ``start`` counts the ids of all documents before it, over all shards. The manifest has a row
-    a shard, so its size is the corpus's divided by the shard size; a key finds its shard in it
-    by binary search, then its place by the shard's perfect hash.
+    ``start`` counts the ids of all rows before it, over all shards. A key finds its shards in the
+    manifest by binary search, then its place by the shard's perfect hash.
     """
-    dtype = "<u4" if wide else "<u2"
-    shards = sorted(map(tuple, manifest.collect()), key=lambda r: (r[1], r[0]))
-    firsts = np.array([r[1] for r in shards], np.int64)
-    numbers = np.array([r[0] for r in shards], np.int64)
-    totals = np.array([r[5] for r in shards], np.int64)
-    starts = np.cumsum(totals) - totals
-    spark = keys.sparkSession
-    table = spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(firsts)], "nth int, first_key long")
+    shards = sorted(map(tuple, manifest.collect()))
+    columns = np.array(shards, np.int64).reshape(-1, 6).T
+    numbers, firsts, lasts, totals = columns[0], columns[1], columns[2], columns[5]
+    lists = keys.sparkSession.sparkContext.broadcast((numbers, firsts, lasts, np.cumsum(totals) - totals))
     wanted = keys.select(F.coalesce(F.col("doc_id"), F.lit(NULL_KEY)).alias("doc_id")).distinct()
-    lists = spark.sparkContext.broadcast((firsts, numbers, starts))
-    del table
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, firsts, lasts, _ = lists.value
         for batch in batches:
-            at = np.searchsorted(lists.value[0], batch.column(0).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.maximum(at, 0), pa.int32())], ["doc_id", "nth"])
+            own = batch.column(0).to_numpy()
+            low = np.searchsorted(lasts, own)
+            n = np.maximum(np.searchsorted(firsts, own, "right") - low, 0)
+            nth = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(nth, pa.int32())], ["doc_id", "nth"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, numbers, starts = lists.value
+        numbers, _, _, starts = lists.value
         opened: dict[int, Shard] = {}
         for batch in batches:
             keys, nth = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for k in np.unique(nth):
-                if len(starts) == 0:
-                    continue
                 if k not in opened:
-                    opened = {k: Shard(folder, int(numbers[k]), dtype)}
+                    opened = {k: Shard(folder, int(numbers[k]))}
                 shard, own = opened[k], keys[nth == k]
-                found, begin, size, rows = shard.locate(own)
-                own, begin, size = own[found], begin[found], size[found]
+                which, begin, size = shard.locate(own)
                 crc = [zlib.crc32(shard.ids[b : b + n].astype("<u4").tobytes()) for b, n in zip(begin.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(begin + starts[k]), pa.array(size), pa.array(crc, pa.int64()), pa.array(rows[found]), pa.array(np.full(len(own), numbers[k])), pa.array(begin)],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "n_rows", "shard", "shard_offset"],
+                    [pa.array(own[which]), pa.array(begin + starts[k]), pa.array(size), pa.array(crc, pa.int64()), pa.array(np.full(len(which), numbers[k])), pa.array(begin)],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_offset"],
                 )
 
     routed = wanted.mapInArrow(route, "doc_id long, nth int").repartition(max(1, len(shards)), "nth").sortWithinPartitions("nth", "doc_id")
-    got = routed.mapInArrow(look_up, "doc_id long, start long, n_tokens long, ids_crc32 long, n_rows long, shard long, shard_offset long")
+    got = routed.mapInArrow(look_up, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, shard_offset long")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")))
