@@ -25,15 +25,15 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.shared import only, slices, text_buffers, written
 
 WIDTH = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
-_SILENT = {"script", "style", "template", "noscript", "head"}
-_BREAKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption", "section", "article", "table", "tr", "br", "blockquote", "nav", "footer", "header", "body"}
+_SILENT = {"script", "style", "template", "noscript", "title"}
+_BREAKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption", "section", "article", "table", "tr", "br", "blockquote", "nav", "footer", "header", "head", "body"}
 SEGMENTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
 
@@ -106,14 +106,17 @@ def segments(html: str | None) -> list[dict]:
     ]
 
 
-def parse_interleaved(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, segments) of every row."""
+def parse_interleaved(pages: DataFrame, key: str, html: str, texts: bool = True) -> DataFrame:
+    """(key, segments) of every row; without ``texts`` text segments keep their places but not their text."""
     kind = pages.select(key).dtypes[0][1]
     target = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([segments(x) for x in batch.column(1).to_pylist()], target)], [key, "segments"])
+            found = [segments(x) for x in batch.column(1).to_pylist()]
+            if not texts:
+                found = [[x | {"text": None} for x in page] for page in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, target)], [key, "segments"])
 
     return only(pages, key, html).mapInArrow(run, f"`{key}` {kind}, segments {SEGMENTS}")
 
@@ -165,26 +168,42 @@ def feature(payload: bytes) -> str:
     return f"{mean:.4f} {deviation:.4f} {float(-(some @ np.log2(some))):.4f} " + " ".join(map(str, bins))
 
 
+def document_page(text: Column, digest: Column, caption: Column) -> Column:
+    """A text as an HTML page: a paragraph a line, after the first one the figure that refers to its payload."""
+    safe = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.substring_index(safe, "\n", 1)
+    rest = F.replace(F.substr(safe, F.length(first) + 2, F.length(safe)), F.lit("\n"), F.lit("</p><p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+
+
+def payload_digest(text: Column) -> Column:
+    """SHA-256 of a text's bytes, padded with zero bytes to a positive multiple of 64."""
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    padding = F.substr(F.lit(bytes(WIDTH)), F.lit(1), F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH))))
+    return F.sha2(F.concat(raw, padding), 256)
+
+
 def store_payloads(documents: DataFrame) -> DataFrame:
-    """Written rows (doc_id, n_bytes, html, digest, media): the page that refers to each text's
-    payload, and the stored form beside the first row of each digest in a batch (else null)."""
+    """Written rows (doc_id, n_bytes, digest, media): each text's payload by its digest, and the
+    stored form beside the first row of each digest in a batch (else null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             data, at = text_buffers(batch.column(1))
-            sizes, pages, digests, media, seen = [], [], [], [], set()
-            for i, key in enumerate(batch.column(0).to_pylist()):
+            sizes, digests, media, seen = [], [], [], set()
+            for i in range(batch.num_rows):
                 raw = data[at[i] : at[i + 1]].tobytes()
                 payload = padded(raw)
                 digest = hashlib.sha256(payload).hexdigest()
                 sizes.append(len(raw))
                 digests.append(digest)
-                pages.append(f'<article><p>document</p><figure><img src="sha256:{digest}"><figcaption>document {key}</figcaption></figure></article>')
                 media.append(None if digest in seen else to_png(payload))
                 seen.add(digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "html", "digest", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "digest", "media"])
 
-    return written(only(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary"), "media-store")
+    return written(only(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary"), "media-store")
 
 
 def read_media(store: DataFrame) -> DataFrame:
@@ -216,11 +235,14 @@ def resolve(references: DataFrame, resolved: DataFrame, digest: str = "digest")
 
 
 def media_documents(documents: DataFrame) -> DataFrame:
-    """Every text through the store and back, as the interleaved page that refers to it:
-    (doc_id, n_bytes, position, caption, the columns of ``read_media``)."""
+    """Every text through the store and back, as the interleaved page of its lines that refers to it:
+    (doc_id, n_bytes, position and caption of the reference, n_segments, the columns of ``read_media``)."""
     store = store_payloads(documents)
-    pages = parse_interleaved(store.select(F.struct("doc_id", "n_bytes").alias("row"), "html"), "row", "html")
-    media = pages.select("row.*", F.explode("segments").alias("s")).where("s.kind = 'media'")
-    references = media.select("doc_id", "n_bytes", F.col("s.position").alias("position"), F.col("s.caption").alias("caption"), F.col("s.digest").alias("digest"))
+    text, caption = F.col("`text`"), F.concat(F.lit("document "), F.coalesce(F.col("`doc_id`").cast("string"), F.lit("null")))
+    row = F.struct(F.col("`doc_id`"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    pages = documents.select(row.alias("row"), document_page(text, payload_digest(text), caption).alias("html"))
+    parsed = parse_interleaved(pages, "row", "html", texts=False)
+    media = parsed.select("row.*", F.size("segments").alias("n_segments"), F.explode(F.filter("segments", lambda s: s["kind"] == "media")).alias("s"))
+    references = media.select("doc_id", "n_bytes", "n_segments", F.col("s.position").alias("position"), F.col("s.caption").alias("caption"), F.col("s.digest").alias("digest"))
     references = written(references, "media-references")
     return resolve(references, read_media(store)).drop("digest")
