@@ -7,7 +7,8 @@ words, over at most ``MAX_FIT_ROWS`` labelled documents in the order of a hash o
 
 Afterwards a temperature and a rejection threshold are calibrated on documents kept out of the
 descent: the temperature minimises their log loss, the threshold is the largest that rejects
-at most ``max_reject`` of the rightly labelled ones.
+at most ``max_reject`` of the rightly labelled ones, but never above ``ceiling``: a language
+likelier than all others together is not rejected.
 
 Since the layer is linear, a word's part in the sum is a sum of table rows already multiplied
 by the layer, so scoring handles each distinct word of a batch once and adds up whole texts.
@@ -111,7 +112,7 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(texts: pa.Array, langs: list[str], bits: int = 16, width: int = 16, epochs: int = 1, rate: float = 0.5, max_reject: float = 0.001, seed: int = 7) -> LanguageModel:
+def fit(texts: pa.Array, langs: list[str], bits: int = 16, width: int = 16, epochs: int = 1, rate: float = 0.5, max_reject: float = 0.001, ceiling: float = 0.5, seed: int = 7) -> LanguageModel:
     """Train on nine tenths of the rows, calibrate on the rest."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], int)
@@ -128,12 +129,13 @@ def fit(texts: pa.Array, langs: list[str], bits: int = 16, width: int = 16, epoc
         a, b = w[i], w[i + 1]
         if a == b:
             continue
-        if kind or b - a > 200:  # a short run of the text's words
-            n = int(min(b - a, rng.integers(3, 30) if kind else 200))
+        if kind:  # a short run of the text's words
+            n = int(min(b - a, rng.integers(3, 30)))
             a = int(rng.integers(a, b - n + 1))
             b = a + n
-        rows, _ = word_grams(data, s[a:b], e[a:b], bits)
-        mean = table[rows].mean(axis=0)
+        rows, times = np.unique(word_grams(data, s[a:b], e[a:b], bits)[0], return_counts=True)
+        share = times / times.sum()
+        mean = share @ table[rows]
         z = mean @ layer + bias
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -142,7 +144,7 @@ def fit(texts: pa.Array, langs: list[str], bits: int = 16, width: int = 16, epoc
         back = layer @ p
         layer -= step * np.outer(mean, p)
         bias -= 0.1 * step * p
-        np.subtract.at(table, rows, step * back / len(rows) * 8)
+        table[rows] -= np.outer(share, 8 * step * back)
     model = LanguageModel(names, (table @ layer).astype(np.float64), bias, bits)
     if calibrating.any():
         keep = np.flatnonzero(calibrating)
@@ -157,14 +159,26 @@ def fit(texts: pa.Array, langs: list[str], bits: int = 16, width: int = 16, epoc
         p = model.probabilities(z)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
         if len(right):
-            model.threshold = float(min(right[int(max_reject * len(right))], 0.5))
+            model.threshold = float(min(right[int(max_reject * len(right))], ceiling))
     return model
 
 
 def fit_languages(documents: DataFrame, max_rows: int = MAX_FIT_ROWS) -> LanguageModel | None:
-    """Learn from labelled documents outside the held-out fold (crc32 modulo 4 is 2)."""
+    """Learn from labelled documents outside the held-out fold (crc32 modulo 4 is 2).
+
+    The rows are the first ``max_rows`` in the order of a hash. Their number is counted first, so
+    that only hashes up to a bound which about twice as many rows stay below are ordered at all;
+    should fewer lie below it than wanted, all are.
+    """
     known = only(documents, "doc_id", "text", "lang").where("text is not null and lang is not null").where(~held_out(F.col("doc_id"), 4, 2))
-    rows = known.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", F.xxhash64("text")).limit(max_rows).select("text", "lang").toArrow()
+    hashed = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id")
+    total = known.count()
+    bound = min(1.0, (2 * max_rows + 1000) / max(total, 1))
+    for share in (bound, 1.0):
+        some = hashed if share >= 1 else hashed.where(F.col("h") < int((share - 0.5) * 2.0**64))
+        rows = some.orderBy("h", "doc_id", F.xxhash64("text", F.lit(1))).limit(max_rows).select("text", "lang").toArrow()
+        if rows.num_rows >= min(max_rows, total):
+            break
     return fit(rows.column("text").combine_chunks(), rows.column("lang").to_pylist()) if rows.num_rows else None
 
 
