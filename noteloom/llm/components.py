@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.shared import written
+from noteloom.llm.shared import discard, written
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
     Large-star and small-star steps alternate (every node hands its neighbours its smallest
-    one) until no edge changes; each round is written to the shared folder. Rounds grow with the
+    one) until no edge changes; each round is written to the shared folder and then replaces the
+    one before, whose files are deleted. Rounds grow with the
     logarithm of the longest path. Minima are aggregated before any shuffle, so a node
-    with very many edges costs no task more than another.
+    with very many edges costs no task more than another. ``rows``: about how many edges, if known.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
@@ -31,10 +32,13 @@ def connected(edges: DataFrame) -> DataFrame:
         kept = large.where("u <> v").distinct()
         small = kept.groupBy("u").agg(F.min("v").alias("m"))
         nxt = kept.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v")))
-        now = written(nxt.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        last, now = now, written(nxt.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", before[0])
         again = state(now)
+        discard(last)
     # At rest every edge points at its component's smallest node.
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found.made_from = now
+    return found
 
 
 def join_hot(rows: DataFrame, unique: DataFrame, key: str, how: str = "left") -> DataFrame:

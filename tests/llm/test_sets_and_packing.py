@@ -35,8 +35,10 @@ def shingles(text):
 
 
 def brute_components(rows):
+    """Of rows (doc_id, text), in their order: (n_shingles, component_id, n_links)."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
+    links = [0] * len(rows)
 
     def root(i):
         while parent[i] != i:
@@ -48,23 +50,41 @@ def brute_components(rows):
             both = len(a & sets[j])
             if a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (key, _) in enumerate(rows):
-        least[root(i)] = min(key, least.get(root(i), key))
-    return {key: (len(sets[i]), least[root(i)]) for i, (key, _) in enumerate(rows)}
+        least[root(i)] = min((k for k in (key, least.get(root(i))) if k is not None), default=None)
+    return [(len(sets[i]), least[root(i)], links[i]) for i in range(len(rows))]
+
+
+def joined(documents, *names):
+    return [tuple(r) for r in jaccard_join.near_duplicates(documents).select("doc_id", "n_shingles", "component_id", "n_links", *names).collect()]
 
 
 def test_near_duplicates(spark, docs, corpus, no_docs):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()}
-    assert got == brute_components([(r[0], r[1]) for r in corpus])
-    assert jaccard_join.near_duplicates(no_docs).count() == 0
+    rows = [(r[0], r[1]) for r in corpus]
+    assert sorted(joined(docs)) == sorted((key, *x) for (key, _), x in zip(rows, brute_components(rows)))
+    assert joined(no_docs) == []
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a + " more"), (None, a), (None, b), (None, b + " more"), (3, c), (3, None), (4, ""), (None, ""), (3, "x y"), (9, "x y"), (7, c + " z")] + [(8, b.upper())] * 3
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(got) == Counter((key, *x) for (key, _), x in zip(rows, brute_components(rows)))
+    classes = joined(spark.createDataFrame([(None, a), (None, b), (None, a), (None, None)], "doc_id long, text string"), "class_id")
+    assert len({x[-1] for x in classes}) == 3 and all(x[2] is None for x in classes)
 
 
 def test_groups_cut_into_chunks_lose_no_link(spark, docs, corpus):
     table = jaccard_join.set_table(docs)
-    whole = {tuple(sorted(x)) for x in _groups(jaccard_join.set_components(docs, table))}
-    parted = {tuple(sorted(x)) for x in _groups(jaccard_join.set_components(docs, table, group_shingles=300))}
-    assert whole and whole == parted
+    weights = table.where("n > 0").groupBy("set_id").agg(F.count("*").alias("weight"))
+    whole = jaccard_join.set_components(docs, table, weights)
+    parted = jaccard_join.set_components(docs, table, weights, group_shingles=300)
+    assert {tuple(sorted(x)) for x in _groups(whole)} == {tuple(sorted(x)) for x in _groups(parted)} and whole.count()
+    links = [{r["set_id"]: r["links"] for r in x.collect() if r["links"]} for x in (whole, parted)]
+    assert links[0] and links[0] == links[1]
 
 
 def _groups(found):
@@ -74,18 +94,23 @@ def _groups(found):
     return out.values()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=12))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=25), min_size=1, max_size=12))
 def test_link_group(lists):
     sets = [np.array(sorted(set(x)), np.uint64) for x in lists]
-    got = jaccard_join.link_group(sets, np.array([len(x) for x in sets]))
+    size = np.array([len(x) + len(x) % 3 for x in sets])  # some shingles that no other set holds
+    got, links = jaccard_join.link_group(sets, size, np.arange(len(sets)) + 1)
+    least = [0] * len(sets)
     parent = list(range(len(sets)))
     root = lambda i: i if parent[i] == i else root(parent[i])
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(np.intersect1d(a, sets[j]))
-            if 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+            if 100 * both >= 75 * (size[i] + size[j] - both):
                 parent[root(i)] = root(j)
+                least[i] += j + 1
+                least[j] += i + 1
+    assert links.tolist() == least
     for i in range(len(sets)):
         for j in range(i):
             assert (got[i] == got[j]) == (root(i) == root(j))
@@ -119,17 +144,31 @@ def test_token_store(spark, docs, corpus, no_docs):
     assert got == want
     unknown = spark.createDataFrame([(10**9,), (-5,)], "doc_id long")
     assert read_store(unknown, folder, manifest).count() == 0
-    shard = Shard(folder, manifest.orderBy("first_key").first()["shard"], "<u2")
-    assert shard.locate(np.array([0]))[0][0] and not shard.locate(np.array([10**12]))[0][0]
+    shard = Shard(folder, manifest.orderBy("first_key").first()["shard"])
+    assert [len(shard.locate(np.array([key]))[0]) for key in (0, 10**12)] == [1, 0]
     empty, none = write_store(no_docs, WORD_BPE, end_id=1)
     assert read_store(docs, empty, none).count() == 0
 
 
 def test_token_store_with_repeated_and_null_keys(spark):
-    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c"), (None, "d"), (3, None)], "doc_id long, text string")
-    folder, manifest = write_store(rows, WORD_BPE, end_id=1)
-    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["n_rows"]) for r in read_store(rows, folder, manifest).collect()}
-    assert got == {None: (0, 2, 1), 1: (2, 6, 2), 2: (8, 2, 1), 3: (10, 1, 1)}
+    rows = [(1, "a b"), (1, "a b"), (1, "c d e"), (2, "c"), (None, "d"), (None, "d e"), (3, None)] + [(4, "x " * (i % 7)) for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for limit in (1 << 20, 300):  # in the second store key 4 goes on through several shards
+        folder, manifest = write_store(table, WORD_BPE, end_id=1, shard_ids=limit)
+        got = sorted(map(tuple, read_store(table, folder, manifest).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+        assert [x[0] for x in got] == np.cumsum([0] + [x[2] for x in got])[:-1].tolist()
+        keys = [-1 if x[1] is None else x[1] for x in got]
+        assert keys == sorted(keys)
+        ids = [(key, library(WORD_BPE).encode(text or "", add_special_tokens=False).ids + [1]) for key, text in rows]
+        assert Counter(x[1:] for x in got) == Counter((key, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for key, x in ids)
+
+
+def test_ids_beyond_16_bits_are_stored_wide(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
+    folder, manifest = write_store(rows, WORD_BPE, end_id=70_000)
+    want = [library(WORD_BPE).encode("a b", add_special_tokens=False).ids + [70_000], [70_000]]
+    got = [r["ids_crc32"] for r in read_store(rows, folder, manifest).orderBy("doc_id").collect()]
+    assert got == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
 
 
 @settings(max_examples=40, deadline=None)
