@@ -65,17 +65,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of linked ones: the smallest (doc_id, nulls last, text hash).
 
-    Groups are those of rows, which get a number of their own for it. Texts without words are
-    linked to nothing; of such rows only exact repeats of doc_id and text are one.
+    Rows are told apart by doc_id and text hash, and go to their group by what their text holds,
+    whatever their doc_id. Texts without words are linked to nothing; of such rows only exact
+    repeats of a doc_id and a text are one, so those with a null doc_id all stay.
     """
-    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
-    keyed = rows.select("row", "doc_id", F.xxhash64("text").alias("text_hash")).join(found, "row")
-    empty = F.col("n_shingles") == 0
-    group = (F.when(~empty, F.col("component_id")), F.when(empty, F.col("doc_id")), F.when(empty, F.col("text_hash")), F.when(empty & F.col("doc_id").isNull(), F.col("row")))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row")
-    first = keyed.groupBy(*(x.alias(f"g{i}") for i, x in enumerate(group))).agg(F.min_by("row", order).alias("row"))
-    return rows.join(first, "row", "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    found = near_duplicates(rows.select("doc_id", "text", "text_hash"), ("text_hash",))
+    kinds = found.groupBy("doc_id", "text_hash", "class_id").agg(F.count("*").alias("copies"))
+    empty = F.col("class_id").isNull()
+    group = (F.col("class_id"), F.when(empty, F.col("doc_id")), F.when(empty, F.col("text_hash")))
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies"))
+    first = kinds.groupBy(*(x.alias(f"g{i}") for i, x in enumerate(group))).agg(chosen.alias("c"))
+    # Non-null join keys; every row of a null doc_id without words is its own.
+    once = (F.col("c.copies") == 1) | (F.col("g0").isNull() & F.col("c.none"))
+    first = written(first.select(F.col("c.none").alias("k0"), F.coalesce("c.doc_id", F.lit(0)).alias("k1"), F.col("c.text_hash").alias("k2"), once.alias("once")), "chosen", docs.count())
+    keyed = rows.withColumns({"k0": F.col("doc_id").isNull(), "k1": F.coalesce("doc_id", F.lit(0)), "k2": F.col("text_hash")})
+    keys = ["k0", "k1", "k2"]
+    kept = keyed.join(first.where("once"), keys, "left_semi").select(*COLUMNS)
+    if first.where("not once").isEmpty():
+        return kept
+    repeated = keyed.join(first.where("not once"), keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(repeated.select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
