@@ -34,3 +34,11 @@ def djb2(text: Column) -> Column:
 def content_key(text: Column, digits: int = 64) -> Column:
     """SHA-256 as hex, the first ``digits`` of it."""
     return F.substring(F.sha2(text.cast("binary"), 256), 1, digits)
+
+
+def rolling32(text: Column) -> Column:
+    """32-bit rolling hash (h * 31 + code) over the characters, as 8 hex digits: the stand-in
+    for a content key where no digest is at hand. Characters beyond the BMP count by code point."""
+    codes = F.transform(F.filter(F.split(text, "(?!^)"), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    folded = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(MASK))
+    return F.lpad(F.lower(F.hex(folded)), 8, "0")

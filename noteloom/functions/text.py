@@ -320,10 +320,45 @@ def compact_count(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
 
 
+#: Patterns of the entity kinds (approximations of a system detector).
+ENTITIES = (
+    ("link", r"https?://[^\s<>\")]+"),
+    ("phone", r"\+?\d[\d ().-]{7,}\d"),
+    ("date", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b"),
+    ("address", r"\b\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln)\b|\b(?:Rua|Avenida|Praça) [A-Z][0-9A-Za-z ]{1,40}, \d{1,5}\b"),
+)
+
+
 def entity_kinds(text: Column) -> Column:
-    """Links and phone numbers by pattern (an approximation of a system detector)."""
+    """Links, phone numbers, dates and addresses by pattern."""
     found = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    return F.concat(found("link", r"https?://[^\s<>\")]+"), found("phone", r"\+?\d[\d ().-]{7,}\d"))
+    return F.concat(*(found(kind, pattern) for kind, pattern in ENTITIES))
+
+
+#: Frequent words that tell languages apart (an approximation of a system model).
+LANGUAGE_WORDS = {
+    "de": ("der", "die", "und", "das", "ist", "nicht", "ich", "ein", "zu", "mit"),
+    "en": ("the", "and", "of", "to", "is", "in", "that", "was", "for", "with"),
+    "es": ("el", "los", "las", "que", "y", "en", "por", "con", "una", "del"),
+    "fr": ("le", "les", "des", "et", "est", "dans", "une", "du", "pas", "pour"),
+    "pt": ("os", "não", "uma", "em", "com", "para", "dos", "ao", "mais", "seu"),
+}
+
+
+def language_hypotheses(text: Column, most: int = 3) -> Column:
+    """(lang, score) of the likeliest languages: a language's share of all frequent words found,
+    best first, then by name; none without any such word."""
+
+    def share(found: Column, lang: str) -> Column:
+        return F.struct(F.size(F.filter(found, lambda w: w.isin(*LANGUAGE_WORDS[lang]))).alias("n"), F.lit(lang).alias("lang"))
+
+    def ranked(found: Column) -> Column:
+        counts = F.array(*(share(found, lang) for lang in LANGUAGE_WORDS))
+        total = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
+        some = F.transform(F.filter(counts, lambda x: x["n"] > 0), lambda x: F.struct((-x["n"]).alias("n"), x["lang"].alias("lang")))
+        return F.transform(F.slice(F.array_sort(some), 1, most), lambda x: F.struct(x["lang"].alias("lang"), F.round(-x["n"] / total, 6).alias("score")))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[a-zà-ÿ]+"), F.lit(0)), ranked)
 
 
 def image_text(name: Column, ocr: Column, labels: Column, faces: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import let
 
 BITS = 128
+#: Rounds of the mixed projection: xor with the shifted number, then multiply (31 bits are kept between).
+MIX = ((13, 1664525), (11, 1103515245), (15, 1664525))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,7 +38,11 @@ def _sign(bit: Column, dim: Column, projection: str) -> Column:
     if projection == "compat":
         low = bit.bitwiseAND(1).bitwiseXOR(dim.bitwiseAND(1)).bitwiseXOR(F.shiftright(dim.cast("int"), 8).bitwiseAND(1))
         return F.when(low == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.when(F.xxhash64(bit, dim).bitwiseAND(1) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    h = (bit.cast("long") * 512 + dim.cast("long") + 1) * 1103515245
+    for shift, factor in MIX:
+        h = h.bitwiseAND(0x7FFFFFFF)
+        h = h.bitwiseXOR(F.shiftright(h, shift)) * factor
+    return F.when(F.shiftright(h, 16).bitwiseAND(1) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
 def signature_bits(vec: Column, projection: str = "mixed", dims: int = 512) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,35 +14,43 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import trim_summary
 
 MOST, OVERLAP, FINAL = 8000, 200, 2000
+PARAGRAPH, SENTENCE, JOINT = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+"), "\n\n"
+
+
+def _between(separator: re.Pattern, text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Spans of ``text[start:stop]`` that the separator parts."""
+    for found in separator.finditer(text, start, stop):
+        yield start, found.start()
+        start = found.end()
+    yield start, stop
+
+
+def _spans(text: str, most: int) -> Iterator[tuple[int, int]]:
+    """Spans of at most ``most`` characters: paragraphs that aren't blank; of longer ones the sentences; of longer ones plain cuts."""
+    for a, b in _between(PARAGRAPH, text, 0, len(text)):
+        if b - a <= most:
+            if not text[a:b].isspace() and a < b:
+                yield a, b
+            continue
+        for c, d in _between(SENTENCE, text, a, b):
+            yield from ((x, min(x + most, d)) for x in range(c, max(d, c + 1), most))
 
 
 def chunk(text: str | None, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
-    """Paragraphs, else sentences, else plain cuts, packed greedily; each further chunk begins with
-    the tail of the one before."""
-    if not text:
-        return []
-    if len(text) <= most:
-        return [text]
-    if overlap >= most:
-        overlap = most // 4
-    atoms: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text):
-        if len(paragraph) <= most:
-            atoms += [paragraph] if paragraph.strip() else []
-        else:
-            for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-                atoms += [sentence] if len(sentence) <= most else [sentence[i : i + most] for i in range(0, len(sentence), most)]
-    packed: list[list[str]] = []
-    size = 0
-    for atom in atoms:
-        if packed and size + 2 + len(atom) <= most and packed[-1]:
-            packed[-1].append(atom)
-            size += 2 + len(atom)
-        else:
-            packed.append([atom])
-            size = len(atom)
-    chunks = ["\n\n".join(p) for p in packed]
-    return chunks[:1] + [(a[-overlap:] if overlap else "") + "\n\n" * bool(overlap) + b for a, b in zip(chunks, chunks[1:])]
+    """Chunks of at most ``most`` characters, each filled with as many spans as fit, joined by a
+    blank line; before a further chunk stands the tail of the one before it."""
+    if not text or len(text) <= most:
+        return [text] if text else []
+    tail = overlap if overlap < most else most // 4
+    spans = list(_spans(text, most))
+    ends = list(accumulate(b - a + len(JOINT) for a, b in spans))  # where each would end if all were joined
+    out, first = [], 0
+    while first < len(spans):
+        room = (ends[first - 1] if first else 0) + most + len(JOINT)
+        last = max(first + 1, bisect_right(ends, room))
+        out.append(JOINT.join(text[a:b] for a, b in spans[first:last]))
+        first = last
+    return [x if not (i and tail) else out[i - 1][-tail:] + JOINT + x for i, x in enumerate(out)]
 
 
 def chunks(rows: DataFrame, key: str, text: str, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:

@@ -101,9 +101,10 @@ def merge(builders: Iterable[DataFrame]) -> DataFrame:
 
 
 def neighbours_by_dst(edges: DataFrame, types: list[str] | None = None, top: int = 30) -> DataFrame:
-    """Per source its strongest destinations: summed weight, number of edges, distinct types."""
+    """Per source its strongest destinations: summed weight, number of edges, distinct types, and the
+    edges themselves (at most one a type)."""
     rows = edges.where(F.col("type").isin(*types)) if types else edges
-    summed = rows.groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n_edges"), F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"))
+    summed = rows.groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n_edges"), F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"), F.sort_array(F.collect_list(F.struct("type", "weight", "why"))).alias("edges"))
     return top_per(summed, ["src"], [F.desc("weight"), F.asc("dst")], top)
 
 
@@ -146,6 +147,11 @@ def changed_blocks(new: DataFrame, stored: DataFrame) -> DataFrame:
     return write.unionByName(drop)
 
 
+def cleared_blocks(stored: DataFrame) -> DataFrame:
+    """Removal of every stored block: (path, null)."""
+    return stored.select("path", F.lit(None).cast("string").alias("block"))
+
+
 def radial(neighbours: DataFrame) -> DataFrame:
     """Places around a centre: angle 2 pi i / n - pi / 2, distance 50 + (1 - score) * 90."""
     n = F.count("*").over(Window.partitionBy("path"))

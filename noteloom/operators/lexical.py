@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
-from noteloom.operators.common import small, top_per
+from noteloom.operators.common import materialised, small, top_per
 
 K1, B = 1.5, 0.75
 
@@ -34,13 +34,19 @@ def corpus_stats(tok: DataFrame, skip_empty: bool = False) -> DataFrame:
     return rows.agg(F.count("*").alias("N"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def _placed(tok: DataFrame) -> DataFrame:
+    """(path, token, tf, dl, pos): pos is where the token first stands."""
+    at = tok.select("path", "dl", F.posexplode("tokens").alias("pos", "token"))
+    return at.groupBy("path", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.min("pos").alias("pos"))
+
+
+def _cut(placed: DataFrame, keep: int) -> DataFrame:
+    return top_per(placed, ["path"], [F.desc("tf"), F.asc("pos")], keep).drop("rank", "pos")
+
+
 def postings(tok: DataFrame, keep: int | None = None) -> DataFrame:
     """(path, token, tf, dl); ``keep`` leaves the most frequent tokens of a note, first seen first."""
-    at = tok.select("path", "dl", F.posexplode("tokens").alias("pos", "token"))
-    out = at.groupBy("path", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.min("pos").alias("pos"))
-    if keep:
-        out = top_per(out, ["path"], [F.desc("tf"), F.asc("pos")], keep).drop("rank")
-    return out.drop("pos")
+    return _cut(_placed(tok), keep) if keep else _placed(tok).drop("pos")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -57,27 +63,56 @@ def query_terms(queries: DataFrame, stemmed: bool = False, dedup: bool = True, t
     return counted.withColumn("times", F.lit(1).cast("long")) if dedup else counted
 
 
-def bm25(notes: DataFrame, queries: DataFrame, top: int = 30, dedup: bool = True, stemmed: bool = False, skip_empty: bool = False, keep: int | None = None, k1: float = K1, b: float = B, tokeniser=T.tokens) -> DataFrame:
-    """Ranked notes per query: (query_id, path, score, matched, rank); scores of 0 or less are dropped.
+#: Marks a note's own row beside those of its tokens; no token is empty.
+NOTE_ROW = ""
+
+
+def asked_rows(notes: DataFrame, terms: DataFrame, stemmed: bool = False, tokeniser=T.tokens) -> DataFrame:
+    """Written (path, token, tf, dl): the notes' rows of all tokens asked for, and one of every note
+    itself (``NOTE_ROW``) for the corpus figures, in one pass over the texts.
+
+    Stems are found for every distinct token once; the forms of the asked ones then pick the rows.
+    """
+    spark, tok = notes.sparkSession, tokenised(notes, tokeniser=tokeniser)
+    wanted = terms.select("token").distinct()
+    if stemmed:
+        words = tok.select(F.explode("tokens").alias("form")).distinct()
+        forms = materialised(words.withColumn("token", T.stem(F.col("form"))).join(small(wanted), "token", "left_semi"), "forms")
+    else:
+        forms = wanted.withColumn("form", F.col("token"))
+    forms = forms.select("form", "token").unionByName(spark.createDataFrame([(NOTE_ROW, NOTE_ROW)], "form string, token string"))
+    at = tok.select("path", "dl", F.explode(F.concat(F.array(F.lit(NOTE_ROW)), "tokens")).alias("form")).join(small(forms), "form")
+    return materialised(at.groupBy("path", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "hits")
+
+
+def _scored(hits: DataFrame, weighted: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, path, score, matched) above 0 from postings and weighted query terms."""
+    parts = hits.join(small(weighted), "token").withColumn("part", contribution(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("w"), k1, b))
+    return parts.groupBy("query_id", "path").agg(F.round(F.sum("part"), 6).alias("score"), F.sort_array(F.collect_set("token")).alias("matched")).where("score > 0")
+
+
+def bm25_scores(notes: DataFrame, queries: DataFrame, dedup: bool = True, stemmed: bool = False, skip_empty: bool = False, k1: float = K1, b: float = B, tokeniser=T.tokens) -> DataFrame:
+    """(query_id, path, score, matched) of all notes above 0.
 
     Only tokens that occur in some query leave the note's row, so the shuffle is small; the
     frequencies of those tokens come from the same rows.
     """
-    tok = tokenised(notes, stemmed, tokeniser)
     terms = query_terms(queries, stemmed, dedup, tokeniser)
-    stats = corpus_stats(tok, skip_empty)
-    if keep:
-        hits = postings(tok, keep).join(small(terms.select("token").distinct()), "token", "left_semi")
-        full = postings(tok).join(small(terms.select("token").distinct()), "token", "left_semi")
-        df = document_frequency(full)
-    else:
-        wanted = small(terms.select("token").distinct())
-        hits = tok.select("path", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("path", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        df = document_frequency(hits)
-    weighted = terms.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("w", idf(F.col("N"), F.col("df")) * F.col("times"))
-    scored = hits.join(small(weighted), "token").withColumn("part", contribution(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("w"), k1, b))
-    ranked = scored.groupBy("query_id", "path").agg(F.round(F.sum("part"), 6).alias("score"), F.sort_array(F.collect_set("token")).alias("matched")).where("score > 0")
-    return top_per(ranked, ["query_id"], [F.desc("score"), F.asc("path")], top)
+    rows = asked_rows(notes, terms, stemmed, tokeniser)
+    stats = corpus_stats(rows.where(F.col("token") == NOTE_ROW), skip_empty)
+    hits = rows.where(F.col("token") != NOTE_ROW)
+    weighted = terms.join(document_frequency(hits), "token").crossJoin(F.broadcast(stats)).withColumn("w", idf(F.col("N"), F.col("df")) * F.col("times"))
+    return _scored(hits, weighted, k1, b)
+
+
+def bm25(notes: DataFrame, queries: DataFrame, top: int = 30, **options) -> DataFrame:
+    """Ranked notes per query: (query_id, path, score, matched, rank); options as of ``bm25_scores``."""
+    return top_per(bm25_scores(notes, queries, **options), ["query_id"], [F.desc("score"), F.asc("path")], top)
+
+
+def lane_corpus(notes: DataFrame, most: int = 2000, chars: int = 30_000) -> DataFrame:
+    """What the in-memory lexical lane reads: the first ``most`` Markdown notes in path order, each body's first ``chars``."""
+    return notes.where(F.col("path").endswith(".md")).select("path", F.substring("body", 1, chars).alias("body")).orderBy("path").limit(most)
 
 
 def plain_bm25(notes: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
@@ -89,8 +124,15 @@ def lexical_index(notes: DataFrame, keep: int = 200) -> tuple[DataFrame, DataFra
     """Stemmed index to be stored: (postings, idf per token, stats); df counts all tokens, postings are cut."""
     tok = tokenised(notes, stemmed=True).where("dl > 0")
     stats = corpus_stats(tok)
-    df = document_frequency(postings(tok))
-    return postings(tok, keep), df.crossJoin(F.broadcast(stats)).select("token", "df", F.round(idf(F.col("N"), F.col("df")), 6).alias("idf")), stats
+    whole = materialised(_placed(tok), "postings")
+    df = document_frequency(whole)
+    return _cut(whole, keep), df.crossJoin(F.broadcast(stats)).select("token", "df", F.round(idf(F.col("N"), F.col("df")), 6).alias("idf")), stats
+
+
+def search_index(stored: DataFrame, weights: DataFrame, stats: DataFrame, queries: DataFrame, top: int = 30, k1: float = K1, b: float = B) -> DataFrame:
+    """Ranked notes per query from a stored index (postings, idf per token, stats); no text is read."""
+    weighted = query_terms(queries, stemmed=True).join(weights.select("token", "idf"), "token").crossJoin(F.broadcast(stats)).withColumn("w", F.col("idf") * F.col("times"))
+    return top_per(_scored(stored, weighted, k1, b), ["query_id"], [F.desc("score"), F.asc("path")], top)
 
 
 def upsert_postings(stored: DataFrame, changed: DataFrame, removed: DataFrame, keep: int = 200) -> DataFrame:

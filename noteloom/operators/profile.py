@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
 from noteloom.functions.vectors import cosine
-from noteloom.operators.common import small, top_per
-from noteloom.operators.lexical import bm25
+from noteloom.operators.common import materialised, small, top_per
+from noteloom.operators.lexical import bm25_scores
 
 
 def extract(notes: DataFrame, links: DataFrame | None = None, prefix: str = "kb") -> DataFrame:
@@ -49,21 +49,44 @@ def extract(notes: DataFrame, links: DataFrame | None = None, prefix: str = "kb"
     )
 
 
-def find_local(passports: DataFrame, queries: DataFrame, top: int = 10, min_score: float = 0.0) -> DataFrame:
+def with_concepts(passports: DataFrame, concepts: list[str] | None) -> DataFrame:
+    """Profiles with at least one of the concepts, whatever their case; all where none are asked for."""
+    if not concepts:
+        return passports
+    asked = F.array(*(F.lit(c.lower()) for c in concepts))
+    return passports.where(F.arrays_overlap(F.transform("concepts", F.lower), asked))
+
+
+def find_local(passports: DataFrame, queries: DataFrame, top: int = 10, min_score: float = 0.0, concepts: list[str] | None = None) -> DataFrame:
     """Concept overlap + half the BM25 of summary, cues and name; rows at ``min_score`` stay.
 
-    A concept counts once if it equals, holds or is held by some query token.
+    A concept counts once if it equals, holds or is held by some query token. Profiles are
+    made once; BM25 statistics are those of all of them, ``concepts`` only filters what is ranked.
     """
-    docs = passports.select("path", F.concat_ws(" ", "one_line_summary", F.array_join("cornell_cue", " "), T.stem_name(F.col("path"))).alias("body"))
-    ranked = bm25(docs, queries, top=1 << 30).select("query_id", "path", F.col("score").alias("bm25"))
-    asked = small(queries.select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("q")))
-    lowered = passports.select("path", F.transform("concepts", F.lower).alias("c")).crossJoin(asked)
+    card = F.concat_ws(" ", "one_line_summary", F.array_join("cornell_cue", " "), T.stem_name(F.col("path")))
+    cards = materialised(passports.select("path", card.alias("body"), "concepts"), "cards")
+    ranked = bm25_scores(cards, queries).select("query_id", "path", F.col("score").alias("bm25"))
+    asked = small(queries.select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("q")).where(F.size("q") > 0))
+    lowered = with_concepts(cards, concepts).select("path", F.transform("concepts", F.lower).alias("c")).crossJoin(asked)
     overlap = F.size(F.filter("c", lambda c: F.exists("q", lambda t: c.contains(t) | t.contains(c))))
-    scored = lowered.select("query_id", "path", overlap.alias("overlap")).join(ranked, ["query_id", "path"], "left")
+    scored = lowered.select("query_id", "path", overlap.alias("overlap")).join(small(ranked), ["query_id", "path"], "left")
     scored = scored.select("query_id", "path", "overlap", F.round(F.col("overlap") + 0.5 * F.coalesce("bm25", F.lit(0.0)), 6).alias("score")).where(F.col("score") >= min_score)
     return top_per(scored, ["query_id"], [F.desc("score"), F.asc("path")], top)
 
 
+def find_by_name(passports: DataFrame, names: DataFrame, top: int = 10) -> DataFrame:
+    """Profiles for very many short queries (query_id, query), by inverted indexes only: concepts
+    equal to a token of the query + half the BM25 of the card, positive scores only."""
+    card = F.concat_ws(" ", "one_line_summary", F.array_join("cornell_cue", " "), T.stem_name(F.col("path")))
+    cards = materialised(passports.select("path", card.alias("body"), "concepts"), "cards")
+    ranked = bm25_scores(cards, names).select("query_id", "path", F.lit(0).alias("overlap"), (0.5 * F.col("score")).alias("part"))
+    tokens = names.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token"))
+    held = cards.select("path", F.explode(F.array_distinct(F.transform("concepts", F.lower))).alias("token"))
+    equal = held.join(small(tokens), "token").select("query_id", "path", F.lit(1).alias("overlap"), F.lit(0.0).alias("part"))
+    scored = ranked.unionByName(equal).groupBy("query_id", "path").agg(F.round(F.sum("overlap") + F.sum("part"), 6).alias("score"))
+    return top_per(scored, ["query_id"], [F.desc("score"), F.asc("path")], top)
+
+
 def find_by_vector(vectors: DataFrame, passports: DataFrame, queries: DataFrame, top: int = 10, min_score: float = 0.3) -> DataFrame:
     """Cosine at ``min_score`` or above, best 2 top of them, profiles joined, first ``top`` in cosine
     order, then re-ordered by cos * (1 + 0.2 * concepts equal to a query word)."""
@@ -97,9 +120,6 @@ def keyword_items(files: DataFrame, passports: DataFrame, most: int = 25) -> Dat
     return both.select("path", T.stem_name(F.col("path")).alias("title"), F.coalesce("one_line_summary", F.lit("")).alias("summary"), T.unique_folded(F.concat(F.coalesce("concepts", none), F.coalesce("domain", none)), 2, most).alias("keywords"), F.lit("md").alias("modality"))
 
 
-def view_stats(passports: DataFrame) -> DataFrame:
-    """One row of counts that a view's header shows."""
-    return passports.agg(
-        F.count("*").alias("n"), F.count_if(F.size("concepts") > 0).alias("with_concepts"), F.count_if(F.col("one_line_summary") != "").alias("with_summary"),
-        F.count_if(F.col("note_type") == "fleeting").alias("fleeting"), F.count_if(F.col("note_type") == "literature").alias("literature"), F.count_if(F.col("note_type") == "permanent").alias("permanent"),
-    )
+def keyword_average(items: DataFrame) -> DataFrame:
+    """One row: items, and their keywords on average (0 without items)."""
+    return items.agg(F.count("*").alias("items"), F.round(F.coalesce(F.avg(F.size("keywords")), F.lit(0.0)), 1).alias("average"))

@@ -151,3 +151,16 @@ def embed(notes: DataFrame, dims: int = 64, most: int = 4000) -> DataFrame:
 
     hashed = F.transform(T.tokens(text), lambda t: F.xxhash64(t))
     return notes.select("path", hashed.alias("slots")).mapInArrow(run, "path string, vec array<float>")
+
+
+def embed_parts(notes: DataFrame, summaries: DataFrame, make=embed) -> DataFrame:
+    """(path, title_vec, body_vec, summary_vec): three embeddings of a note; a blank part has none.
+
+    ``make`` embeds (path, title, body) rows; parts go through it one at a time, blank titles empty.
+    """
+    rows = notes.select("path", "title", "body").join(summaries.select("path", "summary"), "path", "left")
+    out = rows.select("path")
+    for name in ("title", "body", "summary"):
+        part = rows.where(F.trim(name) != "").select("path", F.lit("").alias("title"), F.col(name).alias("body"))
+        out = out.join(make(part).select("path", F.col("vec").alias(f"{name}_vec")), "path", "left")
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteloom.plans import knowledge, retrieval
+from noteloom.plans import archive, archive_sql, knowledge, retrieval
 
-QUERIES = retrieval.QUERIES | knowledge.QUERIES
-ORACLES = retrieval.ORACLES | knowledge.ORACLES
+QUERIES = retrieval.QUERIES | knowledge.QUERIES | archive.QUERIES
+ORACLES = retrieval.ORACLES | knowledge.ORACLES | archive_sql.ORACLES

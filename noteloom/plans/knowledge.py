@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noteloom.functions import hashing
 from noteloom.functions import text as T
 from noteloom.operators import chunking, community, graph, lexical, profile, upkeep, vector
+from noteloom.operators.common import materialised
 from noteloom.plans import tables as D
 from noteloom.streaming import events as S
 
@@ -55,13 +56,11 @@ def keyword_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.keyword_prefix(items, q)
 
 
-def view_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.view_stats(D.passports(spark, sf))
-
-
 def atomic_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages written as Markdown: headings of the HTML become second-level ones."""
-    return _markdown(spark, sf).select("path", F.explode(T.atomic_splits(F.col("body"))).alias("heading"))
+    """Notes with their text under three headings, shorter each time."""
+    part = lambda head, most: F.concat(F.lit(head), "title", F.lit("\n"), F.substring("body", 1, most))
+    body = F.concat(part("## A ", 100_000), part("\n### B ", 400), part("\n## C ", 150))
+    return D.notes(spark, sf).select("path", F.explode(T.atomic_splits(body)).alias("heading"))
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,19 +113,27 @@ def backlink_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
     d = D.dated(spark, sf)
-    return graph.merge([graph.folder_edges(d), graph.date_edges(d), graph.folder_edges(d, 20)])
+    return graph.merge([graph.folder_edges(d), graph.date_edges(d)])
+
+
+def _multiplex(spark: SparkSession, sf: str) -> DataFrame:
+    """All builders that make edges, over their tables."""
+    kept, d = graph.existing(D.links(spark, sf), D.link_files(spark, sf)), D.dated(spark, sf)
+    vectors = D.vectors(spark, sf)
+    cosine = graph.cosine_edges(vectors, 0.3).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", "weight", "why")
+    return graph.merge([graph.link_edges(kept), graph.concept_edges(D.passports(spark, sf)), graph.date_edges(d), graph.folder_edges(d), cosine, graph.cocitation_edges(kept)])
 
 
 def multiplex_union(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph(spark, sf).select("src", "dst", "type", "weight", F.array_join("why", ";").alias("why"))
+    return _multiplex(spark, sf).select("src", "dst", "type", "weight", F.array_join("why", ";").alias("why"))
 
 
 def neighbors_by_dst(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours_by_dst(_graph(spark, sf))
+    return graph.neighbours_by_dst(_graph(spark, sf)).drop("edges")
 
 
 def edge_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.edge_stats(_graph(spark, sf))
+    return graph.edge_stats(_multiplex(spark, sf))
 
 
 def pair_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,12 +149,12 @@ def _by_folder(pairs: DataFrame) -> DataFrame:
 
 
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = community.pair_weights(_graph(spark, sf))
+    pairs = materialised(community.pair_weights(_graph(spark, sf)), "pairs")
     return community.modularity(pairs, _by_folder(pairs))
 
 
 def super_graph(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = community.pair_weights(_graph(spark, sf))
+    pairs = materialised(community.pair_weights(_graph(spark, sf)), "pairs")
     return community.super_graph(pairs, _by_folder(pairs))
 
 
@@ -156,11 +163,13 @@ def _folder_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    return community.louvain(community.pair_weights(graph.merge([graph.link_edges(graph.existing(D.links(spark, sf), D.link_files(spark, sf)))])))
+    return community.communities(community.pair_weights(graph.merge([graph.link_edges(graph.existing(D.links(spark, sf), D.link_files(spark, sf)))])))
 
 
-def communities_synchronous(spark: SparkSession, sf: str) -> DataFrame:
-    return community.synchronous(_folder_graph(spark, sf))
+def communities_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """The sequential form, on customers and the days of their orders."""
+    o = D.read(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("b"), F.concat(F.lit("a"), F.to_date("o_orderdate").cast("string")).alias("a"))
+    return community.sequential(o.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")))
 
 
 def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,6 +304,21 @@ _KEPT = f"{D.LINKS_SQL}, {D.LINK_FILES_SQL}, kept AS (SELECT * FROM links WHERE
 _FOLDER = f"{D.DATED_SQL}, fr AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS r FROM dated), fe AS (SELECT a.path AS src, b.path AS dst, {_WHY.format('folder_path', 0.3, chr(39) + 'folder ' + chr(39) + ' || a.folder')} FROM fr a JOIN fr b ON a.folder = b.folder AND a.path <> b.path WHERE a.r <= 50 AND b.r <= 50)"
 _DATE = f"days AS (SELECT day FROM dated GROUP BY day HAVING count(*) BETWEEN 2 AND 30), de AS (SELECT a.path AS src, b.path AS dst, {_WHY.format('date_overlap', 0.2, chr(39) + 'day ' + chr(39) + ' || CAST(a.day AS VARCHAR)')} FROM dated a JOIN dated b ON a.day = b.day AND a.path <> b.path WHERE a.day IN (SELECT day FROM days))"
 _GRAPH = f"WITH {_FOLDER}, {_DATE}, edges AS (SELECT * FROM fe UNION ALL SELECT * FROM de)"
+_CONCEPT = f"""c AS (SELECT path, unnest(list_distinct(list_transform(concepts, lambda x: lower(x)))) AS concept FROM passports), fit AS (SELECT concept FROM c GROUP BY concept HAVING count(*) BETWEEN 2 AND 100),
+      u AS (SELECT * FROM c WHERE concept IN (SELECT concept FROM fit)), p AS (SELECT a.path AS src, b.path AS dst, list_sort(list(a.concept)) AS shared FROM u a JOIN u b ON a.concept = b.concept AND a.path <> b.path GROUP BY 1, 2 HAVING count(*) >= 2)"""
+_CITED = """cited AS (SELECT dst FROM kept GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1000), cs AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM kept WHERE dst IN (SELECT dst FROM cited)),
+      cp AS (SELECT a.dst AS src, b.dst AS dst, count(*) AS n FROM cs a JOIN cs b ON a.src = b.src AND a.dst <> b.dst WHERE a.r <= 20 AND b.r <= 20 GROUP BY 1, 2)"""
+_LINK_ROWS = f"SELECT src, dst, {_WHY.format('wikilink', 1.0, chr(39) + 'links ' + chr(39) + ' || CAST(cnt AS VARCHAR)')} FROM kept UNION ALL SELECT dst, src, {_WHY.format('backlink', 1.0, chr(39) + 'linked ' + chr(39) + ' || CAST(cnt AS VARCHAR)')} FROM kept"
+_CONCEPT_ROWS = f"""SELECT src, dst, {_WHY.format('entity_overlap', 0.7, chr(39) + 'concepts ' + chr(39) + " || array_to_string(shared[1:3], ', ')")} FROM p"""
+_CITED_ROWS = f"SELECT src, dst, {_WHY.format('co_citation', 0.5, chr(39) + 'cited together ' + chr(39) + ' || CAST(n AS VARCHAR)')} FROM cp"
+_COSINE = f"{D.VECTORS_SQL}, fv AS (SELECT * FROM vectors ORDER BY path LIMIT 2000), ce AS (SELECT CAST(a.path AS VARCHAR) AS src, CAST(b.path AS VARCHAR) AS dst, {_WHY.format('semantic_cosine', 0.8, chr(39) + 'cosine ' + chr(39) + ' || printf(' + chr(39) + '%.4f' + chr(39) + ', round(round(list_cosine_similarity(a.vec, b.vec), 6), 4))')} FROM fv a JOIN fv b ON a.path <> b.path WHERE list_cosine_similarity(a.vec, b.vec) >= 0.3)"
+_MULTIPLEX = f"WITH {D.NOTES_SQL}, {D.PASSPORTS_SQL}, {_KEPT}, {_FOLDER}, {_DATE}, {_CONCEPT}, {_CITED}, {_COSINE}, edges AS (SELECT * FROM fe UNION ALL SELECT * FROM de UNION ALL SELECT * FROM ce UNION ALL {_LINK_ROWS} UNION ALL {_CONCEPT_ROWS} UNION ALL {_CITED_ROWS})"
+_ENTITIES = " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM documents" for kind, pattern in T.ENTITIES)
+_PARAGRAPHS = r"""atoms AS (SELECT path, body, list_filter(regexp_split_to_array(body, '\n\s*\n'), lambda x: length(x) > 2000 OR regexp_matches(x, '\S')) AS ps FROM notes WHERE length(body) > 2000),
+  sentences AS (SELECT path, flatten(list_transform(ps, lambda x: CASE WHEN length(x) <= 2000 THEN [x] ELSE string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END)) AS ss FROM atoms),
+  pieces AS (SELECT path, flatten(list_transform(ss, lambda x: list_transform(range(0, greatest(length(x), 1), 2000), lambda i: substring(x, CAST(i AS BIGINT) + 1, 2000)))) AS xs FROM sentences),
+  packed AS (SELECT path, string_split(list_reduce(xs, lambda a, x: CASE WHEN length(split_part(a, chr(2), -1)) + 2 + length(x) <= 2000 THEN a || chr(10) || chr(10) || x ELSE a || chr(2) || x END), chr(2)) AS cs FROM pieces),
+  chunked AS (SELECT path, 0 AS n, body AS chunk FROM notes WHERE length(body) BETWEEN 1 AND 2000 UNION ALL SELECT path, i, CASE WHEN i = 0 THEN cs[1] ELSE substring(cs[i], greatest(length(cs[i]) - 99, 1)) || chr(10) || chr(10) || cs[i + 1] END FROM packed, unnest(range(0, len(cs))) AS r(i))"""
 _PAIRS = f"{_GRAPH}, pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(sum(weight) / 2, 9) AS weight FROM edges GROUP BY 1, 2)"
 _MD = r"""markdown AS (SELECT 'web/' || CAST(page_id AS VARCHAR) || '.md' AS path,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>', '', 'g'), '(?s).*?<body>', '', 'g'), '<h1[^>]*>', chr(10) || '# ', 'g'), '<h[23][^>]*>', chr(10) || '## ', 'g'), '</h[123]>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS body FROM pages)"""
@@ -315,9 +339,9 @@ _SESSIONS = " UNION ALL ".join(
 _NEAR = f"WITH {D.VECTORS_SQL}, p AS (SELECT a.path, b.path AS neighbour, round(coalesce(list_cosine_similarity(a.vec, b.vec), 0), 6) AS score FROM vectors a JOIN vectors b ON a.path <> b.path), near AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, neighbour) AS rank FROM p QUALIFY rank <= {{0}})"
 
 QUERIES = {f.__name__: f for f in (
-    proper_nouns, difficulty, domains, graded_difficulty, note_type, one_line_summary, cornell_cues, keyword_items, keyword_prefix, view_stats, atomic_splits, profiles_of_pages, headings,
+    proper_nouns, difficulty, domains, graded_difficulty, note_type, one_line_summary, cornell_cues, keyword_items, keyword_prefix, atomic_splits, profiles_of_pages, headings,
     link_edges, folder_edges, date_edges, concept_overlap_edges, cosine_edges, cocitation_edges, backlink_counts, multiplex_union, neighbors_by_dst, edge_stats, pair_weights, degrees,
-    modularity, super_graph, communities, communities_synchronous, community_sizes, split_communities, resolve_labels, rendered_links, radial_layout, incremental_changed, change_kinds,
+    modularity, super_graph, communities, communities_seeded, community_sizes, split_communities, resolve_labels, rendered_links, radial_layout, incremental_changed, change_kinds,
     debounce_sessions, windowed_counts, last_events, missed_events, lease_state, queue_dedup, queue_status, fewshot_ring, fewshot_topk, fewshot_stats, token_metrics, day_buckets, excerpts,
     chunk_text, reduced_texts, hashes, path_parts, entities,
 )}
@@ -334,7 +358,6 @@ ORACLES = {
       l AS (SELECT *, list_transform(bag, lambda x: lower(x)) AS low FROM k)
       SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS title, summary, coalesce(array_to_string(list_filter(bag, lambda x, i: list_position(low, lower(x)) = i)[1:25], ','), '') AS keywords, 'md' AS modality FROM l""",
     "keyword_prefix": f"WITH {D.NOTES_SQL}, q AS (SELECT * FROM (VALUES (1, 'src1', 'tha'), (2, 'src2', 'etio'), (3, 'src9', 'not')) v(query_id, domain, q)), w AS (SELECT path, split_part(path, '/', 1) AS domain, unnest(regexp_split_to_array(translate(lower(concat_ws(' ', title, substring(body, 1, 200), 'note')), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM notes) SELECT DISTINCT CAST(query_id AS INTEGER) AS query_id, path FROM w JOIN q USING (domain) WHERE starts_with(word, q)",
-    "view_stats": f"{_PASS} SELECT count(*) AS n, CAST(count_if(len(concepts) > 0) AS BIGINT) AS with_concepts, CAST(count_if(one_line_summary <> '') AS BIGINT) AS with_summary, CAST(count_if(note_type = 'fleeting') AS BIGINT) AS fleeting, CAST(count_if(note_type = 'literature') AS BIGINT) AS literature, CAST(count_if(note_type = 'permanent') AS BIGINT) AS permanent FROM passports",
     "headings": rf"WITH {_MD}, h AS (SELECT path, regexp_extract_all(body, '(?m)^(#{{1,6}}\s+.+)$', 1) AS hs FROM markdown), u AS (SELECT path, unnest(range(0, len(hs))) AS n, hs FROM h) SELECT path, CAST(n AS INTEGER) AS n, CAST(length(regexp_extract(hs[n + 1], '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_replace(hs[n + 1], '^#+\s+', '')) AS heading FROM u",
     "link_edges": f"WITH {_KEPT} SELECT src, dst, {_WHY.format('wikilink', 1.0, chr(39) + 'links ' + chr(39) + ' || CAST(cnt AS VARCHAR)')} FROM kept UNION ALL SELECT dst, src, {_WHY.format('backlink', 1.0, chr(39) + 'linked ' + chr(39) + ' || CAST(cnt AS VARCHAR)')} FROM kept",
     "folder_edges": f"WITH {_FOLDER} SELECT * FROM fe",
@@ -346,9 +369,9 @@ ORACLES = {
     "cocitation_edges": f"""WITH {_KEPT}, cited AS (SELECT dst FROM kept GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1000), c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM kept WHERE dst IN (SELECT dst FROM cited)),
       p AS (SELECT a.dst AS src, b.dst AS dst, count(*) AS n FROM c a JOIN c b ON a.src = b.src AND a.dst <> b.dst WHERE a.r <= 20 AND b.r <= 20 GROUP BY 1, 2) SELECT src, dst, {_WHY.format('co_citation', 0.5, chr(39) + 'cited together ' + chr(39) + ' || CAST(n AS VARCHAR)')} FROM p""",
     "backlink_counts": f"WITH {D.LINKS_SQL} SELECT dst, count(*) AS n FROM links GROUP BY dst",
-    "multiplex_union": f"{_GRAPH} SELECT src, dst, type, max(weight) AS weight, array_to_string(list_sort(list_distinct(list(why))), ';') AS why FROM edges GROUP BY src, dst, type",
+    "multiplex_union": f"{_MULTIPLEX} SELECT src, dst, type, max(weight) AS weight, array_to_string(list_sort(list_distinct(list(why))), ';') AS why FROM edges GROUP BY src, dst, type",
     "neighbors_by_dst": f"{_GRAPH}, s AS (SELECT src, dst, round(sum(weight), 6) AS weight, count(*) AS n_edges, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM edges GROUP BY src, dst) SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INTEGER) AS rank FROM s QUALIFY rank <= 30",
-    "edge_stats": f"{_GRAPH} SELECT t AS type, count(e.src) AS n FROM (SELECT unnest({list(graph.WEIGHTS)}) AS t) LEFT JOIN edges e ON e.type = t GROUP BY t",
+    "edge_stats": f"{_MULTIPLEX} SELECT t AS type, count(e.src) AS n FROM (SELECT unnest({list(graph.WEIGHTS)}) AS t) LEFT JOIN edges e ON e.type = t GROUP BY t",
     "pair_weights": f"{_PAIRS} SELECT * FROM pairs",
     "degrees": f"{_PAIRS} SELECT node, round(sum(weight), 9) AS degree FROM (SELECT a AS node, weight FROM pairs UNION ALL SELECT b, weight FROM pairs) GROUP BY node",
     "modularity": f"""{_PAIRS}, ends AS (SELECT a AS node, weight FROM pairs UNION ALL SELECT b, weight FROM pairs), tot AS (SELECT split_part(node, '/', 1) AS c, sum(weight) AS tot FROM ends GROUP BY 1), m AS (SELECT sum(tot) AS m2 FROM tot),
@@ -378,5 +401,9 @@ ORACLES = {
     "excerpts": rf"WITH {D.NOTES_SQL}, a AS (SELECT path, body, strpos(translate(lower(body), '{T.ACCENTED}', '{T.PLAIN}'), 'thand') - 1 AS pos FROM notes), b AS (SELECT *, greatest(0, pos - 40) AS s, least(length(body), pos + 180) AS e FROM a) SELECT path, CASE WHEN pos < 0 THEN trim(regexp_replace(substring(body, 1, 220), '\s+', ' ', 'g')) ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substring(body, s + 1, e - s), '\s+', ' ', 'g')) || CASE WHEN e < length(body) THEN '…' ELSE '' END END AS excerpt FROM b",
     "hashes": f"WITH {D.NOTES_SQL} SELECT path, lower({_FNV.format('path')}) AS fnv, lower(to_hex(list_reduce(list_prepend(5381::UBIGINT, list_transform(string_split(path, ''), lambda c: unicode(c)::UBIGINT)), lambda h, b: CAST((h::HUGEINT * 33 + b) % 18446744073709551616::HUGEINT AS UBIGINT)))) AS djb, substring(sha256(body), 1, 16) AS key FROM notes",
     "path_parts": f"WITH {D.NOTES_SQL} SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS name, 'md' AS ext, lower(split_part(path, '/', 1)) AS domain, regexp_matches(path, '(^|/)src1\\d/') AS private FROM notes",
-    "entities": rf"WITH e AS (SELECT 'link' AS kind, unnest(regexp_extract_all(text, 'https?://[^\s<>\")]+')) AS value FROM documents UNION ALL SELECT 'phone', unnest(regexp_extract_all(text, '\+?\d[\d ().\-]{{7,}}\d')) FROM documents) SELECT kind, count(*) AS n, count(DISTINCT value) AS n_distinct FROM e GROUP BY kind",
+    "entities": f"WITH e AS ({_ENTITIES}) SELECT kind, count(*) AS n, count(DISTINCT value) AS n_distinct FROM e GROUP BY kind",
+    "chunk_text": f"WITH {D.NOTES_SQL}, {_PARAGRAPHS} SELECT path, CAST(n AS INTEGER) AS n, CAST(length(chunk) AS INTEGER) AS chars, md5(chunk) AS digest FROM chunked",
+    "atomic_splits": rf"""WITH {D.NOTES_SQL}, m AS (SELECT path, '## A ' || title || chr(10) || substring(body, 1, 100000) || chr(10) || '### B ' || title || chr(10) || substring(body, 1, 400) || chr(10) || '## C ' || title || chr(10) || substring(body, 1, 150) AS body FROM notes),
+      s AS (SELECT path, regexp_split_to_array(chr(10) || body, '\n#{{2,3}}\s+') AS parts, list_transform(regexp_extract_all(body, '(?m)^#{{2,3}}\s+(.+)$', 1), lambda h: trim(h)) AS heads FROM m)
+      SELECT path, unnest(list_filter(heads, lambda h, i: length(regexp_replace(coalesce(parts[i + 1], ''), '\s', '', 'g')) > 200)[1:5]) AS heading FROM s""",
 }

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
 from noteloom.functions.text import ACCENTED, PLAIN, PLURALS, STOP_WORDS, SUFFIXES
-from noteloom.functions.vectors import signature
-from noteloom.operators import fusion, lexical, profile, vector
+from noteloom.functions.vectors import MIX, signature
+from noteloom.operators import fusion, graph, lexical, profile, vector
+from noteloom.operators.common import top_per
 from noteloom.plans import tables as D
 
 TOKENS_SQL = "regexp_extract_all(lower({0}), '[0-9a-zà-ÿ_\\-]{{2,}}')"
@@ -183,22 +184,45 @@ def mmr_diversify(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.diversify(_event_lanes(spark, sf), 10)
 
 
+def _query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text query with the embedding of the note of its number."""
+    return D.queries(spark).join(D.read(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vec")), "query_id")
+
+
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
-    n, q = D.notes(spark, sf), D.queries(spark)
+    """Seven lanes: vectors, signatures, paths, profiles, keyword index, BM25, stemmed BM25."""
+    n, q, asked = D.notes(spark, sf), D.queries(spark), _query_vectors(spark, sf)
     words = q.withColumn("query", F.substring_index("query", " ", -1))
+    signed = lambda rows, key: rows.select(key, signature(F.col("vec"), "compat").alias("sh"))
+    items = n.select("path", F.substring_index("path", "/", 1).alias("domain"), "title", F.col("body").alias("summary"), F.array(F.lit("note")).alias("keywords"))
     lanes = {
+        "semantic": lambda: vector.search(_embedded(spark, sf), asked, 20),
+        "simhash": lambda: vector.signature_search(signed(_embedded(spark, sf), "path"), signed(asked, "query_id"), 20, 20).select("query_id", "path", "rank"),
+        "path": lambda: lexical.path_match(n, words, 10),
+        "passport": lambda: profile.find_local(D.passports(spark, sf), q, 20),
+        "spotlight": lambda: top_per(lexical.keyword_prefix(items, words.withColumn("domain", F.lit("src1"))), ["query_id"], [F.asc("path")], 20),
         "bm25": lambda: lexical.bm25(n, q, 20), "lexicalIos": lambda: lexical.bm25(n, q, 20, stemmed=True, skip_empty=True),
-        "path": lambda: lexical.path_match(n, words, 10), "semantic": None,
     }
     return fusion.hybrid(lanes, 10).select("query_id", "path", "score", F.col("source_mask").cast("int").alias("source_mask"), "rank")
 
 
 def sister_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Four lanes per note: nearest vectors, common label, common concept pairs, signature."""
-    v = D.vectors(spark, sf)
-    near = vector.neighbours(v, "path", "vec", 24).select(F.col("path").alias("query_id"), F.col("neighbour").alias("path"), "rank")
-    wide = vector.neighbours(v.withColumn("vec", F.slice("vec", 1, 16)), "path", "vec", 24).select(F.col("path").alias("query_id"), F.col("neighbour").alias("path"), "rank")
-    return fusion.hybrid({"semantic": lambda: near, "passport": lambda: wide}, 12).select("query_id", "path", "score", F.col("source_mask").cast("int").alias("source_mask"), "rank")
+    """Four lanes per note: nearest vectors, links the note's header lists (to notes that have a
+    vector), profiles found by the note's name, and its strongest neighbours in the graph."""
+    e = _embedded(spark, sf).select("path", "vec", "doc_id")
+    near = vector.neighbours(e, "path", "vec", 24).select(F.col("path").alias("query_id"), F.col("neighbour").alias("path"), "rank")
+    names = e.select(F.col("path").alias("query_id"), T.stem_name(F.col("path")).alias("query"))
+    # Listed links: the next notes by number, resolved by name.
+    listed = e.select(F.col("path").alias("query_id"), F.posexplode(F.array(*(F.format_string("[[%d|x]]", F.col("doc_id") + k) for k in (1, 2, 3)))).alias("n", "link"))
+    named = listed.withColumn("label", T.wikilinks(F.col("link"))[0])
+    to = graph.resolve_labels(named.select("label").distinct(), e)
+    linked = named.join(to, "label").where("path is not null and path <> query_id").select("query_id", "path", (F.col("n") + 1).alias("rank"))
+    found = profile.find_by_name(D.passports(spark, sf), names, 25).where("path <> query_id")
+    found = top_per(found.withColumnRenamed("rank", "found"), ["query_id"], [F.asc("found")], 24)
+    edges = graph.merge([graph.concept_edges(D.passports(spark, sf))])
+    tied = graph.neighbours_by_dst(edges, top=24).select(F.col("src").alias("query_id"), F.col("dst").alias("path"), "rank")
+    lanes = {"semantic": lambda: near, "graph:header": lambda: linked, "passport": lambda: found, "graph:multiplex": lambda: tied}
+    return fusion.hybrid(lanes, 12).select("query_id", "path", "score", F.col("source_mask").cast("int").alias("source_mask"), "rank")
 
 
 def passport_local_find(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,6 +259,18 @@ _EVENT_LANES = """lanes AS (
 _SIGN = "list_sum(list_transform(range(0, len(vec)), lambda d: vec[d + 1] * (CASE WHEN xor(d & 1, (d >> 8) & 1) = 0 THEN 1 ELSE -1 END)))"
 _SH = f"CASE WHEN {_SIGN} > 0 THEN repeat('5', 32) WHEN {_SIGN} < 0 THEN repeat('a', 32) ELSE repeat('0', 32) END"
 
+_CARDS = r"SELECT path, concat_ws(' ', one_line_summary, array_to_string(cornell_cue, ' '), regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '')) AS body FROM passports"
+_LOCAL = f"""cards AS ({_CARDS}), {bm25_sql('lr', docs='cards', top=1 << 30)},
+      lasked AS (SELECT query_id, list_distinct({TOKENS_SQL.format('query')}) AS q FROM queries),
+      lo AS (SELECT query_id, path, CAST(len(list_filter(concepts, lambda c: len(list_filter(q, lambda t: contains(lower(c), t) OR contains(t, lower(c)))) > 0)) AS INTEGER) AS overlap FROM passports, lasked),
+      ls AS (SELECT lo.query_id, lo.path, overlap, round(overlap + 0.5 * coalesce(score, 0), 6) AS score FROM lo LEFT JOIN lr ON lo.query_id = lr.query_id AND lo.path = lr.path),
+      local_ranked AS (SELECT *, {_TOP.format('query_id', 'score DESC, path')} FROM ls)"""
+_CONCEPT_PAIRS = """cc AS (SELECT path, unnest(list_distinct(list_transform(concepts, lambda x: lower(x)))) AS concept FROM passports), cfit AS (SELECT concept FROM cc GROUP BY concept HAVING count(*) BETWEEN 2 AND 100),
+      cu AS (SELECT * FROM cc WHERE concept IN (SELECT concept FROM cfit)), cpairs AS (SELECT a.path AS src, b.path AS dst FROM cu a JOIN cu b ON a.concept = b.concept AND a.path <> b.path GROUP BY 1, 2 HAVING count(*) >= 2)"""
+_MIXED = "((b * 512 + d + 1) * 1103515245)"
+for _shift, _factor in MIX:
+    _MIXED = f"(xor(({_MIXED} & 2147483647), (({_MIXED} & 2147483647) >> {_shift})) * {_factor})"
+
 QUERIES = {f.__name__: f for f in (
     tokenize_stats, term_df, idf_table, stored_postings, postings_upsert, bm25_topk, bm25_no_dedup, bm25_plain_words, lexical_search, path_match, cosine_neighbors, cosine_search_boost,
     title_body_search, multi_vector_max, image_similar_strict, simhash_compat, simhash_mixed, hamming_filter, mean_pool, rrf_fuse, mmr_diversify, hybrid_query, sister_notes,
@@ -264,20 +300,43 @@ ORACLES = {
     "hamming_filter": f"WITH {D.VECTORS_SQL}, s AS (SELECT path, {_SH} AS sh FROM vectors) SELECT * FROM (SELECT q.path AS query_id, s.path, CAST(0 AS INTEGER) AS distance, {_TOP.format('q.path', 's.path')} FROM s JOIN s q ON s.sh = q.sh WHERE q.path < 3) WHERE rank <= 50",
     "mean_pool": "WITH x AS (SELECT label AS path, unnest(range(1, 65)) AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT path, i, avg(v[i]) AS x FROM x GROUP BY ALL) SELECT path, CAST(count(*) AS BIGINT) AS dims, round(sum(x), 6) AS total FROM m GROUP BY path",
     "rrf_fuse": f"WITH {_EVENT_LANES} SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask, CASE bit_or(mask) WHEN 1 THEN 'semantic' WHEN 32 THEN 'bm25' ELSE 'semantic,bm25' END AS sources FROM lanes WHERE rank <= 40 GROUP BY query_id, path",
-    "hybrid_query": f"""{_HEAD}, {bm25_sql('b', top=20)}, {bm25_sql('l', stemmed=True, skip_empty=True, top=20)},
+    "hybrid_query": f"""{_HEAD}, {D.PASSPORTS_SQL}, {bm25_sql('b', top=20)}, {bm25_sql('l', stemmed=True, skip_empty=True, top=20)}, {_LOCAL},
       p AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path) AS rank FROM notes JOIN queries ON contains(lower(path), lower(split_part(query, ' ', -1)))),
-      lanes AS (SELECT query_id, path, rank, 32 AS mask FROM b UNION ALL SELECT query_id, path, rank, 64 FROM l UNION ALL SELECT query_id, path, rank, 2 FROM p WHERE rank <= 20),
-      f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask FROM lanes GROUP BY query_id, path)
+      e AS (SELECT path, title, CAST(embedding AS DOUBLE[]) AS vec FROM notes JOIN embeddings ON doc_id = vec_id), asked AS (SELECT query_id, query, CAST(embedding AS DOUBLE[]) AS vec FROM queries JOIN embeddings ON vec_id = query_id),
+      v AS (SELECT query_id, path, round({_COS.format('e.vec', 'asked.vec')} * (1 + 0.5 * CASE WHEN contains(lower(title), lower(query)) THEN 1 ELSE 0 END), 6) AS s FROM e, asked),
+      h AS (SELECT query_id, path FROM (SELECT path, {_SH} AS sh FROM e) JOIN (SELECT query_id, {_SH} AS sh FROM asked) USING (sh)),
+      w AS (SELECT path, unnest(regexp_split_to_array(translate(lower(concat_ws(' ', title, body, 'note')), '{ACCENTED}', '{PLAIN}'), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM notes WHERE path LIKE 'src1/%'),
+      k AS (SELECT DISTINCT query_id, path FROM w JOIN queries ON starts_with(word, translate(lower(split_part(query, ' ', -1)), '{ACCENTED}', '{PLAIN}'))),
+      lanes AS (SELECT query_id, path, rank, 32 AS mask FROM b UNION ALL SELECT query_id, path, rank, 64 FROM l UNION ALL SELECT query_id, path, rank, 2 FROM p UNION ALL SELECT query_id, path, rank, 8 FROM local_ranked
+        UNION ALL SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path), 1 FROM v WHERE s > 0 UNION ALL SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path), 128 FROM h
+        UNION ALL SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path), 16 FROM k),
+      f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask FROM lanes WHERE rank <= 20 GROUP BY query_id, path)
       SELECT * FROM (SELECT *, {_TOP.format('query_id', 'score DESC, path')} FROM f) WHERE rank <= 10""",
-    "sister_notes": f"""WITH {D.VECTORS_SQL}, pairs AS (SELECT a.path AS query_id, b.path, round({_COS.format('a.vec', 'b.vec')}, 6) AS s, round({_COS.format('a.vec[1:16]', 'b.vec[1:16]')}, 6) AS w FROM vectors a JOIN vectors b ON a.path <> b.path),
-      lanes AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank, 1 AS mask FROM pairs UNION ALL SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, path), 8 FROM pairs),
+    "sister_notes": f"""WITH {D.NOTES_SQL}, {D.PASSPORTS_SQL}, e AS (SELECT doc_id, path, CAST(embedding AS DOUBLE[]) AS vec FROM notes JOIN embeddings ON doc_id = vec_id),
+      queries AS (SELECT path AS query_id, CAST(doc_id AS VARCHAR) AS query FROM e), cards AS ({_CARDS}), {bm25_sql('r', docs='cards', top=1 << 30)},
+      pairs AS (SELECT a.path AS query_id, b.path, round({_COS.format('a.vec', 'b.vec')}, 6) AS s FROM e a JOIN e b ON a.path <> b.path),
+      k AS (SELECT CAST(doc_id AS VARCHAR) AS label, min(path) AS path FROM e GROUP BY 1), linked AS (SELECT e.path AS query_id, k.path, n AS rank FROM e, (SELECT unnest([1, 2, 3]) AS n) JOIN k ON k.label = CAST(e.doc_id + n AS VARCHAR)),
+      found AS (SELECT query_id, path, round(sum(part), 6) AS s FROM (SELECT query_id, path, 0.5 * score AS part FROM r UNION ALL SELECT query_id, path, 1.0 FROM (SELECT path, unnest(list_distinct(list_transform(concepts, lambda c: lower(c)))) AS token FROM passports) JOIN (SELECT query_id, unnest(list_distinct({TOKENS_SQL.format('query')})) AS token FROM queries) USING (token)) GROUP BY query_id, path),
+      f25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS r FROM found QUALIFY r <= 25), {_CONCEPT_PAIRS},
+      lanes AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank, 1 AS mask FROM pairs UNION ALL SELECT query_id, path, rank, 4 FROM linked
+        UNION ALL SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY r), 8 FROM f25 WHERE path <> query_id UNION ALL SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst), 4 FROM cpairs),
       f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask FROM lanes WHERE rank <= 24 GROUP BY query_id, path)
       SELECT * FROM (SELECT *, {_TOP.format('query_id', 'score DESC, path')} FROM f) WHERE rank <= 12""",
-    "passport_local_find": f"""{_HEAD}, {D.PASSPORTS_SQL}, cards AS (SELECT path, concat_ws(' ', one_line_summary, array_to_string(cornell_cue, ' '), regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')) AS body FROM passports), {bm25_sql('r', docs='cards', top=1 << 30)},
-      asked AS (SELECT query_id, list_distinct({TOKENS_SQL.format('query')}) AS q FROM queries),
-      o AS (SELECT query_id, path, CAST(len(list_filter(concepts, lambda c: len(list_filter(q, lambda t: contains(lower(c), t) OR contains(t, lower(c)))) > 0)) AS INTEGER) AS overlap FROM passports, asked),
-      s AS (SELECT o.query_id, o.path, overlap, round(overlap + 0.5 * coalesce(score, 0), 6) AS score FROM o LEFT JOIN r ON o.query_id = r.query_id AND o.path = r.path)
-      SELECT * FROM (SELECT *, {_TOP.format('query_id', 'score DESC, path')} FROM s) WHERE rank <= 10""",
+    "simhash_mixed": f"WITH {D.VECTORS_SQL}, b AS (SELECT path, list_transform(range(0, 128), lambda b: list_sum(list_transform(range(0, len(vec)), lambda d: vec[d + 1] * CASE WHEN ({_MIXED} >> 16) & 1 = 1 THEN 1 ELSE -1 END)) > 0) AS bits FROM vectors) SELECT path, " + " || ".join(f"lpad(lower(to_hex(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN bits[{32 * k} + i + 1] THEN (1::BIGINT << i) ELSE 0 END))::BIGINT)), 8, '0')" for k in range(4)) + " AS sh FROM b",
+    "mmr_diversify": f"""WITH RECURSIVE {_EVENT_LANES},
+      f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask FROM lanes WHERE rank <= 40 GROUP BY query_id, path),
+      best AS (SELECT query_id, max(score) AS top FROM f GROUP BY query_id),
+      picks(query_id, rank, c, paths, masks) AS (
+        SELECT query_id, 0, NULL::STRUCT(path VARCHAR, score DOUBLE, mask INTEGER), []::VARCHAR[], []::INTEGER[] FROM best
+        UNION ALL
+        SELECT query_id, rank + 1, c, list_append(paths, c.path), list_append(masks, c.mask) FROM (
+          SELECT query_id, rank, paths, masks, first(struct_pack(path := path, score := score, mask := mask) ORDER BY gain DESC, score DESC, path) AS c FROM (
+            SELECT k.query_id, k.rank, k.paths, k.masks, f.path, f.score, f.source_mask AS mask,
+              0.5 * (f.score / top) - 0.5 * coalesce(list_max(list_transform(k.masks, lambda m: bit_count(m & f.source_mask)::DOUBLE / bit_count(m | f.source_mask))), 0) AS gain
+            FROM picks k JOIN f ON f.query_id = k.query_id JOIN best ON best.query_id = k.query_id WHERE k.rank < 10 AND NOT list_contains(k.paths, f.path))
+          GROUP BY query_id, rank, paths, masks))
+      SELECT query_id, c.path AS path, c.score AS score, c.mask AS source_mask, CAST(rank AS INTEGER) AS rank FROM picks WHERE rank > 0""",
+    "passport_local_find": f"""{_HEAD}, {D.PASSPORTS_SQL}, {_LOCAL} SELECT query_id, path, overlap, score, rank FROM local_ranked WHERE rank <= 10""",
     "passport_daemon_find": f"""WITH {D.NOTES_SQL}, {D.PASSPORTS_SQL}, {_SEARCHES},
       n AS (SELECT query_id, path, round({_COS.format('CAST(embedding AS DOUBLE[])', 'q')}, 6) AS cos FROM notes JOIN embeddings ON doc_id = vec_id, searches),
       pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, path) AS r FROM n WHERE cos >= 0.05),

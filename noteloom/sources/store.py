@@ -42,9 +42,20 @@ def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-def view_text(name: str, stats: DataFrame, columns: list[str], where: str, order: str) -> DataFrame:
-    """A view's definition as lines of YAML under a header of figures."""
-    row = stats.first().asDict()
-    head = [f"# {k}: {v}" for k, v in row.items()]
-    body = ["views:", "  - type: table", f"    name: {name}", f"    filters: {where}", "    order:", *(f"      - {c}" for c in columns), f"    sort: {order}"]
-    return stats.sparkSession.createDataFrame([(i, line) for i, line in enumerate(head + body)], "n int, line string")
+def append_vectors(rows: DataFrame, path: str) -> None:
+    """Add embeddings (path, sha, vec, at) to an index; an earlier row of a path stays until ``compacted``."""
+    rows.write.mode("append").parquet(path)
+
+
+def compacted(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """The latest row of every path, written to a new place (published whole) and read back."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), "at").alias("r")).select("r.*")
+    rewrite(last, target)
+    return spark.read.parquet(target)
+
+
+def queue_files(spark: SparkSession, root: str) -> DataFrame:
+    """(name, size) of the JSON files of a queue folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(root)
+    return found.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,3 +73,47 @@ def valid_result(path: Column) -> Column:
 def metadata(probe: Column, names: list[str]) -> Column:
     """Selected ``name = value`` lines of a metadata dump as a map."""
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.nullif(F.trim(F.regexp_extract(probe, rf"(?m)^{n}\s*=\s*\"?([^\"\n]*)\"?$", 1)), F.lit("")) for n in names)))
+
+
+def write_notes(rows: DataFrame, root: str) -> int:
+    """Write (path, content) as files below a folder that all machines share; the number written.
+    Each file is written under another name and then renamed, so a repeated task replaces it whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder, _, name = f"{base}/{path}".rpartition("/")
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                store.move(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def modality(ext: Column) -> Column:
+    """Which reader a file needs: text, image, audio or pdf; null for others."""
+    return F.when(ext.isin(*TEXT), "text").when(ext.isin(*IMAGE), "image").when(ext.isin(*AUDIO), "audio").when(ext == "pdf", "pdf")
+
+
+def read_key(path: Column, mtime: Column) -> Column:
+    """Key of a cached reading: a file that changed is read again."""
+    return F.sha2(F.concat(path, F.lit(":"), mtime.cast("string")), 256)
+
+
+def readings(files: DataFrame, notes: DataFrame, observed: DataFrame, cache: DataFrame) -> DataFrame:
+    """(path, modality, text, fresh): notes by their body; images and PDFs by a cached reading of the
+    same path and time, else by what was ``observed`` (path, ocr, labels, faces: an input table from
+    any reader); audio by the observed text. Files that nobody read have a null text."""
+    rows = files.select("path", modality(F.col("ext")).alias("modality"), read_key(F.col("path"), F.col("mtime")).alias("read_key"))
+    rows = rows.join(notes.select("path", "body"), "path", "left").join(observed, "path", "left").join(cache.select("read_key", F.col("text").alias("known")), "read_key", "left")
+    shown = F.when(F.col("ocr").isNotNull() | (F.size("labels") > 0), T.image_text(T.base_name(F.col("path")), F.col("ocr"), F.col("labels"), F.coalesce("faces", F.lit(0))))
+    new = F.when(F.col("modality") == "text", F.col("body")).when(F.col("modality") == "image", shown).otherwise(F.col("ocr"))
+    cached = F.col("known").isNotNull() & F.col("modality").isin("image", "pdf")
+    return rows.select("path", "modality", F.when(cached, F.col("known")).otherwise(new).alias("text"), (~cached).alias("fresh"))

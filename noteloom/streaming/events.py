@@ -87,6 +87,35 @@ def watcher_stats(matched: DataFrame) -> DataFrame:
     return matched.agg(F.count("*").alias("events"), F.count_if(~F.col("seen")).alias("missed"), F.round(F.avg(F.col("seen").cast("double")), 6).alias("hit_rate"))
 
 
+def missed_paths(matched: DataFrame, keep: int = 50, show: int = 10) -> DataFrame:
+    """(path, ts): of the last ``keep`` missed events the last ``show``."""
+    last = matched.where(~F.col("seen")).orderBy(F.desc("ts"), F.desc("path")).limit(keep)
+    return last.orderBy(F.desc("ts"), F.desc("path")).limit(show).select("path", "ts")
+
+
+def scheduled(triggers: DataFrame) -> DataFrame:
+    """Stream of (key, at_ms, took_ms) to (key, at_ms, ends_ms, started): a trigger starts its key's job
+    unless that job still runs; then it is dropped, and the next trigger has its chance."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        until = state.get[0] if state.exists else -1
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["at_ms", "took_ms"]).itertuples():
+            free = row.at_ms >= until
+            until = row.at_ms + row.took_ms if free else until
+            out.append((key[0], row.at_ms, int(until), bool(free)))
+        state.update((int(until),))
+        yield pd.DataFrame(out, columns=["key", "at_ms", "ends_ms", "started"])
+
+    return triggers.groupBy("key").applyInPandasWithState(step, "key string, at_ms long, ends_ms long, started boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def last_runs(log: DataFrame, now_ms: int) -> DataFrame:
+    """(key, ago_s, took_ms, error): the last run of each job."""
+    last = log.groupBy("key").agg(F.max_by(F.struct("at_ms", "took_ms", "error"), F.struct("at_ms", "took_ms")).alias("r"))
+    return last.select("key", F.round((now_ms - F.col("r.at_ms")) / 1000).cast("long").alias("ago_s"), "r.took_ms", "r.error")
+
+
 def last_events(batch: DataFrame) -> DataFrame:
     """A batch's last event of each path, renames expanded: what maintenance applies."""
     rows = expand_renames(batch)

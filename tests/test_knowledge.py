@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import hashing
 from noteloom.functions import text as T
-from noteloom.operators import chunking, community, graph, profile, upkeep
+from noteloom.operators import chunking, community, enrich, graph, profile, upkeep
 from noteloom.sources import store, vault
 from noteloom.streaming import events as S
 
@@ -92,7 +92,7 @@ def test_modularity_and_the_two_readings_of_loops(spark):
     assert community.modularity(merged, own, self_loop="compat").first()["q"] == pytest.approx(-0.071429, abs=1e-6)
 
 
-@pytest.mark.parametrize("find", [community.louvain, community.synchronous])
+@pytest.mark.parametrize("find", [community.sequential, community.communities])
 def test_communities_cover_all_nodes_and_are_connected(spark, find):
     pairs = spark.createDataFrame([(a, b, 1.0) for a, b in TRIANGLES], "a string, b string, weight double")
     got = find(pairs).collect()
@@ -207,3 +207,38 @@ def test_sources(spark, tmp_path):
     store.write_keywords(items.where("domain = 'd1'").withColumn("path", F.lit("new")), str(tmp_path / "kw"))
     assert {(r["domain"], r["path"]) for r in spark.read.parquet(str(tmp_path / "kw")).collect()} == {("d1", "new"), ("d2", "q")}
     assert store.purge_keywords(spark, str(tmp_path / "kw"), "d1").count() == 1
+
+
+def test_sequential_communities_are_for_small_graphs(spark):
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)], "a string, b string, weight double")
+    with pytest.raises(ValueError):
+        community.sequential(pairs, most=2)
+    assert community.sequential(pairs, most=3).count() == 4
+
+
+def test_super_graph_keeps_isolated_communities(spark):
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], "a string, b string, weight double")
+    part = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("x", 3)], "node string, community int")
+    assert {tuple(r) for r in community.super_graph(pairs, part).collect()} == {(1, 1, 1.0), (1, 2, 2.0), (3, 3, 0.0)}
+
+
+def test_parts_of_a_long_path_come_to_rest(spark):
+    pairs = spark.createDataFrame([(i, i + 1, 1.0) for i in range(300)], "a long, b long, weight double")
+    part = spark.range(301).select(F.col("id").alias("node"), F.lit(0).alias("community"))
+    assert {r["part"] for r in community.split_components(pairs, part).collect()} == {0}
+    found = community.communities(pairs)
+    assert found.count() == 301 and found.first()["modularity"] > 0.8
+
+
+def test_a_schedule_drops_what_comes_while_a_job_runs(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 0, 100), ("k", 50, 100), ("k", 100, 10), ("k", 105, 10), ("j", 60, 5)], "key string, at_ms long, took_ms long")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = S.scheduled(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.table("runs").collect()} == {("k", 0, 100, True), ("k", 50, 100, False), ("k", 100, 110, True), ("k", 105, 110, False), ("j", 60, 65, True)}
+
+
+def test_a_refined_profile_or_the_extracted_one(spark):
+    own = spark.createDataFrame([("a", "s", "rule", "local"), (None, "s", "rule", "local")], "path string, sha string, summary string, source string")
+    model = spark.createDataFrame([("a", "s", "better"), ("b", "s", "none")], "path string, sha string, summary string")
+    assert {tuple(r) for r in enrich.profiles(own, model).select("path", "summary", "source").collect()} == {("a", "better", "model"), (None, "rule", "local")}
