@@ -84,6 +84,12 @@ def stem(token: Column) -> Column:
     return let(fold(token), lambda t: F.when(F.length(t) >= 2, let(plural(t), cut)))
 
 
+def stem_opening(stemmed: Column) -> Column:
+    """What the folded form of every token with this stem begins with: suffixes are only cut off, and
+    the rewritten plurals all end in ``ao`` instead of ``oes``."""
+    return F.when(stemmed.endswith("ao"), F.substr(stemmed, F.lit(1), F.length(stemmed) - 2)).otherwise(stemmed)
+
+
 def body_of(content: Column) -> Column:
     """Without the header block, leading blanks trimmed."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(content, F.lit("")), _HEADER, ""), r"\A\s+", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from noteloom.functions import text as T
 from noteloom.operators.common import materialised, small, top_per
 
 K1, B = 1.5, 0.75
+#: Up to so many openings of asked stems stand in one pattern.
+FEW = 1000
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -76,7 +80,11 @@ def asked_rows(notes: DataFrame, terms: DataFrame, stemmed: bool = False, tokeni
     spark, tok = notes.sparkSession, tokenised(notes, tokeniser=tokeniser)
     wanted = terms.select("token").distinct()
     if stemmed:
-        words = tok.select(F.explode("tokens").alias("form")).distinct()
+        words = tok.select(F.explode("tokens").alias("form"))
+        openings = wanted.select(T.stem_opening(F.col("token")).alias("o")).distinct().limit(FEW + 1).collect()
+        if len(openings) <= FEW:  # only spares work: most tokens can't have an asked stem
+            words = words.where(T.fold(F.col("form")).rlike("^(?:" + "|".join(re.escape(r["o"]) for r in openings) + ")"))
+        words = words.distinct()
         forms = materialised(words.withColumn("token", T.stem(F.col("form"))).join(small(wanted), "token", "left_semi"), "forms")
     else:
         forms = wanted.withColumn("form", F.col("token"))

@@ -145,3 +145,9 @@ def test_multi_vector_ties_and_nothing(spark):
     rows = spark.createDataFrame([("p", [1.0, 0.0], [1.0, 0.0], None), ("q", None, None, None)], "path string, title_vec array<double>, body_vec array<double>, summary_vec array<double>")
     got = {r["path"]: (r["score"], r["source"]) for r in vector.multi_vector(rows, spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vec array<double>")).collect()}
     assert got == {"p": (1.0, "title"), "q": (0.0, None)}
+
+
+def test_stems_begin_as_their_openings_say(spark):
+    words = ["acoes", "nações", "pães", "limões", "coes", "xoes", "xaes", "of", "mãos", "universidades", "rapidamente", "mar", "cães", "casas", "ados", "visões"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(T.fold(F.col("w")).alias("f"), T.stem(F.col("w")).alias("s"))
+    assert rows.where(~F.col("f").startswith(T.stem_opening(F.col("s")))).count() == 0
