@@ -123,8 +123,9 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK,
 def judge(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(doc_id, counts, base_failed, kept) of every document."""
     counts = written(text_counts(documents), "rule-counts")
-    cutoffs = certified_cutoffs(counts, labels, risk, delta)
-    joined = counts.join(cutoffs, "lang", "left")
+    cutoffs = written(certified_cutoffs(counts, labels, risk, delta), "rule-cutoffs", 0)
+    # A row a stratum; a language may hold a third of all rows, so they go to the rows as long as they are few.
+    joined = counts.join(F.broadcast(cutoffs) if cutoffs.count() <= 100_000 else cutoffs, "lang", "left")
     fires = F.lit(False)
     for rule in RULES:
         fires = fires | F.coalesce(_rejects(rule, F.col(rule)), F.lit(False))

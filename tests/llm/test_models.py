@@ -16,8 +16,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from noteloom.llm import kn_lm, langid, media, piece_sampling, quality_gam, risk_rules
-from noteloom.llm.queries import ORACLES, PIECES, QUERIES
+from noteloom.llm import kn_lm, langid, media, packing, piece_sampling, quality_gam, risk_rules
+from noteloom.llm.queries import BYTE_BPE, ORACLES, PIECES, QUERIES
+from noteloom.llm.shared import mix
 from tests.llm.test_sets_and_packing import LOWER, brute_components
 
 
@@ -319,3 +320,59 @@ def test_duplicates_keep_one_row_a_component(spark, sf_dir):
     frame.count()
     got = Counter((r["doc_id"], r["text"]) for r in P.duplicates(spark, frame, sf_dir).collect())
     assert got == Counter([(3, text("a")), (7, text("b")), (5, text("c")), (5, text("d")), (None, text("e")), (None, text("f")), (9, ""), (None, "")])
+
+
+def test_rows_with_null_and_repeated_ids_count_each(spark):
+    text = "one two three four five six seven eight nine ten " * 6
+    rows = [(None, text, "en"), (None, text, "en"), (7, text, "en"), (7, "short\ntext here", None), (7, None, "fr"), (8, "", "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    frame.count()
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    ids = Counter(k for k, *_ in rows)
+    made = {
+        "media": media.media_documents(frame).select("doc_id", "payload_sha256"), "quality": quality_gam.classify(frame, labels).select("doc_id", "held_out"), "rules": risk_rules.judge(frame, labels).select("doc_id", "n_words"),
+        "lm": kn_lm.score_corpus(frame).select("doc_id", "n_tokens"), "language": langid.identify(frame).select("doc_id", "lang_pred"), "pieces": packing.pack_documents(frame, BYTE_BPE).where("piece = 0").select("doc_id", "ids_crc32"),
+    }
+    words = [len((t or "").split()) for _, t, _ in rows]
+    for name, out in made.items():
+        got = [tuple(r) for r in out.collect()]
+        assert Counter(k for k, _ in got) == ids, name
+        if name in ("rules", "lm"):
+            assert Counter(got) == Counter((k, n + (name == "lm")) for (k, *_), n in zip(rows, words))
+        if name in ("media", "pieces"):
+            assert len(set(x for _, x in got)) == (3 if name == "media" else 3)
+
+
+def test_language_scores_against_plain_sums():
+    rng = np.random.default_rng(3)
+    texts = ["Der Hund und", "the dog AND cat", "", "a", "x y zz éé"]
+    model = langid.LanguageModel(["a", "b"], rng.normal(size=(1 << 10, 2)), np.array([0.3, -0.1]), 10)
+    got = model.logits(pa.array(texts))
+    for text, z in zip(texts, got):
+        total, n = np.zeros(2), 0
+        for word in text.translate(LOWER).split():
+            raw = word.encode()
+            s = np.arange(1) * 0
+            grams, _ = langid.word_grams(np.frombuffer(raw, np.uint8), s, s + len(raw), 10)
+            total, n = total + model.table[grams].sum(axis=0), n + len(grams)
+            marked = [1, *(b + 3 for b in raw), 2]
+            keys = []
+            for size in langid.GRAMS:
+                for i in range(len(marked) - size + 1):
+                    key = size
+                    for m in marked[i : i + size]:
+                        key = (key * 0x100000001B3 + m) % 2**64
+                    keys.append(int(mix(np.array([key], np.uint64))[0]) >> 54)
+            assert sorted(keys) == sorted(grams.tolist())
+        assert z == pytest.approx(total / max(n, 1) + model.bias)
+
+
+def test_quality_scores_are_sums_of_tables():
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 4)).astype(np.float32)
+    model = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=5, pair_rounds=5)
+    assert model.pairs
+    for row, score in zip(x[:50], model.scores(x[:50])):
+        at = [sum(cut <= v for cut in edges) for edges, v in zip(model.edges, row)]
+        z = model.base + sum(table[i] for table, i in zip(model.tables, at)) + sum(table[model.coarse[a][at[a]], model.coarse[b][at[b]]] for a, b, table in model.pairs)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
