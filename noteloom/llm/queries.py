@@ -12,7 +12,7 @@ from noteloom.llm.kn_lm import score_corpus
 from noteloom.llm.langid import identify
 from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
-from noteloom.llm.piece_sampling import digests, sample_segmentations
+from noteloom.llm.piece_sampling import sample_digests
 from noteloom.llm.quality_gam import classify
 from noteloom.llm.token_store import read_store, write_store
 
@@ -60,8 +60,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all whole texts of documents, the samples decoded again."""
-    documents = table(spark, sf_dir, "documents")
-    return digests(sample_segmentations(documents, ["doc_id"], "text", PIECES, k=3), ["doc_id"], PIECES)
+    return sample_digests(table(spark, sf_dir, "documents"), ["doc_id"], "text", PIECES, k=3)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

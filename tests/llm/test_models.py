@@ -1,5 +1,6 @@
 """Media, quality, rules, language model, language ID, sampling, pipeline."""
 
+import functools
 import glob
 import hashlib
 import html
@@ -217,21 +218,41 @@ def test_language_accuracy(spark, sf_dir):
     assert (rows["lang_pred"] == rows["lang"]).mean() > 0.97 and rows["rejected"].mean() < 0.05
 
 
-def test_sampled_segmentations_follow_their_probabilities():
-    source = piece_sampling.Lattice(PIECES, 1.0)
-    text = source.processor.normalize("the ☃ n")
-    edges, below = source.edges(text)
+@functools.cache
+def piece_weights():
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    size = p.get_piece_size()
+    weigh = lambda rank: -math.log(min(rank, float(size)) + 10.0)
+    plain = {p.id_to_piece(i): (i, weigh(-p.get_score(i))) for i in range(size) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))}
+    return p, plain, {int(p.id_to_piece(i)[3:5], 16): i for i in range(size) if p.is_byte(i)}, -math.log(size + 10.0)
+
+
+def every_path(text):
+    """Ids of all segmentations of a normalised text, with weights."""
+    _, plain, raw, byte_weight = piece_weights()
     paths = {}
 
     def walk(i, ids, w):
         if i == len(text):
             paths[tuple(ids)] = w
-        for d, x, v, _ in edges[i] if i < len(text) else []:
-            walk(i + d, [*ids, *x], w + v)
+            return
+        for j in range(i + 1, len(text) + 1):
+            if text[i:j] in plain:
+                walk(j, [*ids, plain[text[i:j]][0]], w + plain[text[i:j]][1])
+        if text[i] not in plain:
+            b = text[i].encode()
+            walk(i + 1, [*ids, *(raw[x] for x in b)], w + byte_weight * len(b))
 
     walk(0, [], 0.0)
+    return paths
+
+
+def test_sampled_segmentations_follow_their_probabilities():
+    source = piece_sampling.Lattice(PIECES, 1.0)
+    paths = every_path(source.processor.normalize("the ☃ n"))
     total = math.log(sum(map(math.exp, paths.values())))
-    assert below[0] == pytest.approx(total)
     drawn, estimate, n = Counter(), 0.0, 4000
     for i in range(n):
         rows = source.sample("the ☃ n", 2, str(i))
@@ -240,22 +261,59 @@ def test_sampled_segmentations_follow_their_probabilities():
         estimate += sum(math.exp(r[1]) / r[3] * len(r[0]) for r in rows)  # Horvitz-Thompson
     assert max(abs(drawn[p] / n - math.exp(w - total)) for p, w in paths.items()) < 0.03
     assert estimate / n == pytest.approx(sum(len(p) * math.exp(w - total) for p, w in paths.items()), rel=0.02)
-    assert len(source.sample("the ☃ n", 1000, "all")) == len(paths)
+    all_ = source.sample("the ☃ n", 1000, "all")
+    assert {tuple(r[0]): r[1] for r in all_} == pytest.approx({p: w - total for p, w in paths.items()})
+    assert all(r[3] == 1.0 for r in all_) and [r[2] for r in all_] == sorted((r[2] for r in all_), reverse=True)
+
+
+def test_draws_without_replacement_follow_gumbel_order():
+    """The second draw given the first, and the maxima, against sampling one after another."""
+    source = piece_sampling.Lattice(PIECES, 1.0)
+    paths = every_path(source.processor.normalize("abc"))
+    total = math.log(sum(map(math.exp, paths.values())))
+    share = {p: math.exp(w - total) for p, w in paths.items()}
+    n, second, tops, gaps = 6000, Counter(), [], []
+    got = source.sample_batch(["abc"] * n, 2, piece_sampling._seeds([f"s{i}" for i in range(n)]))
+    lists = []
+    for r in got:
+        ids, at = source.ids_of(r)
+        lists.append([tuple(ids[a:b].tolist()) for a, b in zip(at, at[1:])])
+    for a, b in zip(*lists):
+        second[b] += 1
+    want = Counter()
+    for a, p in share.items():
+        for b, q in share.items():
+            want[b] += p * q / (1 - p) if a != b else 0
+    assert max(abs(second[p] / n - want[p]) for p in want) < 0.03
+    tops, gaps = got[0]["perturbed"], got[1]["perturbed"]
+    assert tops.mean() == pytest.approx(0.5772, abs=0.06) and (tops > gaps).all()
+    rest = np.array([math.log(1 - share[a]) for a in lists[0]])
+    # Given the first maximum, exp(-second + rest) - exp(-first + rest) is a standard exponential.
+    late = np.exp(-gaps + rest) - np.exp(-tops + rest)
+    assert late.mean() == pytest.approx(1.0, abs=0.06)
 
 
 def test_sampling_operator(spark, docs, corpus, no_docs):
-    few = docs.where(F.length(F.coalesce("text", F.lit(""))) < 2000)
-    rows = piece_sampling.sample_segmentations(few, ["doc_id"], "text", PIECES, k=3)
+    rows = piece_sampling.sample_segmentations(docs, ["doc_id"], "text", PIECES, k=3).cache()
     got = defaultdict(list)
     for r in rows.collect():
         got[r["doc_id"]].append(r)
-    assert set(got) == {k for k, t, *_ in corpus if len(t or "") < 2000}
-    again = {(r["doc_id"], r["sample"]): r["ids"] for r in piece_sampling.sample_segmentations(few.repartition(7), ["doc_id"], "text", PIECES, k=3).collect()}
+    assert set(got) == {k for k, *_ in corpus}  # the longest texts too
+    again = {(r["doc_id"], r["sample"]): r["ids"] for r in piece_sampling.sample_segmentations(docs.repartition(7), ["doc_id"], "text", PIECES, k=3).collect()}
     assert again == {(k, r["sample"]): r["ids"] for k, v in got.items() for r in v}
-    plain = {r["doc_id"]: r["text"] for r in piece_sampling.decode_pieces(piece_sampling.encode_pieces(few, ["doc_id"], "text", PIECES), ["doc_id"], PIECES).collect()}
-    for r in piece_sampling.decode_pieces(rows, ["doc_id", "sample"], PIECES).collect():
-        assert r["text"] == plain[r["doc_id"]]
-    assert all(0 < r["inclusion"] <= 1 and r["log_prob"] <= 1e-9 for v in got.values() for r in v)
+    plain = {r["doc_id"]: r["text"] for r in piece_sampling.decode_pieces(piece_sampling.encode_pieces(docs, ["doc_id"], "text", PIECES), ["doc_id"], PIECES).collect()}
+    decoded = {(r["doc_id"], r["sample"]): r["text"] for r in piece_sampling.decode_pieces(rows, ["doc_id", "sample"], PIECES).collect()}
+    assert all(text == plain[key] for (key, _), text in decoded.items())
+    p, pieces, raw, byte_weight = piece_weights()
+    weigh = {i: w for i, w in pieces.values()} | {i: byte_weight for i in raw.values()}
+    for key, v in got.items():
+        assert len({tuple(r["ids"]) for r in v}) == len(v) and [r["sample"] for r in v] == list(range(1, len(v) + 1))
+        assert all(0 <= r["inclusion"] <= 1 and r["log_prob"] <= 1e-9 and (r["inclusion"] > 0 or r["log_prob"] < -600) for r in v)
+        # log-probabilities differ as the weights of the pieces do
+        sums = [sum(weigh[i] for i in r["ids"]) - r["log_prob"] for r in v]
+        assert sums == pytest.approx([sums[0]] * len(v), rel=1e-9)
+    digests = {(r["doc_id"], r["sample"]): (r["n_pieces"], r["ids_crc32"], r["text_crc32"]) for r in piece_sampling.sample_digests(docs, ["doc_id"], "text", PIECES, k=3).collect()}
+    assert digests == {(k, r["sample"]): (len(r["ids"]), zlib.crc32(np.array(r["ids"], "<i4").tobytes()), zlib.crc32(decoded[k, r["sample"]].encode())) for k, v in got.items() for r in v}
     assert piece_sampling.sample_segmentations(no_docs, ["doc_id"], "text", PIECES).count() == 0
 
 
