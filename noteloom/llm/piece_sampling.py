@@ -420,7 +420,7 @@ def _drawn(rows: DataFrame, keys: list[str], text: str, model: str, k: int, temp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = lattice(model, temperature)
-        for batch in slices(batches, 4000, 2 << 20):
+        for batch in slices(batches, 4000, 3 << 19):
             own = [c.to_pylist() for c in batch.columns[:-1]]
             seeds = _seeds([f"{seed}:" + ":".join(repr(c[i]) for c in own) for i in range(batch.num_rows)])
             for nth, got in enumerate(source.sample_batch(batch.columns[-1].to_pylist(), k, seeds), 1):
