@@ -43,7 +43,7 @@ from noteloom.llm.shared import KEPT, mix, only, slices
 from noteloom.llm.textscan import span_hashes
 
 RANK_SHIFT = 10.0
-KEEP = 1_200_000
+KEEP = 1_500_000
 MARK = "\u2581".encode()
 _lattices: dict[tuple[str, float], "Lattice"] = {}
 KEPT.append(_lattices)
@@ -130,7 +130,6 @@ class Lattice:
         self.ids_at, self.n_ids = _Grown("i4"), _Grown("u1")
         self.ids = _Grown("i4")
         self.ids.add(np.arange(len(self.shown_size), dtype=np.int32))
-        self.most_ways = 1
 
     def _build(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Nodes and ways of new segments data[s:e]; their first nodes."""
@@ -164,45 +163,47 @@ class Lattice:
             on = hit & self.known_more[at] & (end < stop[alive])
             alive, end = alive[on], after_of[end[on]]
         lone = np.flatnonzero(~single)  # characters without a piece: their bytes
-        own, to, w = np.concatenate([*owner, lone]), np.concatenate([*reach, after[lone]]), np.concatenate([*weight, self.byte_weight * (after - place)[lone]])
-        n_ids = np.append(np.ones(len(own) - len(lone), np.int64), (after - place)[lone])
-        lone_bytes = self.byte_ids[raw[_spread(place[lone], (after - place)[lone])]]
-        lone_at = self.ids.n + np.cumsum((after - place)[lone]) - (after - place)[lone]
-        ids_at = np.concatenate([*number, lone_at]).astype(np.int64)
-        self.ids.add(lone_bytes)
-        order = np.argsort(own, kind="stable")
-        own, to, w, n_ids, ids_at = own[order], to[order], w[order], n_ids[order], ids_at[order]
-        nxt = np.where(to == stop[own], -1, node_at[np.minimum(to, len(raw) - 1)])
-        first = np.searchsorted(own, np.arange(n))
-        ways = np.diff(np.append(first, len(own)))
-        # Backwards by distance from the segment's end: all nodes of one distance at a time.
-        left = node_at[stop - 1] - np.arange(n)
+        width = (after - place)[lone]
+        lone_at = self.ids.n + np.cumsum(width) - width
+        self.ids.add(self.byte_ids[raw[_spread(place[lone], width)]])
+        # Nodes are numbered by their distance from the segment's end, so that the backward pass takes
+        # one slice a distance; a node's ways stand together, longest first.
+        left = (node_at[stop - 1] - np.arange(n)).astype(np.int32)
         by = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by], np.arange(left.max(initial=-1) + 2))
-        below, terms = np.zeros(n + 1), np.empty(len(own))
-        for d in range(len(bounds) - 1):
-            here = by[bounds[d] : bounds[d + 1]]
-            at = _spread(first[here], ways[here])
-            t = w[at] + below[nxt[at]]  # -1 is the slot behind the last node: 0
-            heads = np.cumsum(ways[here]) - ways[here]
+        number_of = np.empty(n, np.int64)
+        number_of[by] = np.arange(n)
+        own = number_of[np.concatenate([*owner[::-1], lone])]
+        to, w = np.concatenate([*reach[::-1], after[lone]]), np.concatenate([*weight[::-1], self.byte_weight * width])
+        ids_at = np.concatenate([*number[::-1], lone_at])
+        n_ids = np.ones(len(own), np.uint8)
+        n_ids[len(own) - len(lone) :] = width
+        order = np.argsort(own, kind="stable")
+        own, to, w = own[order], to[order], w[order]
+        ways = np.bincount(own, minlength=n)
+        first = np.cumsum(ways) - ways
+        nxt = np.where(to == stop[by][own], n, number_of[node_at[np.minimum(to, len(raw) - 1)]])
+        below, terms = np.zeros(n + 1), np.empty(len(own))  # behind the last node stands the end, with 0
+        edge = np.searchsorted(left[by], np.arange(left.max(initial=-1) + 2))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            x, y = int(first[a]), int(first[b]) if b < n else len(own)
+            t = terms[x:y] = w[x:y] + below[nxt[x:y]]
+            heads = first[a:b] - x
             top = np.maximum.reduceat(t, heads)
-            below[here] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, ways[here])), heads))
-            terms[at] = t
+            below[a:b] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, ways[a:b])), heads))
         log_p = np.minimum(terms - below[own], 0.0)
         total = np.cumsum(np.exp(log_p))
-        cum = total - np.repeat(np.append(0.0, total)[first], ways)
+        cum = total - np.append(0.0, total)[first][own]
         cum[first + ways - 1] = 2.0  # whatever is drawn, the last way takes it
-        base, way_base = self.first.n, self.cum.n
-        self.first.add(first + way_base)
+        base = self.first.n
+        self.first.add(first + self.cum.n)
         self.ways_of.add(ways)
         self.node.add(own + base)
         self.cum.add(cum)
         self.log_p.add(log_p)
-        self.to.add(np.where(nxt < 0, -1, nxt + base))
-        self.ids_at.add(ids_at)
-        self.n_ids.add(n_ids)
-        self.most_ways = max(self.most_ways, int(ways.max(initial=1)))
-        return node_at[np.append(0, ends[:-1])] + base
+        self.to.add(np.where(nxt == n, -1, nxt + base))
+        self.ids_at.add(ids_at[order])
+        self.n_ids.add(n_ids[order])
+        return number_of[node_at[np.append(0, ends[:-1])]] + base
 
     def nodes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first node and byte where it begins of every segment, first segment of each text and the end)."""
@@ -229,23 +230,20 @@ class Lattice:
 
     def _draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """A way from each node, in proportion: the first whose cumulative probability exceeds u."""
-        low = self.first.data[node].astype(np.int64)
-        last = low + self.ways_of.data[node] - 1
-        step = 1 << max(self.most_ways - 1, 1).bit_length() - 1
-        cum = self.cum.data
-        while step:
-            ahead = low + step
-            low = np.where((ahead <= last) & (cum[np.minimum(ahead, last) - 1] <= u), ahead, low)
-            step >>= 1
-        return low
-
-    def _descend(self, node: np.ndarray, first: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        way = self.first.data[node].astype(np.int64)
+        on = np.flatnonzero(self.cum.data[way] <= u)
+        while len(on):
+            way[on] += 1
+            on = on[self.cum.data[way[on]] <= u[on]]
+        return way
+
+    def _descend(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From ``node`` of each segment (-1: nothing to do) to its end: (ways in turn, how many)."""
         steps = np.zeros(len(node), np.int64)
         act = np.flatnonzero(node >= 0)
         now, taken = node[act], []
         while len(act):
-            way = self._draw(now, _uniform(seed[act], place[act] + (now - first[act]), _PIECE))
+            way = self._draw(now, _uniform(seed[act], place[act] + len(taken), _PIECE))
             taken.append((act, way))
             steps[act] += 1
             now = self.to.data[way]
@@ -264,7 +262,7 @@ class Lattice:
         offsets = np.append(0, np.cumsum([len(x) for x in normal]))
         first, s, segs = self.nodes(np.frombuffer(b"".join(normal), np.uint8), offsets)
         n = len(texts)
-        place = s - np.repeat(offsets[:-1], np.diff(segs))  # byte in the text; places inside follow by character
+        place = s - np.repeat(offsets[:-1], np.diff(segs))  # byte in the text; the steps inside are counted on from it
         text = np.repeat(np.arange(n), np.diff(segs))
         waiting: list[list[tuple]] = [[(-math.log(-math.log(x)), -1, 0, 0, 0.0, (), 0.0)] for x in _uniform(seeds, np.zeros(n, np.int64), _ROOT).tolist()]
         rounds: list[dict[str, np.ndarray]] = []
@@ -288,7 +286,7 @@ class Lattice:
                 for j, (i, x) in enumerate(zip(live, opened)):
                     chosen[j] = way = self._other_way(x[4], x[5], float(_uniform(salt[i : i + 1], np.array([x[2]]), _SIBLING + 4)[0]))
                     node[begin_seg[j]] = self.to.data[way]
-            ways, steps = self._descend(node, first, salt[text], place)
+            ways, steps = self._descend(node, salt[text], place)
             # Steps of each open text: those of the parent before the branch, the chosen way, the new ones.
             seg_end = np.append(0, np.cumsum(steps))
             fresh_at, fresh = seg_end[begin_seg], seg_end[segs[who + 1]] - seg_end[begin_seg]
@@ -356,10 +354,18 @@ class Lattice:
             late = np.log(-np.log(_uniform(salt[names[own]], step, _SIBLING)))
             value = -np.logaddexp(-best[own], late - lead - np.log1p(-spent))
             seg = seg_of(step, own)
-            order = np.lexsort((-value, own))
-            sorted_own = own[order]
-            first_few = order[np.arange(len(order)) - np.searchsorted(sorted_own, sorted_own) < room]
-            for x in first_few.tolist():
+            texts, heads = np.unique(own, return_index=True)
+            group = np.repeat(np.arange(len(texts)), np.diff(np.append(heads, len(own))))
+            first_few, left = [], value.copy()
+            for _ in range(room):  # each text's largest, one after another
+                high = np.maximum.reduceat(left, heads)
+                x = np.flatnonzero((left == high[group]) & (left > -np.inf))
+                if not len(x):
+                    break
+                x = x[np.unique(group[x], return_index=True)[1]]
+                first_few += x.tolist()
+                left[x] = -np.inf
+            for x in first_few:
                 j = int(own[x])
                 gone = (*(opened[j][5] if branch[x] else ()), int(flat[at[x]]))
                 waiting[live[j]].append((float(value[x]), nth, int(step[x]), int(seg[x] - segs[live[j]]), int(node[x]), gone, float(spent[x])))
@@ -370,7 +376,10 @@ class Lattice:
     def ids_of(self, got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a round in turn, where each text's begin and the end)."""
         size = self.n_ids.data[got["flat"]].astype(np.int64)
-        ids = self.ids.data[_spread(self.ids_at.data[got["flat"]].astype(np.int64), size)]
+        at = self.ids_at.data[got["flat"]]
+        if (size == 1).all():
+            return self.ids.data[at], got["bounds"]
+        ids = self.ids.data[_spread(at.astype(np.int64), size)]
         return ids, np.append(0, np.cumsum(size))[got["bounds"]]
 
     def bytes_of(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -420,7 +429,7 @@ def _drawn(rows: DataFrame, keys: list[str], text: str, model: str, k: int, temp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = lattice(model, temperature)
-        for batch in slices(batches, 4000, 3 << 19):
+        for batch in slices(batches, 4000, 2 << 20):
             own = [c.to_pylist() for c in batch.columns[:-1]]
             seeds = _seeds([f"{seed}:" + ":".join(repr(c[i]) for c in own) for i in range(batch.num_rows)])
             for nth, got in enumerate(source.sample_batch(batch.columns[-1].to_pylist(), k, seeds), 1):
