@@ -3,8 +3,8 @@
 A key's address is the first 60 bits of its MD5. All rows begin in one bucket (prefix of no
 bits); a bucket whose bytes exceed the limit is split on its next bit, and only that one, until
 every bucket fits. Since a bucket's bytes are the sum of its halves', sizes at a fine prefix
-depth suffice to grow the whole directory; where a bucket at that depth is still too large, only
-its rows are counted again, deeper. What shares all 60 bits (rows of one key) can't be split by
+depth suffice to grow the whole directory, its branches by tasks of their own; where a bucket at
+that depth is still too large, only its rows are counted again, deeper. What shares all 60 bits (rows of one key) can't be split by
 address: such a bucket is cut into runs of rows in the order of (key, bytes, text hash), each
 within the limit, numbered by ``part``. A row longer than the limit has a shard of its own.
 
@@ -12,7 +12,9 @@ The rows are moved whole: each goes with its placing, never by a join on the key
 Parquet folder of its shard (depth, prefix, part), all its columns in the struct ``row``. What a
 query returns is read back from those files.
 
-The directory has a leaf a shard, so it grows as the corpus divided by the limit.
+The directory has a leaf a shard, so it grows as the corpus divided by the limit; it stays a table.
+A row's salt within one address comes from its place in the input, which must be read the same way
+again if a task is repeated (as files are).
 
 Nulls and edge cases: a null text has no bytes; a null key has the address of the empty string;
 repeated rows share their address; an empty table has no shards; further columns stay in the row.
@@ -24,14 +26,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.llm.shared import new_folder, written
+from noteloom.llm.shared import discard, new_folder, written
 
-BITS = 60
+BITS, GROUP_BITS = 60, 14
+#: Rows of small tables (16 to 32 bytes each) that may go to all tasks.
+SENT = 1 << 20
+LEAF = "prefix long, depth int, n_bytes long"
 
 
 def addresses(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,54 +50,104 @@ def addresses(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def grow_directory(rows: DataFrame, limit: int) -> list[tuple[int, int, int]]:
-    """Leaves (prefix, depth, bytes) in address order; each fits the limit or has all 60 bits."""
+def _split(sizes: dict[int, int], depth: int, finer: int, limit: int) -> list[tuple[int, int, int]]:
+    """(prefix, depth, bytes) of the buckets that the cells ``sizes`` at depth ``finer`` form below those
+    at ``depth``: one is split on its next bit while it exceeds the limit and cells tell its halves apart."""
+    at: dict[int, dict[int, int]] = {finer: sizes}
+    for d in range(finer, depth, -1):
+        at[d - 1] = defaultdict(int)
+        for prefix, n in at[d].items():
+            at[d - 1][prefix >> 1] += n
+    out, stack = [], [(prefix, depth) for prefix in at[depth]]
+    while stack:
+        prefix, d = stack.pop()
+        if prefix not in at[d]:
+            continue  # nothing there: no shard
+        if at[d][prefix] <= limit or d == finer:
+            out.append((prefix, d, at[d][prefix]))
+        else:
+            stack += [(2 * prefix, d + 1), (2 * prefix + 1, d + 1)]
+    return out
+
+
+def _split_groups(cells: DataFrame, depth: int, finer: int, limit: int) -> DataFrame:
+    """``_split`` for every prefix at ``depth`` by a task of its own; cells: (cell, n_bytes) at ``finer``."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = _split(dict(zip(group["cell"].tolist(), group["n_bytes"].tolist())), depth, finer, limit)
+        return pd.DataFrame(found, columns=["prefix", "depth", "n_bytes"])
+
+    return cells.groupBy(F.shiftright("cell", finer - depth).alias("top")).applyInPandas(run, LEAF)
+
+
+def grow_directory(rows: DataFrame, limit: int) -> DataFrame:
+    """Written leaves (prefix, depth, n_bytes); each fits the limit or has all 60 bits.
+
+    Bytes are added up in cells so fine that an even spread leaves 1/16 of the limit in one. The
+    driver sees their sums at a depth ``GROUP_BITS`` higher only (a number for a thousand shards), and
+    grows the directory's top from them; below, each prefix of that depth grows in a task of
+    its own, from 2 ** GROUP_BITS cells at most. Cells still too large are counted again, deeper.
+    """
+    spark = rows.sparkSession
     total = rows.agg(F.sum("n_bytes")).first()[0]
     if total is None:
-        return []
-    leaves: list[tuple[int, int, int]] = []
-    todo: list[tuple[int, int]] = [(0, 0)]  # buckets to grow from: all rows below them are counted next
-    depth = 0
-    while todo:
-        # So fine that an even spread leaves 1/16 of the limit in a cell.
-        finer = min(BITS, max(depth + 1, int(np.ceil(np.log2(max(1, total / limit)))) + 4 if depth == 0 else depth + 6))
-        cells = rows if depth == 0 else rows.join(F.broadcast(rows.sparkSession.createDataFrame(todo, "p long, d int")), F.shiftright("address", BITS - depth) == F.col("p"), "left_semi")
-        sizes: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for cell, n in cells.groupBy(F.shiftright("address", BITS - finer).alias("cell")).agg(F.sum("n_bytes")).collect():
-            for d in range(depth, finer + 1):
-                sizes[d][cell >> (finer - d)] += n
-        deeper = []
-        stack = list(todo)
-        while stack:
-            prefix, d = stack.pop()
-            if prefix not in sizes[d]:
-                continue  # nothing there: no shard
-            n = sizes[d][prefix]
-            if n <= limit or d == BITS:
-                leaves.append((prefix, d, n))
-            elif d == finer:
-                deeper.append((prefix, d))
-            else:
-                stack += [(2 * prefix, d + 1), (2 * prefix + 1, d + 1)]
-        todo, depth = deeper, finer
-    return sorted(leaves, key=lambda x: x[0] << (BITS - x[1]))
-
-
-def assign(rows: DataFrame, leaves: list[tuple[int, int, int]], limit: int, key: str = "doc_id") -> DataFrame:
-    """Every row with its leaf: (row, depth, prefix, part)."""
-    spark = rows.sparkSession
-    starts = np.array([p << (BITS - d) for p, d, _ in leaves], np.int64)
-    table = spark.sparkContext.broadcast((starts, np.array([x[0] for x in leaves], np.int64), np.array([x[1] for x in leaves], np.int32), np.array([x[2] for x in leaves], np.int64)))
-    schema = T.StructType([*rows.schema, *(T.StructField(c, t) for c, t in (("depth", T.IntegerType()), ("prefix", T.LongType()), ("shard_bytes", T.LongType())))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, prefixes, depths, sizes = table.value
-        for batch in batches:
-            at = np.searchsorted(starts, batch.column(2).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depths[at]), pa.array(prefixes[at]), pa.array(sizes[at])], [*batch.schema.names, "depth", "prefix", "shard_bytes"])
-
-    placed = rows.mapInArrow(run, schema)
-    if not any(d == BITS and n > limit for _, d, n in leaves):
+        return written(spark.createDataFrame([], LEAF), "leaves", 0)
+    depth = min(BITS, max(1, int(np.ceil(np.log2(max(1, total / limit)))) + 4))
+    top = max(0, depth - GROUP_BITS)
+    cells = written(rows.groupBy(F.shiftright("address", BITS - depth).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes")), "cells", 1 << min(depth, 40))
+    sums = {r[0]: r[1] for r in cells.groupBy(F.shiftright("cell", depth - top)).agg(F.sum("n_bytes")).collect()}
+    known = _split(sums, 0, top, limit)
+    open_ = [(p,) for p, d, n in known if d == top and n > limit]
+    done = spark.createDataFrame([x for x in known if x[1] < top or x[2] <= limit], LEAF)
+    below = cells.join(few(spark.createDataFrame(open_, "p long"), len(open_)), F.shiftright("cell", depth - top) == F.col("p"), "left_semi")
+    leaves = written(done.unionByName(_split_groups(below, top, depth, limit)), "leaves", total // limit)
+    discard(cells)
+    while depth < BITS:
+        too_large = (F.col("depth") == depth) & (F.col("n_bytes") > limit)
+        large = leaves.where(too_large).select(F.col("prefix").alias("p"))
+        n = large.count()
+        if not n:
+            break
+        finer = min(BITS, depth + 6)
+        again = rows.join(few(large, n), F.shiftright("address", BITS - depth) == F.col("p"), "left_semi")
+        cells = again.groupBy(F.shiftright("address", BITS - finer).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
+        last, leaves = leaves, written(leaves.where(~too_large).unionByName(_split_groups(cells, depth, finer, limit)), "leaves", total // limit)
+        discard(last)
+        depth = finer
+    return leaves
+
+
+def few(table: DataFrame, n: int) -> DataFrame:
+    """With a broadcast hint while its ``n`` rows are few."""
+    return F.broadcast(table) if n <= SENT else table
+
+
+def assign(rows: DataFrame, leaves: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """Every row with its leaf: (row, depth, prefix, part).
+
+    Up to ``SENT`` leaves are sent to all tasks as arrays; beyond that rows and leaves meet by a
+    leading part of the address, and by the leaf's range within it."""
+    n = leaves.count()
+    start = F.expr(f"shiftleft(prefix, {BITS} - depth)")
+    if n <= SENT:
+        sent = leaves.select(start.alias("start"), "prefix", "depth", "n_bytes").orderBy("start").toArrow()
+        table = rows.sparkSession.sparkContext.broadcast([sent.column(i).to_numpy() for i in range(4)])
+        schema = T.StructType([*rows.schema, *(T.StructField(c, t) for c, t in (("depth", T.IntegerType()), ("prefix", T.LongType()), ("shard_bytes", T.LongType())))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts, prefixes, depths, sizes = table.value
+            for batch in batches:
+                at = np.searchsorted(starts, batch.column(2).to_numpy(), "right") - 1
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depths[at], pa.int32()), pa.array(prefixes[at]), pa.array(sizes[at])], [*batch.schema.names, "depth", "prefix", "shard_bytes"])
+
+        placed = rows.mapInArrow(run, schema)
+    else:
+        lead = max(0, int(np.ceil(np.log2(n))) - 6)
+        spans = leaves.select("depth", "prefix", F.col("n_bytes").alias("shard_bytes"), start.alias("start"), F.expr(f"shiftleft(prefix + 1, {BITS} - depth)").alias("end"))
+        spans = spans.withColumn("lead", F.explode(F.sequence(F.shiftright("start", BITS - lead), F.shiftright(F.col("end") - 1, BITS - lead))))
+        within = (F.shiftright("address", BITS - lead) == F.col("lead")) & (F.col("address") >= F.col("start")) & (F.col("address") < F.col("end"))
+        placed = rows.join(spans, within).select(*rows.columns, "depth", "prefix", "shard_bytes")
+    if leaves.where((F.col("depth") == BITS) & (F.col("n_bytes") > limit)).isEmpty():
         return placed.select("row", "depth", "prefix", F.lit(0).cast("long").alias("part"))
     # Only rows of one address beyond the limit are numbered, in windows of that address and a salt.
     heavy = placed.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit))

@@ -1,6 +1,7 @@
 """Jaccard join, token store, packing, sharding against brute-force versions."""
 
 import functools
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from noteloom.llm import jaccard_join, packing
+from noteloom.llm import extendible, jaccard_join, packing
 from noteloom.llm.components import connected, join_hot
 from noteloom.llm.extendible import shard_documents, write_shards
 from noteloom.llm.queries import BYTE_BPE, ORACLES, QUERIES, WORD_BPE
@@ -282,6 +283,29 @@ def test_extendible_hashing(spark, docs, corpus, no_docs):
     assert sum(cut.values()) == 5001 and all(n <= 1000 for n in cut.values())
 
 
+def test_directory_in_groups_and_as_a_join(spark, docs, corpus, monkeypatch):
+    want = sorted(map(tuple, shard_documents(docs, 2000).collect()), key=repr)
+    sizes = {k: len((t or "").encode()) for k, t, *_ in corpus}
+    leaves = defaultdict(int)
+    address = {k: int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) for k in sizes}
+
+    def grow(prefix, depth, keys):  # the definition, one bucket at a time
+        n = sum(sizes[k] for k in keys)
+        if n <= 2000 or depth == 60:
+            leaves[depth, prefix] = n
+            return
+        for bit in (0, 1):
+            half = [k for k in keys if address[k] >> (59 - depth) & 1 == bit]
+            if half:
+                grow(2 * prefix + bit, depth + 1, half)
+
+    grow(0, 0, list(sizes))
+    assert {(x[2], x[3]) for x in want} == set(leaves)
+    monkeypatch.setattr(extendible, "GROUP_BITS", 3)
+    monkeypatch.setattr(extendible, "SENT", 5)
+    assert sorted(map(tuple, shard_documents(docs, 2000).collect()), key=repr) == want
+
+
 def test_shards_hold_every_row_once(spark, tmp_path):
     rows = [(None, "n" * 30, 1)] * 3 + [(1, "x" * 100, 2)] * 50 + [(1, None, 3), (2, "y", 4), (2, "z" * 3000, 5)]
     back = write_shards(spark.createDataFrame(rows, "doc_id long, text string, part long"), 1000, str(tmp_path / "shards")).collect()
