@@ -81,7 +81,7 @@ def set_table(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in slices(batches, 3000, 16 << 20):
+        for batch in slices(batches, 1500, 8 << 20):
             s, t, size, ident = _sets(batch.column(len(carry) + 1))
             none = pa.nulls(batch.num_rows, pa.int64())
             names = [*batch.schema.names[:-1], "set_id", "n", "token", "df"]
@@ -138,7 +138,7 @@ def _tokens_out(documents: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buck
         let_go()
         common = shipped.value[0]
         task = TaskContext.get().partitionId() << 20
-        for nth, batch in enumerate(slices(batches, 4000, 16 << 20)):
+        for nth, batch in enumerate(slices(batches, 2000, 8 << 20)):
             ref, mark = task + nth, np.int64(task + nth).tobytes()
             s, t, size, ident = _sets(batch.column(0))
             keep = _unique_rows(ident, size)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.shared import only, slices, written
+from noteloom.llm.shared import only, slices, trim, written
 from noteloom.llm.tokenids import encoder
 
 ROWS_PER_RANK_TASK = 200_000
@@ -39,8 +39,9 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         codes = encoder(tokenizer, spaces_matter)
-        for batch in slices(batches, 4000):
+        for batch in slices(batches, 2000, 8 << 20):
             ids, at = codes.encode(batch.column(1))
             whole = memoryview(np.insert(ids, at[1:], end_id).astype("<u4", copy=False)).cast("B")
             size = np.diff(at) + 1

@@ -35,16 +35,20 @@ def shared_root(spark: SparkSession) -> str:
 KEPT: list[dict] = []
 
 
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def let_go() -> None:
-    """Drop what earlier operators kept in this worker and hand freed memory back to the system;
-    for tasks that need none of it."""
-    if any(KEPT):
-        for kept in KEPT:
-            kept.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    """Drop what earlier operators kept in this worker; for tasks that need none of it."""
+    for kept in KEPT:
+        kept.clear()
+    gc.collect()
+    trim()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -32,7 +32,7 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[tuple[str, bool], "TextEncoder"] = {}
 KEPT.append(_encoders)
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: 1 for letters, 2 for punctuation that is always cut from a letter beside it.
 _MARKS = np.zeros(256, np.int8)
 _MARKS[65:91] = _MARKS[97:123] = 1
@@ -78,7 +78,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class TextEncoder:
     """``encode`` gives the ids of whole texts; at most ``keep`` pieces stay in memory."""
 
-    def __init__(self, path: str, spaces_matter: bool, keep: int = 600_000):
+    def __init__(self, path: str, spaces_matter: bool, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
