@@ -33,7 +33,7 @@ def filtered(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 1000, 8 << 20):
             yield batch.filter(pa.array(keep(batch.column(1)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
