@@ -11,6 +11,7 @@ import ctypes
 import gc
 import os
 import posixpath
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests) a temporary one is made and set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_noteloom_root", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a local session (tests) may leave it
+    unset and gets a temporary one; on a cluster other machines could not see that, so it raises."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_noteloom_root", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="noteloom-shared-")
-        spark.sparkContext._noteloom_root = root
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        root = sc._noteloom_root = "file://" + tempfile.mkdtemp(prefix="noteloom-shared-")
     return root.rstrip("/")
 
 
