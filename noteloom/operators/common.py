@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,13 @@ def top_per(df: DataFrame, group: list[str], order: list[Column], k: int, rank:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one (a temporary one where none is set)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/noteloom-scratch"
+    """A new folder below the cluster's shared one; a local session (tests) may leave that unset."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        root = f"file://{tempfile.gettempdir()}/noteloom-scratch"
     return f"{root.rstrip('/')}/noteloom/{name}-{uuid.uuid4().hex}"
 
 
