@@ -175,7 +175,7 @@ def _write_pairs(packed: DataFrame, folder: str, words: int) -> DataFrame:
                     stats["kinds"] = np.diff(np.append(edge, len(word)))
                 at = np.searchsorted(_range(stats["word"], 56, words), np.arange(words + 1))
                 out += [(p, kind, stats[at[p] : at[p + 1]].tobytes(), None, None) for p in range(words) if at[p + 1] > at[p]]
-            out.append((0, 3, _histogram(c).astype(np.int64).tobytes(), None, None))
+            out.append((0, 3, np.append(_histogram(c), part).astype(np.int64).tobytes(), None, None))
             yield _rows(out)
 
     return packed.mapInArrow(run, _PACKED)
@@ -183,14 +183,15 @@ def _write_pairs(packed: DataFrame, folder: str, words: int) -> DataFrame:
 
 def _write_words(packed: DataFrame, folder: str) -> DataFrame:
     """Merge the words of each range, write its array; a summary row a range."""
-    names = ["part", "n_words", "n_tokens", "pair_kinds", "histogram", "pair_histogram"]
+    names = ["part", "n_words", "n_tokens", "pair_kinds", "histogram", "pair_histogram", "pair_parts", "n_kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _held(batches)
         rows = []
         for part in list(held):
             mine = held.pop(part)
-            pairs = sum((np.frombuffer(a, np.int64) for kind, a, _, _ in mine if kind == 3), np.zeros(4, np.int64))
+            told = np.array([np.frombuffer(a, np.int64) for kind, a, _, _ in mine if kind == 3], np.int64).reshape(-1, 5)
+            pairs, parts = told[:, :4].sum(axis=0), told[:, 4].tolist()
             found = [np.frombuffer(a, WORD) for kind, a, _, _ in mine if kind != 3]
             if found:
                 all_ = np.concatenate(found)
@@ -203,13 +204,13 @@ def _write_words(packed: DataFrame, folder: str) -> DataFrame:
                     merged[name] = np.add.reduceat(all_[name].astype(np.uint64), edge)
                 put_file(f"{folder}/words/{part:06d}.bin", merged.tobytes())
                 kinds = merged["kinds"][merged["count"] > 0]
-                rows.append((part, int((merged["count"] > 0).sum()), int(merged["count"].sum()), int(kinds.sum(dtype=np.int64)), _histogram(kinds).tolist(), pairs.tolist()))
+                rows.append((part, int((merged["count"] > 0).sum()), int(merged["count"].sum()), int(kinds.sum(dtype=np.int64)), _histogram(kinds).tolist(), pairs.tolist(), parts, len(merged)))
             else:
-                rows.append((part, 0, 0, 0, [0] * 4, pairs.tolist()))
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names)
+                rows.append((part, 0, 0, 0, [0] * 4, pairs.tolist(), parts, 0))
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names)
 
-    return packed.mapInArrow(run, "part int, n_words long, n_tokens long, pair_kinds long, histogram array<long>, pair_histogram array<long>")
+    return packed.mapInArrow(run, "part int, n_words long, n_tokens long, pair_kinds long, histogram array<long>, pair_histogram array<long>, pair_parts array<long>, n_kept long")
 
 
 def discounts(histogram: list[int]) -> np.ndarray:
@@ -228,7 +229,7 @@ class Model:
     folder: str
     pair_parts: int
     word_parts: int
-    present: tuple[set[int], set[int]]
+    present: dict[str, np.ndarray]  # by kind, whether a range has an array
     n_words: int
     n_tokens: int
     pair_kinds: int
@@ -249,24 +250,25 @@ def train(documents: DataFrame) -> Model:
     word_discounts = discounts(list(add("histogram")))
     ones, twos = (int(x) for x in add("histogram")[:2])
     gamma = (word_discounts[1] * ones + word_discounts[2] * twos + word_discounts[3] * (n_words - ones - twos)) / kinds if kinds else 1.0
-    filled = {int(r["part"]) for r in summary if r["n_words"]}
-    return Model(folder, pairs, words, (set(), filled), n_words, n_tokens, kinds, discounts(list(add("pair_histogram"))), word_discounts, float(gamma))
+    present = {"pairs": np.zeros(pairs, bool), "words": np.zeros(words, bool)}
+    present["words"][[r["part"] for r in summary if r["n_kept"]]] = True
+    present["pairs"][[x for r in summary for x in r["pair_parts"]]] = True
+    return Model(folder, pairs, words, present, n_words, n_tokens, kinds, discounts(list(add("pair_histogram"))), word_discounts, float(gamma))
 
 
 _open: dict[tuple[str, str, int], np.ndarray] = {}
 
 
 def _array(model: Model, kind: str, part: int) -> np.ndarray:
-    """A range's array, mapped once per worker; empty if no text fell into the range."""
+    """A range's array, mapped once per worker; empty where no text fell into the range. One that was
+    written and is gone raises."""
     key = (model.folder, kind, part)
     if key not in _open:
         if any(k[0] != model.folder for k in _open):
             _open.clear()
         name, dtype = {"pairs": ("u64", np.dtype("<u8")), "common": ("bin", COMMON), "words": ("bin", WORD)}[kind]
-        try:
-            _open[key] = map_file(f"{model.folder}/{kind}/{part:06d}.{name}").view(dtype)
-        except FileNotFoundError:
-            _open[key] = np.zeros(0, dtype)
+        there = kind == "common" or model.present[kind][part]
+        _open[key] = map_file(f"{model.folder}/{kind}/{part:06d}.{name}").view(dtype) if there else np.zeros(0, dtype)
     return _open[key]
 
 

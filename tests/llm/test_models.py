@@ -202,6 +202,17 @@ def test_pairs_counted_beyond_16_bits(spark):
     assert len(got) == len(rows) and all(r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9) for r in got)
 
 
+def test_a_lost_array_is_not_an_empty_one(spark):
+    rows = spark.createDataFrame([(k, "a b c d") for k in range(20)], "doc_id long, text string")
+    model = kn_lm.train(rows)
+    kn_lm.log_probabilities(model, pa.array(["a b", "unseen words"]))
+    kn_lm._open.clear()
+    for path in glob.glob(model.folder.removeprefix("file://") + "/pairs/*"):
+        os.remove(path)
+    with pytest.raises(FileNotFoundError):
+        kn_lm.log_probabilities(model, pa.array(["a b"]))
+
+
 def test_language_id(spark, docs, corpus, no_docs):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert len(got) == len(corpus)
