@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm import risk_rules
+from noteloom.llm.divergence import audit
 from noteloom.llm.extendible import shard_documents
 from noteloom.llm.jaccard_join import near_duplicates
 from noteloom.llm.kn_lm import score_corpus
@@ -71,6 +72,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0, capacity=2048)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_store": op2_token_store,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 
@@ -149,4 +155,39 @@ WHERE shard_bytes <= {SHARD_LIMIT} OR depth = 60
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
-ORACLES: dict[str, str] = {"op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
+def divergence_sql() -> str:
+    """Every kept term by every source of its language, in plain sums."""
+
+    def p(n: str, total: str) -> str:
+        return f"1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + kept)"
+
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), found AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), terms AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM found GROUP BY lang, term HAVING count(DISTINCT k) >= 3
+), sources AS (SELECT DISTINCT lang, source FROM docs),
+languages AS (SELECT lang, count(*)::HUGEINT AS kept, sum(n)::HUGEINT AS lang_total FROM terms GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c FROM found SEMI JOIN terms USING (lang, term) GROUP BY lang, source, term
+), totals AS (SELECT lang, source, sum(c)::HUGEINT AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, {p("coalesce(c, 0)", "coalesce(total, 0)")} AS p, {p("n", "lang_total")} AS q
+  FROM sources JOIN terms USING (lang) JOIN languages USING (lang) LEFT JOIN totals USING (lang, source) LEFT JOIN counts USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200"""
+
+
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence_sql(), "op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
