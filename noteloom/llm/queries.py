@@ -15,6 +15,7 @@ from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
 from noteloom.llm.piece_sampling import sample_digests
 from noteloom.llm.quality_gam import classify
+from noteloom.llm.spelling import spelling_variants
 from noteloom.llm.token_store import read_store, write_store
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +77,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_store": op2_token_store,
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 
@@ -190,4 +196,44 @@ SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lan
 FROM parts QUALIFY part = 'pair' OR rank <= 200"""
 
 
-ORACLES: dict[str, str] = {"op11_source_divergence": divergence_sql(), "op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
+def spelling_sql() -> str:
+    """The checksum bit by bit; near words by joins on wildcard strings and deletions; roots by recursion."""
+    return r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS code FROM runs GROUP BY doc_id, run
+), bytes AS (
+  SELECT run, times, list_transform(range(1, len(code), 2), lambda i: CAST('0x' || substring(code, CAST(i AS INTEGER), 2) AS BIGINT)) AS bytes FROM counted
+), bits AS (
+  SELECT run, times, flatten(list_transform(bytes, lambda v: [v & 1, (v >> 1) & 1, (v >> 2) & 1, (v >> 3) & 1, (v >> 4) & 1, (v >> 5) & 1, (v >> 6) & 1, (v >> 7) & 1])) AS bits FROM bytes
+), hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bits), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS h FROM bits
+), kept AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), places AS (
+  SELECT word, n, CAST(unnest(range(0, length(word))) AS INTEGER) AS i FROM words
+), wild AS (
+  SELECT word, n, i, substring(word, 1, i) AS a, substring(word, i + 2) AS b FROM places
+), cut AS (
+  SELECT DISTINCT word, n, a || b AS less FROM wild
+), near AS (
+  SELECT x.word, y.word AS other, y.n FROM wild x JOIN wild y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.less = words.word
+  UNION ALL SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.less = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * words.n THEN top END AS form_n,
+    CASE WHEN top >= 10 * words.n THEN (SELECT min(other) FROM near WHERE near.word = words.word AND near.n = best.top) END AS form
+  FROM words LEFT JOIN best USING (word)
+), chains AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT chains.word, formed.word, formed.form FROM chains JOIN formed ON chains.next = formed.word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chains WHERE next IS NULL) USING (word)"""
+
+
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence_sql(), "op12_spelling_variants": spelling_sql(), "op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
