@@ -15,6 +15,7 @@ from noteloom.llm.media import media_documents
 from noteloom.llm.packing import pack_documents
 from noteloom.llm.piece_sampling import sample_digests
 from noteloom.llm.quality_gam import classify
+from noteloom.llm.repeats import remove_repeats
 from noteloom.llm.spelling import spelling_variants
 from noteloom.llm.token_store import read_store, write_store
 
@@ -81,6 +82,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_store": op2_token_store,
@@ -94,6 +99,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_source_divergence": op11_source_divergence,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_repeats": op13_suffix_repeats,
 }
 
 
