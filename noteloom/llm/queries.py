@@ -242,4 +242,28 @@ WITH RECURSIVE runs AS (
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chains WHERE next IS NULL) USING (word)"""
 
 
-ORACLES: dict[str, str] = {"op11_source_divergence": divergence_sql(), "op12_spelling_variants": spelling_sql(), "op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
+def repeats_sql() -> str:
+    """Every window of 400 bytes by itself, in hexadecimal."""
+    return """
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT k, i, md5(substring(x, CAST(2 * i + 1 AS INTEGER), 800)) AS h FROM (SELECT k, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM docs)
+), repeated AS (
+  SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1
+), marked AS (
+  SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + 400, true) AS first FROM repeated
+), spans AS (
+  SELECT k, min(i) AS s, max(i) + 400 AS e FROM (SELECT k, i, count_if(first) OVER (PARTITION BY k ORDER BY i) AS span FROM marked) GROUP BY k, span
+), gaps AS (
+  SELECT k, s, e, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS kept_from FROM spans
+), found AS (
+  SELECT k, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substring(x, CAST(2 * kept_from + 1 AS INTEGER), CAST(2 * (s - kept_from) AS INTEGER)), '' ORDER BY s) AS head, max(e) AS tail
+  FROM gaps JOIN docs USING (k) GROUP BY k
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(x, CAST(2 * coalesce(tail, 0) + 1 AS INTEGER)))) AS kept_sha256
+FROM docs LEFT JOIN found USING (k)"""
+
+
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence_sql(), "op12_spelling_variants": spelling_sql(), "op13_suffix_repeats": repeats_sql(), "op5_extendible_sharding": sharding_sql(), "op6_risk_controlled_rules": rules_sql()}
