@@ -1,22 +1,20 @@
-"""Vector search: one query or many against all rows, all pairs over a threshold, in blocks."""
+"""Vector search: one query or many against all rows; signatures; embeddings."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
 from noteloom.functions.vectors import cosine, hamming
+from noteloom.operators.clusters import neighbours, similar_pairs, unit  # noqa: F401  part of this module's operators
 from noteloom.operators.common import small, top_per
 
-BLOCK = 4096
-
-
 def search(notes: DataFrame, queries: DataFrame, top: int = 30) -> DataFrame:
     """cos * (1 + half if the folded title holds the folded query), positive scores only; queries
     below two characters find nothing. Without a query vector the title counts 1, the body half."""
@@ -29,78 +27,6 @@ def search(notes: DataFrame, queries: DataFrame, top: int = 30) -> DataFrame:
     return top_per(hits, ["query_id"], [F.desc("score"), F.asc("path")], top)
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, dims)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.where(n > 0, x / np.where(n > 0, n, 1), 0.0)
-
-
-def _blocked(vectors: DataFrame, key: str, vec: str, block: int) -> tuple[DataFrame, int]:
-    """Vectors dealt to blocks by hash, in pairs of blocks: (left, right, side, key, vec)."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = vectors.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("b", j).alias("lo"), F.greatest("b", j).alias("hi")))
-    return own.select("id", "v", "b", F.explode(pairs).alias("p")).select("id", "v", "b", "p.lo", "p.hi"), blocks
-
-
-def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b at the threshold or above (inclusive), exact.
-
-    Each pair of blocks is one group; its similarities are one matrix product, and only pairs over
-    the threshold leave it.
-    """
-    kind = dict(vectors.select(key).dtypes)[key]
-    parts, _ = _blocked(vectors, key, vec, block)
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        same = group["lo"].iloc[0] == group["hi"].iloc[0]
-        left = group if same else group[group["b"] == group["lo"].iloc[0]]
-        right = group if same else group[group["b"] == group["hi"].iloc[0]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        c = _unit(np.stack(left["v"].to_numpy())) @ _unit(np.stack(right["v"].to_numpy())).T
-        i, j = np.nonzero(c >= threshold - 1e-12)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if same else np.ones(len(a), bool)
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        return pd.DataFrame({"a": lo[keep], "b": hi[keep], "cosine": np.round(c[i, j], 6)[keep]})
-
-    return parts.groupBy("lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
-
-
-def neighbours(vectors: DataFrame, key: str, vec: str, k: int = 12, block: int = BLOCK) -> DataFrame:
-    """(path, neighbour, score, rank): the k most similar others of every row, no threshold.
-
-    Every pair of blocks hands on k candidates a row at most; one window merges them.
-    """
-    kind = dict(vectors.select(key).dtypes)[key]
-    parts, _ = _blocked(vectors, key, vec, block)
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        same = group["lo"].iloc[0] == group["hi"].iloc[0]
-        left = group if same else group[group["b"] == group["lo"].iloc[0]]
-        right = group if same else group[group["b"] == group["hi"].iloc[0]]
-        out = []
-        for x, y in ((left, right),) if same else ((left, right), (right, left)):
-            if x.empty or y.empty:
-                continue
-            c = np.round(_unit(np.stack(x["v"].to_numpy())) @ _unit(np.stack(y["v"].to_numpy())).T, 6)
-            ids = y["id"].to_numpy()
-            for row, own in enumerate(x["id"].to_numpy()):
-                order = np.lexsort((ids, -c[row]))[: k + 1]
-                order = order[ids[order] != own][:k]
-                out.append(pd.DataFrame({"path": own, "neighbour": ids[order], "score": c[row][order]}))
-        return pd.concat(out) if out else pd.DataFrame({"path": [], "neighbour": [], "score": []})
-
-    found = parts.groupBy("lo", "hi").applyInPandas(compare, f"path {kind}, neighbour {kind}, score double")
-    return top_per(found, ["path"], [F.desc("score"), F.asc("neighbour")], k)
-
-
 def multi_vector(rows: DataFrame, query: DataFrame) -> DataFrame:
     """Best of title, body and summary cosine per row and which it was; the first maximum wins,
     (0, null) without any vector."""
@@ -121,11 +47,49 @@ def similar_images(images: DataFrame, probe: DataFrame, k: int = 10) -> DataFram
     return top_per(hits, ["probe"], [F.desc("score"), F.asc("rel")], k)
 
 
+#: A signature's bands of 16 bits.
+BANDS = 8
+
+
+def band_reach(radius: int) -> list[int]:
+    """How many bits of each band to vary: if every band differed in more, the sum would exceed the radius."""
+    return [(radius + 1 + k) // BANDS - 1 for k in range(BANDS)]
+
+
+def _band(sh: Column, k: int) -> Column:
+    return F.conv(F.substring(sh, 4 * k + 1, 4), 16, 10).cast("int")
+
+
+def near_signatures(rows: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
+    """(q_sh, sh, distance) of all pairs of distinct signatures (q_sh of ``asked``, sh of ``rows``) within the radius,
+    found where a band is equal up to the few bits that it may vary in."""
+    varied = lambda bits: [sum(1 << b for b in some) for n in range(bits + 1) for some in itertools.combinations(range(16), n)]
+    bands = [(k, reach) for k, reach in enumerate(band_reach(radius)) if reach >= 0]
+    probes = F.concat(*(F.transform(F.array(*map(F.lit, varied(reach))), lambda m, k=k: F.struct(F.lit(k).alias("band"), _band(F.col("q_sh"), k).bitwiseXOR(m).alias("value"))) for k, reach in bands))
+    held = F.array(*(F.struct(F.lit(k).alias("band"), _band(F.col("sh"), k).alias("value")) for k, _ in bands))
+    sent = asked.select("q_sh", F.inline(probes))
+    there = rows.select("sh", F.inline(held))
+    return there.join(sent, ["band", "value"]).select("q_sh", "sh").where(hamming(F.col("sh"), F.col("q_sh")) <= radius).distinct().withColumn("distance", hamming(F.col("sh"), F.col("q_sh")))
+
+
 def signature_search(rows: DataFrame, queries: DataFrame, radius: int = 20, top: int = 30, keep_unsigned: bool = False) -> DataFrame:
-    """Rows within a Hamming radius of a query's signature, nearest first."""
-    asked = small(queries.select("query_id", F.col("sh").alias("q_sh")))
-    near = hamming(F.col("sh"), F.col("q_sh"))
-    hits = rows.crossJoin(asked).select("query_id", "path", near.alias("distance")).where((F.col("distance") <= radius) | (F.col("distance").isNull() & F.lit(keep_unsigned)))
+    """(query_id, path, distance, rank): rows within a Hamming radius of a query's signature, nearest first.
+
+    Rows of one signature are equally far, so its first ``top`` paths are all that can rank. Without a
+    signature on either side the distance is null; such rows come last, if ``keep_unsigned``.
+    """
+    if radius >= 4 * BANDS:
+        raise ValueError("bands of 16 bits serve radii below 32")
+    first = top_per(rows.select("sh", "path"), ["sh"], [F.asc("path")], top).drop("rank")
+    signed = first.where("sh is not null")
+    pairs = near_signatures(signed.select("sh").distinct(), queries.where("sh is not null").select(F.col("sh").alias("q_sh")).distinct(), radius)
+    hits = queries.select("query_id", F.col("sh").alias("q_sh")).join(pairs, "q_sh").join(signed, "sh").select("query_id", "path", "distance")
+    if keep_unsigned:
+        ids, none = queries.select("query_id", "sh"), F.lit(None).cast("int").alias("distance")
+        bare = first.where("sh is null").select("path")
+        lead = rows.select("path").orderBy("path").limit(top)
+        # At most ``top`` rows on one side.
+        hits = hits.unionByName(ids.where("sh is not null").crossJoin(F.broadcast(bare)).select("query_id", "path", none)).unionByName(ids.where("sh is null").crossJoin(F.broadcast(lead)).select("query_id", "path", none))
     return top_per(hits, ["query_id"], [F.asc_nulls_last("distance"), F.asc("path")], top)
 
 
@@ -145,7 +109,7 @@ def embed(notes: DataFrame, dims: int = 64, most: int = 4000) -> DataFrame:
             out = np.zeros((batch.num_rows, dims), np.float32)
             for i, slots in enumerate(batch.column(1).to_pylist()):
                 np.add.at(out[i], [s % dims for s in slots or []], 1.0)
-            out = _unit(out).astype(np.float32)
+            out = unit(out).astype(np.float32)
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["path", "vec"])
 

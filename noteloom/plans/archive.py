@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import hashing, misc
 from noteloom.functions import text as T
-from noteloom.operators import enrich, graph, lexical, profile, upkeep, vector, views
+from noteloom.operators import blockindex, enrich, graph, lexical, profile, upkeep, vector, views
 from noteloom.operators.common import scratch
 from noteloom.plans import tables as D
 from noteloom.sources import store, vault
 from noteloom.streaming import events as S
+from noteloom.streaming.leases import STATE_STORE, lease_stream
+from noteloom.streaming.watcher import watched
 
 
 def _s(column: str) -> Column:
@@ -245,7 +247,29 @@ def bm25_lane(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical_index_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lexical.search_index(*lexical.lexical_index(D.notes(spark, sf)), D.queries(spark))
+    """The index is written to a folder and searched from there, without the texts."""
+    index = blockindex.build(D.notes(spark, sf), scratch(spark, "lexical-index"))
+    rows, _ = blockindex.search(spark, index, D.queries(spark))
+    return rows.select("query_id", "path", "score", "rank", F.array_join("matched", ",").alias("matched"))
+
+
+def lexical_index_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of note events keeps a stored index up: all notes are created, then every tenth changes to
+    its title and every seventh goes, then some of those come back; the second batch comes once more."""
+    n, source = D.notes(spark, sf), scratch(spark, "note-events")
+    title, gone = F.col("title"), F.lit(None).cast("string")
+    turns = [
+        n.select(F.lit(1).alias("ts"), "path", F.lit("create").alias("kind"), "body"),
+        n.where("doc_id % 10 = 0 or doc_id % 7 = 0").select(F.lit(2).alias("ts"), "path", F.when(F.col("doc_id") % 10 == 0, "modify").otherwise("delete").alias("kind"), F.when(F.col("doc_id") % 10 == 0, title).otherwise(gone).alias("body")),
+        n.where("doc_id % 21 = 0").select(F.lit(3).alias("ts"), "path", F.lit("create").alias("kind"), "body"),
+    ]
+    for rows in turns:  # one file each, read one after another
+        rows.coalesce(1).write.mode("append").parquet(source)
+    index = blockindex.Index(scratch(spark, "lexical-index"), max(1, -(-n.count() // blockindex.SEGMENT_NOTES)))
+    events = spark.readStream.schema("ts int, path string, kind string, body string").option("maxFilesPerTrigger", 1).parquet(source)
+    blockindex.follow(events, index, scratch(spark, "note-events-state")).awaitTermination()
+    blockindex.apply_batch(index, turns[1].select("path", "kind", "body"), 1)
+    rows, _ = blockindex.search(spark, index, D.queries(spark))
     return rows.select("query_id", "path", "score", "rank", F.array_join("matched", ",").alias("matched"))
 
 
@@ -339,6 +363,45 @@ def threshold_triggers(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(fired.schema).parquet(sink)
 
 
+def _fed(spark: SparkSession, turns: list[DataFrame]) -> DataFrame:
+    """A stream that reads tables one after another, a batch each."""
+    source = scratch(spark, "stream-in")
+    for rows in turns:
+        rows.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(turns[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows of a stream, run to its end with the state store that timers need."""
+    sink, name = scratch(spark, "stream-out"), STATE_STORE[0]
+    before = spark.conf.get(name)
+    spark.conf.set(*STATE_STORE)
+    try:
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+def _thirds(e: DataFrame) -> list[DataFrame]:
+    """Events in three parts by day."""
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.dayofmonth("ts")
+    return [e.where(day <= 10), e.where((day > 10) & (day <= 20)), e.where(day > 20)]
+
+
+def lease_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims and releases of notes as a stream; leases of six hours end by a timer."""
+    turns = [t.select(F.concat(F.lit("n"), _s("user_id")).alias("note_path"), F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("device_id"), F.when(F.col("event_type") == "error", "release").otherwise("claim").alias("action"), "ts") for t in _thirds(D.read(spark, sf, "events"))]
+    return _drained(spark, lease_stream(_fed(spark, turns), 6 * 3_600_000, "1 hour"))
+
+
+def watcher_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """System events (all but errors) and the app's (errors) of thirty roots, three tracked paths each, as a stream."""
+    turns = [t.select(F.concat(F.lit("r"), (F.col("user_id") % 30).cast("string")).alias("root"), F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("path"), "ts", (F.col("event_type") == "error").alias("own")) for t in _thirds(D.read(spark, sf, "events"))]
+    return _drained(spark, watched(_fed(spark, turns), 5 * 3_600_000, 4 * 3_600_000, 3, "1 hour"))
+
+
 def last_runs(spark: SparkSession, sf: str) -> DataFrame:
     log = D.read(spark, sf, "events").select(F.col("event_type").alias("key"), (F.col("event_id") * 1000).alias("at_ms"), (F.col("user_id") % 500).cast("long").alias("took_ms"), F.when(F.col("user_id") % 4 == 0, F.lit("failed")).alias("error"))
     return S.last_runs(log, 100_000_000)
@@ -423,7 +486,7 @@ def training_lines(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     header_fields, listed_values, note_markup, note_ids, cue_layouts, concept_candidates, language_guesses, byte_figures, versions, rolling_hashes,
     vault_files, vault_notes, vault_content, valid_results, modal_readings, file_metadata, stored_lines, manifest_merge, keyword_store, capture_log, example_packs, queue_folder, vector_index,
-    view_rows, view_headers, view_stats, type_histogram, domain_list, bm25_lane, lexical_index_search, passport_concepts, keyword_average, neighbours_of_type, block_changes, label_edges, community_changes,
+    view_rows, view_headers, view_stats, type_histogram, domain_list, bm25_lane, lexical_index_search, lexical_index_stream, lease_expiry, watcher_outcomes, passport_concepts, keyword_average, neighbours_of_type, block_changes, label_edges, community_changes,
     done_tasks, lease_stats, sweep_stats, renamed_events, threshold_triggers, last_runs, missed_paths,
     embedded_notes, embedded_parts, expanded_queries, classified_notes, prompted_notes, parsed_answers, sentiments, annotated_notes, transcripts, routed_profiles, rendered_prompts, training_lines,
 )}

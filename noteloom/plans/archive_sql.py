@@ -32,7 +32,28 @@ _STAT_NAMES = ("n", "with_concepts", "with_summary", "fleeting", "literature", "
 _VERSION = "'v' || CAST(doc_id % 3 AS VARCHAR) || '.'"
 _GUESS = ", ".join(f"{{'n': len(list_filter(ws, lambda w: list_contains({list(words)}, w))), 'lang': '{lang}'}}" for lang, words in T.LANGUAGE_WORDS.items())
 
+_INDEX_SEARCH = f"""{D.QUERIES_SQL}, t AS (SELECT path, unnest({TOKENS_SQL.format('body')}) AS t, unnest(range(0, len({TOKENS_SQL.format('body')}))) AS pos FROM notes),
+      st AS (SELECT path, pos, {_out} AS token FROM (SELECT path, pos, {_base} AS b FROM t)), tf AS (SELECT path, token, count(*) AS tf, min(pos) AS pos FROM st GROUP BY path, token),
+      dl AS (SELECT path, sum(tf) AS dl FROM tf GROUP BY path), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT token, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf, stats GROUP BY token, n),
+      cut AS (SELECT * FROM tf QUALIFY row_number() OVER (PARTITION BY path ORDER BY tf DESC, pos) <= 200),
+      terms AS (SELECT DISTINCT query_id, {_out} AS token FROM (SELECT query_id, {_base} AS b FROM (SELECT query_id, unnest({TOKENS_SQL.format('query')}) AS t FROM queries))),
+      s AS (SELECT query_id, path, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, list_sort(list_distinct(list(token))) AS matched FROM terms JOIN cut USING (token) JOIN df USING (token) JOIN dl USING (path), stats GROUP BY query_id, path)
+      SELECT query_id, path, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, array_to_string(matched, ',') AS matched FROM s WHERE score > 0 QUALIFY rank <= 30"""
+_KEPT_UP = "notes AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CASE WHEN doc_id % 10 = 0 AND doc_id % 21 <> 0 THEN lang || ' ' || CAST(doc_id AS VARCHAR) ELSE text END AS body FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 <> 0 OR doc_id % 21 = 0)"
+
 ORACLES = {
+    "lease_expiry": """WITH RECURSIVE req AS (
+        SELECT 'n' || CAST(user_id AS VARCHAR) AS note_path, 'd' || CAST(event_id % 3 AS VARCHAR) AS device, event_type = 'error' AS rel, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id % 3) AS k FROM events
+      ), run AS (
+        SELECT DISTINCT note_path, CAST(0 AS BIGINT) AS k, NULL::VARCHAR AS device, CAST(0 AS BIGINT) AS ms, NULL::VARCHAR AS outcome, NULL::VARCHAR AS holder, CAST(0 AS BIGINT) AS until, NULL::VARCHAR AS over, CAST(0 AS BIGINT) AS over_at FROM req
+        UNION ALL
+        SELECT note_path, k, device, ms, outcome, CASE outcome WHEN 'released' THEN NULL WHEN 'granted' THEN device ELSE live END, CASE WHEN outcome IN ('granted', 'renewed') THEN ms + 21600000 ELSE until END, CASE WHEN live IS NULL THEN holder END, until
+        FROM (SELECT *, CASE WHEN rel THEN CASE WHEN live = device THEN 'released' WHEN live IS NULL THEN 'no lease' ELSE 'not owner' END WHEN live IS NULL THEN 'granted' WHEN live = device THEN 'renewed' ELSE 'refused' END AS outcome
+          FROM (SELECT q.note_path, q.k, q.device, q.ms, q.rel, r.holder, r.until, CASE WHEN r.until > q.ms THEN r.holder END AS live FROM run r JOIN req q ON q.note_path = r.note_path AND q.k = r.k + 1))
+      )
+      SELECT note_path, device AS device_id, ms AS at_ms, outcome, holder FROM run WHERE k > 0
+      UNION ALL SELECT note_path, over, over_at, 'expired', NULL FROM run WHERE over IS NOT NULL
+      UNION ALL SELECT note_path, holder, until, 'expired', NULL FROM (SELECT *, max(k) OVER (PARTITION BY note_path) AS last FROM run) WHERE k = last AND holder IS NOT NULL AND until < (SELECT max(ms) FROM req) - 3600000""",
     "header_fields": f"{_HEADED} SELECT path, lang || ',' || source AS tags, 'T ' || doc_id AS title, 'A' || doc_id || ',' || lang AS aliases, 'true' AS pinned, CAST(length(regexp_replace(body, '^\\s+', '')) AS INTEGER) AS chars, md5(regexp_replace(body, '^\\s+', '')) AS digest FROM headed",
     "listed_values": f"{_N} SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'a|b|c|' || title ELSE title END AS items FROM notes",
     "note_markup": rf"{_HEADED} SELECT path, array_to_string(list_transform(regexp_extract_all(body, '#[0-9A-Za-z_À-ſ\-]+'), lambda t: t[2:]), ',') AS tags, array_to_string(list_transform(regexp_extract_all(body, '\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]', 1), lambda t: trim(t)), ',') AS links FROM headed",
@@ -65,13 +86,8 @@ ORACLES = {
     "type_histogram": f"{_CARDS} SELECT coalesce(note_type, 'none') AS note_type, count(*) AS n FROM cards GROUP BY 1",
     "domain_list": "SELECT DISTINCT source AS domain FROM documents",
     "bm25_lane": f"WITH {D.NOTES_SQL.replace('notes AS', 'allnotes AS')}, {D.QUERIES_SQL}, notes AS (SELECT path, substring(body, 1, 30000) AS body FROM allnotes ORDER BY path LIMIT 2000), {bm25_sql('r')} SELECT query_id, path, score, rank FROM r",
-    "lexical_index_search": f"""{_N}, {D.QUERIES_SQL}, t AS (SELECT path, unnest({TOKENS_SQL.format('body')}) AS t, unnest(range(0, len({TOKENS_SQL.format('body')}))) AS pos FROM notes),
-      st AS (SELECT path, pos, {_out} AS token FROM (SELECT path, pos, {_base} AS b FROM t)), tf AS (SELECT path, token, count(*) AS tf, min(pos) AS pos FROM st GROUP BY path, token),
-      dl AS (SELECT path, sum(tf) AS dl FROM tf GROUP BY path), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT token, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf, stats GROUP BY token, n),
-      cut AS (SELECT * FROM tf QUALIFY row_number() OVER (PARTITION BY path ORDER BY tf DESC, pos) <= 200),
-      terms AS (SELECT DISTINCT query_id, {_out} AS token FROM (SELECT query_id, {_base} AS b FROM (SELECT query_id, unnest({TOKENS_SQL.format('query')}) AS t FROM queries))),
-      s AS (SELECT query_id, path, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, list_sort(list_distinct(list(token))) AS matched FROM terms JOIN cut USING (token) JOIN df USING (token) JOIN dl USING (path), stats GROUP BY query_id, path)
-      SELECT query_id, path, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, array_to_string(matched, ',') AS matched FROM s WHERE score > 0 QUALIFY rank <= 30""",
+    "lexical_index_search": f"{_N}, {_INDEX_SEARCH}",
+    "lexical_index_stream": f"WITH {_KEPT_UP}, {_INDEX_SEARCH}",
     "passport_concepts": f"{_PASS} SELECT path FROM passports WHERE len(list_intersect(list_transform(concepts, lambda c: lower(c)), {[c.lower() for c in CONCEPTS]})) > 0",
     "keyword_average": f"""{_PASS}, k AS (SELECT list_append(concepts, domain) AS bag FROM passports), l AS (SELECT bag, list_transform(bag, lambda x: lower(x)) AS low FROM k)
       SELECT count(*) AS items, round(avg(least(25, len(list_filter(bag, lambda x, i: list_position(low, lower(x)) = i AND length(x) >= 2)))), 1) AS average FROM l""",

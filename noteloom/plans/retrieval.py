@@ -9,7 +9,7 @@ from noteloom.functions import text as T
 from noteloom.functions.text import ACCENTED, PLAIN, PLURALS, STOP_WORDS, SUFFIXES
 from noteloom.functions.vectors import MIX, signature
 from noteloom.operators import fusion, graph, lexical, profile, vector
-from noteloom.operators.common import top_per
+from noteloom.operators.common import materialised, top_per
 from noteloom.plans import tables as D
 
 TOKENS_SQL = "regexp_extract_all(lower({0}), '[0-9a-zà-ÿ_\\-]{{2,}}')"
@@ -162,6 +162,12 @@ def hamming_filter(spark: SparkSession, sf: str) -> DataFrame:
     return vector.signature_search(rows, q, 20, 50)
 
 
+def signature_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth embedding's mixed signature against all, within 31 bits."""
+    rows = materialised(simhash_mixed(spark, sf), "signatures")
+    return vector.signature_search(rows, rows.where("path % 10 = 0").select(F.col("path").alias("query_id"), "sh"), 31, 50)
+
+
 def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.read(spark, sf, "embeddings").select(F.col("label").alias("path"), F.col("embedding").alias("vec"))
     return vector.mean_pooled(rows).select("path", F.size("vec").cast("long").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
@@ -271,9 +277,11 @@ _MIXED = "((b * 512 + d + 1) * 1103515245)"
 for _shift, _factor in MIX:
     _MIXED = f"(xor(({_MIXED} & 2147483647), (({_MIXED} & 2147483647) >> {_shift})) * {_factor})"
 
+_SIGNED = f"b AS (SELECT path, list_transform(range(0, 128), lambda b: list_sum(list_transform(range(0, len(vec)), lambda d: vec[d + 1] * CASE WHEN ({_MIXED} >> 16) & 1 = 1 THEN 1 ELSE -1 END)) > 0) AS bits FROM vectors), mixed AS (SELECT path, " + " || ".join(f"lpad(lower(to_hex(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN bits[{32 * k} + i + 1] THEN (1::BIGINT << i) ELSE 0 END))::BIGINT)), 8, '0')" for k in range(4)) + " AS sh FROM b)"
+
 QUERIES = {f.__name__: f for f in (
     tokenize_stats, term_df, idf_table, stored_postings, postings_upsert, bm25_topk, bm25_no_dedup, bm25_plain_words, lexical_search, path_match, cosine_neighbors, cosine_search_boost,
-    title_body_search, multi_vector_max, image_similar_strict, simhash_compat, simhash_mixed, hamming_filter, mean_pool, rrf_fuse, mmr_diversify, hybrid_query, sister_notes,
+    title_body_search, multi_vector_max, image_similar_strict, simhash_compat, simhash_mixed, hamming_filter, signature_radius, mean_pool, rrf_fuse, mmr_diversify, hybrid_query, sister_notes,
     passport_local_find, passport_daemon_find, savings_ratio, stems,
 )}
 
@@ -322,7 +330,8 @@ ORACLES = {
         UNION ALL SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY r), 8 FROM f25 WHERE path <> query_id UNION ALL SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst), 4 FROM cpairs),
       f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask FROM lanes WHERE rank <= 24 GROUP BY query_id, path)
       SELECT * FROM (SELECT *, {_TOP.format('query_id', 'score DESC, path')} FROM f) WHERE rank <= 12""",
-    "simhash_mixed": f"WITH {D.VECTORS_SQL}, b AS (SELECT path, list_transform(range(0, 128), lambda b: list_sum(list_transform(range(0, len(vec)), lambda d: vec[d + 1] * CASE WHEN ({_MIXED} >> 16) & 1 = 1 THEN 1 ELSE -1 END)) > 0) AS bits FROM vectors) SELECT path, " + " || ".join(f"lpad(lower(to_hex(list_sum(list_transform(range(0, 32), lambda i: CASE WHEN bits[{32 * k} + i + 1] THEN (1::BIGINT << i) ELSE 0 END))::BIGINT)), 8, '0')" for k in range(4)) + " AS sh FROM b",
+    "simhash_mixed": f"WITH {D.VECTORS_SQL}, {_SIGNED} SELECT path, sh FROM mixed",
+    "signature_radius": f"WITH {D.VECTORS_SQL}, {_SIGNED}, w AS (SELECT path, list_transform(range(0, 4), lambda k: CAST('0x' || substring(sh, CAST(8 * k + 1 AS INTEGER), 8) AS BIGINT)) AS w FROM mixed), s AS (SELECT q.path AS query_id, w.path, CAST(list_sum(list_transform(range(1, 5), lambda k: bit_count(xor(q.w[k], w.w[k])))) AS INTEGER) AS distance FROM w, w q WHERE q.path % 10 = 0) SELECT * FROM (SELECT *, {_TOP.format('query_id', 'distance, path')} FROM s WHERE distance <= 31) WHERE rank <= 50",
     "mmr_diversify": f"""WITH RECURSIVE {_EVENT_LANES},
       f AS (SELECT query_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(bit_or(mask) AS INTEGER) AS source_mask FROM lanes WHERE rank <= 40 GROUP BY query_id, path),
       best AS (SELECT query_id, max(score) AS top FROM f GROUP BY query_id),

@@ -96,9 +96,9 @@ def test_pairs_and_neighbours_across_blocks(spark):
     unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows}
     cos = {(a, b): round(sum(x * y for x, y in zip(unit[a], unit[b])), 6) for a, b in itertools.permutations(unit, 2)}
     want = {(a, b) for (a, b), c in cos.items() if a < b and c >= 0.4}
-    got = vector.similar_pairs(df, "path", "vec", 0.4, block=16).collect()
+    got = vector.similar_pairs(df, "path", "vec", 0.4).collect()
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
-    near = vector.neighbours(df, "path", "vec", 3, block=16).collect()
+    near = vector.neighbours(df, "path", "vec", 3).collect()
     for i in unit:
         best = sorted(((-cos[i, j], j) for j in unit if j != i))[:3]
         assert [r["neighbour"] for r in sorted((r for r in near if r["path"] == i), key=lambda r: r["rank"])] == [j for _, j in best]
