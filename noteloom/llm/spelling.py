@@ -39,7 +39,7 @@ from noteloom.llm.textscan import LOWER
 from noteloom.llm.wordruns import encoded, runs, tally
 
 LEAST_LENGTH, LEAST_COUNT, RATIO, LOSE_EVERY = 7, 2, 10, 31
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 5 << 20
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 LATIN = LOWER.copy()
@@ -69,7 +69,7 @@ def run_crcs(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.nd
 
 
 def slice_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of each slice of about 16 MB of text."""
+    """(word, n) of each slice of about 5 MB of text."""
     for batch in slices(batches, 20_000, FLUSH_BYTES):
         data, offsets = text_buffers(batch.column(1))
         data = LOWER[data]
@@ -234,7 +234,7 @@ def spelling_variants(documents: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word."""
     words = vocabulary(documents)
     # A word has some twelve records; about 20 bytes each travel.
-    near = written(words.join(near_words(words, parts_for(words, 1 << 20)), "id", "left"), "spelling-near")
+    near = written(words.join(near_words(words, parts_for(words, 256 << 10)), "id", "left"), "spelling-near")
     has_form = F.coalesce(F.col("best.best_n") >= RATIO * F.col("n"), F.lit(False))
     forms = near.where(has_form).select("id", (-F.col("best.minus_id")).alias("form"))
     most, hops = near.agg(F.max("n")).first()[0] or 0, 0
