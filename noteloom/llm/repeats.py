@@ -477,8 +477,8 @@ def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def open_windows(offsets: np.ndarray, at: np.ndarray, text: np.ndarray, marks: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the windows that have to be compared by their bytes."""
+def open_windows(offsets: np.ndarray, at: np.ndarray, text: np.ndarray, marks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the windows that have to be compared by their bytes, whether they aren't known to repeat)."""
     begin, end = offsets[:-1], offsets[1:]
     reach = length - GRAM
     far = np.int64(1) << 60
@@ -498,34 +498,36 @@ def open_windows(offsets: np.ndarray, at: np.ndarray, text: np.ndarray, marks: n
     nxt[before_last] = far
     top = np.minimum(first, end[turn] - length)
     few = np.minimum(top, nxt - reach - 1)
-    starts = [_expanded(low, few)[1]]
+    starts = _expanded(low, few)[1]
     marks = marks[marks["bound"] >= 0]
     turn_of = np.empty(len(order), np.int64)
     turn_of[order] = np.arange(len(order))
     k, bound = turn_of[np.searchsorted(at, begin[marks["row"]] + marks["at"])], marks["bound"]
     stop = np.searchsorted(at, first[k] + bound, "right")
     beyond = np.where((stop < len(at)) & (np.append(text, -1)[stop] == turn[k]), np.append(at, far)[stop], far)
-    starts.append(_expanded(np.maximum(low[k], few[k] + 1), np.minimum(top[k], beyond - reach - 1))[1])
-    return np.concatenate(starts)
+    which, more = _expanded(np.maximum(low[k], few[k] + 1), np.minimum(top[k], beyond - reach - 1))
+    starts = np.append(starts, more)
+    order = np.argsort(starts, kind="stable")
+    return starts[order], np.append(np.ones(len(starts) - len(more), bool), marks["sure"][which] == 0)[order]
 
 
 def repeated_windows(texts: DataFrame, folder: str, files: set[int], length: int, parts: int) -> DataFrame:
-    """(row, at) of the compared windows whose hash occurs again."""
+    """(row, at) of the compared windows whose hash occurs again, without those known to repeat."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 10_000, SLICE):
             rows = batch.column(0).to_numpy()
             data, offsets = text_buffers(batch.column(1))
             at, text = anchors(data, offsets)
-            start = open_windows(offsets, at, text, _looked_up(rows, folder, files, MARK), length)
+            start, unknown = open_windows(offsets, at, text, _looked_up(rows, folder, files, MARK), length)
             if len(start):
-                start.sort()
                 text = np.searchsorted(offsets, start, "right") - 1
-                yield _packed(parts, *Sums(data).of(start, start + length), rows[text], start - offsets[text], np.zeros(len(start)))
+                yield _packed(parts, *Sums(data).of(start, start + length), rows[text], start - offsets[text], unknown)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (high, low, row, at, _) in _unpacked(batches):
+        for _, (high, low, row, at, unknown) in _unpacked(batches):
             order, _ = _more_than_once(high, low)
+            order = order[unknown[order] == 1]
             for i in range(0, len(order), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(row[order[i : i + 100_000]]), pa.array(at[order[i : i + 100_000]].astype(np.int32))], ["row", "at"])
 
