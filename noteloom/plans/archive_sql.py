@@ -42,6 +42,28 @@ _INDEX_SEARCH = f"""{D.QUERIES_SQL}, t AS (SELECT path, unnest({TOKENS_SQL.forma
 _KEPT_UP = "notes AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CASE WHEN doc_id % 10 = 0 AND doc_id % 21 <> 0 THEN lang || ' ' || CAST(doc_id AS VARCHAR) ELSE text END AS body FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 <> 0 OR doc_id % 21 = 0)"
 
 ORACLES = {
+    "watcher_outcomes": """WITH RECURSIVE ev AS (
+        SELECT *, row_number() OVER (PARTITION BY root ORDER BY ms, own, path) AS k FROM (SELECT 'r' || CAST(user_id % 30 AS VARCHAR) AS root, 'p' || CAST(event_id % 7 AS VARCHAR) AS path, event_type = 'error' AS own, epoch_us(ts) // 1000 AS ms FROM events)
+      ), closing AS (SELECT max(ms) - 3600000 AS w FROM ev),
+      run AS (
+        SELECT DISTINCT root, CAST(0 AS BIGINT) AS k, []::STRUCT(tm BIGINT, path VARCHAR)[] AS pending, []::STRUCT(tm BIGINT, path VARCHAR)[] AS waiting, []::STRUCT(path VARCHAR, tm BIGINT, outcome VARCHAR)[] AS told FROM ev
+        UNION ALL
+        SELECT root, CASE WHEN due THEN k ELSE k + 1 END, CASE WHEN len(p) > 3 THEN p[2:] ELSE p END, CASE WHEN len(w) > 3 THEN w[2:] ELSE w END,
+          CASE WHEN due AND next.kind = 0 THEN list_concat([{'path': next.path, 'tm': next.tm, 'outcome': 'stable'}], CASE WHEN len(w) > 3 THEN [{'path': w[1].path, 'tm': next.tm, 'outcome': 'let go'}] ELSE [] END)
+            WHEN due THEN [{'path': next.path, 'tm': next.tm, 'outcome': 'missed'}]
+            WHEN own AND len(waiting) > len(w) THEN [{'path': path, 'tm': ms, 'outcome': 'seen'}]
+            WHEN NOT own AND len(p) > 3 THEN [{'path': p[1].path, 'tm': ms, 'outcome': 'evicted'}] ELSE [] END
+        FROM (
+          SELECT *, CASE WHEN due AND next.kind = 0 THEN list_filter(pending, lambda x: x.path <> next.path) WHEN due OR own THEN pending ELSE list_sort(list_append(list_filter(pending, lambda x: x.path <> path), {'tm': ms, 'path': path})) END AS p,
+            CASE WHEN due AND next.kind = 0 THEN list_sort(list_append(list_filter(waiting, lambda x: x.path <> next.path), {'tm': next.tm + 14400000, 'path': next.path})) WHEN due THEN list_filter(waiting, lambda x: x.path <> next.path) WHEN own THEN list_filter(waiting, lambda x: x.path <> path) ELSE waiting END AS w
+          FROM (
+            SELECT *, coalesce(next.tm <= coalesce(ms, (SELECT w FROM closing)), false) AS due FROM (
+              SELECT r.root, r.k, r.pending, r.waiting, e.path, e.own, e.ms,
+                list_sort(list_concat(list_transform(r.pending, lambda x: {'tm': x.tm + 18000000, 'kind': 0, 'path': x.path}), list_transform(r.waiting, lambda x: {'tm': x.tm, 'kind': 1, 'path': x.path})))[1] AS next
+              FROM run r LEFT JOIN ev e ON e.root = r.root AND e.k = r.k + 1))
+          WHERE due OR ms IS NOT NULL)
+      )
+      SELECT root, t.path AS path, t.tm AS at_ms, t.outcome AS outcome FROM (SELECT root, unnest(told) AS t FROM run)""",
     "lease_expiry": """WITH RECURSIVE req AS (
         SELECT 'n' || CAST(user_id AS VARCHAR) AS note_path, 'd' || CAST(event_id % 3 AS VARCHAR) AS device, event_type = 'error' AS rel, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id % 3) AS k FROM events
       ), run AS (

@@ -81,7 +81,7 @@ class _Watcher(StatefulProcessor):
         was = self._load()
         pending, waiting = (dict(x) for x in was)
         told: list[tuple] = []
-        self._run(expiredTimerInfo.getExpiryTimeInMs(), pending, waiting, told)
+        self._run(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), pending, waiting, told)
         self._store(was, pending, waiting, fired=True)
         yield self._rows(key[0], told)
 
