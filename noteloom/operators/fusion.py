@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,25 +52,40 @@ def diversify(fused: DataFrame, top: int, weight: float = 0.5) -> DataFrame:
     """
     weight = min(max(weight, 0.0), 1.0)
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["score", "path"], ascending=[False, True]).reset_index(drop=True)
-        best = max(rows["score"].max(), 0) or 1.0
-        gain = (rows["score"] / best).tolist()
-        masks = rows["source_mask"].tolist()
-        closest = [0.0] * len(rows)
-        left, chosen = list(range(len(rows))), []
+    def picked(score: list[float], mask: list[int]) -> list[int]:
+        best = max(score[0], 0) or 1.0
+        gain = [weight * x / best for x in score]
+        closest, left, chosen = [0.0] * len(score), list(range(len(score))), []
         while left and len(chosen) < top:
-            at = max(left, key=lambda i: (weight * gain[i] - (1 - weight) * closest[i], -i))
+            at = max(left, key=lambda i: (gain[i] - (1 - weight) * closest[i], -i))
             left.remove(at)
             chosen.append(at)
             for i in left:
-                union = (masks[i] | masks[at]).bit_count()
-                closest[i] = max(closest[i], (masks[i] & masks[at]).bit_count() / union if union else 0.0)
-        out = rows.loc[chosen, ["query_id", "path", "score", "source_mask"]]
-        return out.assign(rank=range(1, len(out) + 1))
+                union = (mask[i] | mask[at]).bit_count()
+                closest[i] = max(closest[i], (mask[i] & mask[at]).bit_count() / union if union else 0.0)
+        return chosen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, size = lists.flatten(), lists.value_lengths().to_pylist()
+            score, mask = (flat.field(k).to_pylist() for k in (0, 2))
+            rows, owner, rank, first = [], [], [], 0
+            for i, n in enumerate(size):
+                chosen = picked([-x for x in score[first : first + n]], mask[first : first + n])
+                rows += [first + k for k in chosen]
+                owner += [i] * len(chosen)
+                rank += range(1, len(chosen) + 1)
+                first += n
+            kept = flat.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner, pa.int64())), kept.field(1), pc.negate(kept.field(0)), kept.field(2), pa.array(rank, pa.int32())],
+                ["query_id", "path", "score", "source_mask", "rank"],
+            )
 
     kind = dict(fused.dtypes)["query_id"]
-    return fused.select("query_id", "path", "score", "source_mask").groupBy("query_id").applyInPandas(pick, f"query_id {kind}, path string, score double, source_mask int, rank int")
+    ordered = fused.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "path", F.col("source_mask").cast("int").alias("mask")))).alias("rows"))
+    return ordered.mapInArrow(run, f"query_id {kind}, path string, score double, source_mask int, rank int")
 
 
 def hybrid(lanes: dict[str, Callable[[], DataFrame]], top: int = 30, weight: float | None = None) -> DataFrame:

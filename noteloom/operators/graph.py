@@ -24,7 +24,9 @@ def _edges(df: DataFrame, src: str, dst: str, kind: str, why: Column) -> DataFra
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight", "why"))
+    """Each edge and its reverse, from one pass over the edges."""
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.inline(ends), "type", "weight", "why")
 
 
 def existing(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -35,9 +37,12 @@ def existing(links: DataFrame, files: DataFrame) -> DataFrame:
 
 def link_edges(links: DataFrame) -> DataFrame:
     """A wikilink edge per resolved pair and a backlink edge against it."""
-    out = _edges(links, "src", "dst", "wikilink", F.concat(F.lit("links "), F.col("cnt").cast("string")))
-    back = _edges(links, "dst", "src", "backlink", F.concat(F.lit("linked "), F.col("cnt").cast("string")))
-    return out.unionByName(back)
+
+    def edge(src: str, dst: str, kind: str, word: str) -> Column:
+        why = F.array(F.concat(F.lit(word), F.col("cnt").cast("string")))
+        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(WEIGHTS[kind]).alias("weight"), why.alias("why"))
+
+    return links.select(F.inline(F.array(edge("src", "dst", "wikilink", "links "), edge("dst", "src", "backlink", "linked "))))
 
 
 def _bucket_pairs(rows: DataFrame, bucket: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
 from noteloom.operators.common import materialised, small, top_per
+from noteloom.operators.dictionary import keyword_prefix  # noqa: F401  part of this module's operators
 
 K1, B = 1.5, 0.75
 #: Up to so many openings of asked stems stand in one pattern.
@@ -156,13 +157,5 @@ def path_match(notes: DataFrame, queries: DataFrame, top: int = 30) -> DataFrame
     return top_per(hits.select("query_id", "path"), ["query_id"], [F.asc("path")], 2 * top)
 
 
-def keyword_prefix(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """Items of a domain with a folded word that begins with the folded query: (query_id, path)."""
-    words = items.select("path", "domain", F.explode(F.array_distinct(F.split(T.fold(F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
-    asked = small(queries.select("query_id", F.col("domain").alias("q_domain"), T.fold(F.col("query")).alias("q")))
-    # An equi-join on the domain; the prefix is checked within it.
-    return words.join(asked, (F.col("domain") == F.col("q_domain")) & F.col("word").startswith(F.col("q"))).select("query_id", "path").distinct()
-
-
 def first_seen(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

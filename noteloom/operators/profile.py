@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
@@ -57,21 +57,54 @@ def with_concepts(passports: DataFrame, concepts: list[str] | None) -> DataFrame
     return passports.where(F.arrays_overlap(F.transform("concepts", F.lower), asked))
 
 
+def _parts(text: Column, lengths: list[int] | None = None) -> Column:
+    """Distinct substrings of a text, of the given lengths or all."""
+    n = F.length(text)
+    starts = lambda size: F.when(size <= n, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(text, i, size)))
+    sizes = F.sequence(F.lit(1), n) if lengths is None else F.array(*map(F.lit, lengths)).cast("array<int>")
+    return F.array_distinct(F.flatten(F.filter(F.transform(sizes, starts), lambda x: x.isNotNull())))
+
+
+def held_either_way(concepts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(concept, token) of all distinct ones of which one holds the other: an equal substring joins them, the
+    concepts' only of lengths that tokens have."""
+    lengths = sorted(r[0] for r in tokens.select(F.length("token")).distinct().collect())
+    if not lengths:
+        return concepts.select("concept", F.lit("").alias("token")).where("false")
+    within = concepts.select("concept", F.explode(_parts(F.col("concept"), lengths)).alias("token")).join(small(tokens), "token")
+    around = tokens.select("token", F.explode(_parts(F.col("token"))).alias("concept")).join(concepts, "concept")
+    return within.select("concept", "token").unionByName(around.select("concept", "token")).distinct()
+
+
 def find_local(passports: DataFrame, queries: DataFrame, top: int = 10, min_score: float = 0.0, concepts: list[str] | None = None) -> DataFrame:
-    """Concept overlap + half the BM25 of summary, cues and name; rows at ``min_score`` stay.
+    """(query_id, path, overlap, score, rank): concept overlap + half the BM25 of summary, cues and name.
 
-    A concept counts once if it equals, holds or is held by some query token. Profiles are
-    made once; BM25 statistics are those of all of them, ``concepts`` only filters what is ranked.
+    A concept counts once if it equals, holds or is held by some query token; both parts come from
+    inverted indexes. Rows at ``min_score`` stay: where it is 0 and fewer than ``top`` profiles score,
+    the first others by path fill the list. BM25 statistics are those of all profiles, ``concepts`` only
+    filters what is ranked.
     """
     card = F.concat_ws(" ", "one_line_summary", F.array_join("cornell_cue", " "), T.stem_name(F.col("path")))
     cards = materialised(passports.select("path", card.alias("body"), "concepts"), "cards")
-    ranked = bm25_scores(cards, queries).select("query_id", "path", F.col("score").alias("bm25"))
-    asked = small(queries.select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("q")).where(F.size("q") > 0))
-    lowered = with_concepts(cards, concepts).select("path", F.transform("concepts", F.lower).alias("c")).crossJoin(asked)
-    overlap = F.size(F.filter("c", lambda c: F.exists("q", lambda t: c.contains(t) | t.contains(c))))
-    scored = lowered.select("query_id", "path", overlap.alias("overlap")).join(small(ranked), ["query_id", "path"], "left")
-    scored = scored.select("query_id", "path", "overlap", F.round(F.col("overlap") + 0.5 * F.coalesce("bm25", F.lit(0.0)), 6).alias("score")).where(F.col("score") >= min_score)
-    return top_per(scored, ["query_id"], [F.desc("score"), F.asc("path")], top)
+    fit = with_concepts(cards, concepts)
+    asked = materialised(queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token")), "asked")
+    index = materialised(fit.select("path", F.explode(F.transform("concepts", F.lower)).alias("concept")), "concept-index")
+    met = held_either_way(index.select("concept").distinct(), asked.select("token").distinct())
+    wanted = asked.join(met, "token").select("query_id", "concept").distinct()
+    overlap = index.join(small(wanted), "concept").groupBy("query_id", "path").agg(F.count("*").cast("int").alias("overlap")).select("query_id", "path", "overlap", F.lit(0.0).alias("part"))
+    ranked = bm25_scores(cards, queries).select("query_id", "path", F.lit(0).alias("overlap"), (0.5 * F.col("score")).alias("part"))
+    ranked = ranked.join(fit.select("path"), "path", "left_semi").select(*overlap.columns) if concepts else ranked
+    scored = overlap.unionByName(ranked).groupBy("query_id", "path").agg(F.sum("overlap").cast("int").alias("overlap"), F.sum("part").alias("part"))
+    scored = scored.select("query_id", "path", "overlap", F.round(F.col("overlap") + F.col("part"), 6).alias("score")).where(F.col("score") >= min_score)
+    best = [F.desc("score"), F.asc("path")]
+    if min_score > 0:
+        return top_per(scored, ["query_id"], best, top)
+    scored = materialised(top_per(scored, ["query_id"], best, top).drop("rank"), "scored")
+    # Of the first 2 top - 1 paths at least ``top`` don't score for a query whose list is short.
+    lead = fit.select("path").orderBy("path").limit(2 * top)
+    short = asked.select("query_id").distinct().join(scored.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < top).select("query_id")
+    zero = short.crossJoin(F.broadcast(lead)).join(scored.select("query_id", "path"), ["query_id", "path"], "left_anti").select("query_id", "path", F.lit(0).alias("overlap"), F.lit(0.0).alias("score"))
+    return top_per(scored.unionByName(zero), ["query_id"], best, top)
 
 
 def find_by_name(passports: DataFrame, names: DataFrame, top: int = 10) -> DataFrame:

@@ -51,7 +51,7 @@ def keyword_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    items = D.notes(spark, sf).select("path", F.substring_index("path", "/", 1).alias("domain"), "title", F.substring("body", 1, 200).alias("summary"), F.array(F.lit("note")).alias("keywords"))
+    items = D.notes(spark, sf).select("path", F.substring_index("path", "/", 1).alias("domain"), "title", F.col("body").alias("summary"), F.array(F.lit("note")).alias("keywords"))
     q = spark.createDataFrame([(1, "src1", "tha"), (2, "src2", "Étio"), (3, "src9", "not")], "query_id int, domain string, query string")
     return lexical.keyword_prefix(items, q)
 
@@ -357,7 +357,7 @@ ORACLES = {
     "keyword_items": f"""{_PASS}, k AS (SELECT n.path, coalesce(p.one_line_summary, '') AS summary, CASE WHEN p.path IS NULL THEN [] ELSE list_append(p.concepts, p.domain) END AS bag FROM notes n LEFT JOIN (SELECT * FROM passports WHERE char_count % 3 <> 0) p USING (path)),
       l AS (SELECT *, list_transform(bag, lambda x: lower(x)) AS low FROM k)
       SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS title, summary, coalesce(array_to_string(list_filter(bag, lambda x, i: list_position(low, lower(x)) = i)[1:25], ','), '') AS keywords, 'md' AS modality FROM l""",
-    "keyword_prefix": f"WITH {D.NOTES_SQL}, q AS (SELECT * FROM (VALUES (1, 'src1', 'tha'), (2, 'src2', 'etio'), (3, 'src9', 'not')) v(query_id, domain, q)), w AS (SELECT path, split_part(path, '/', 1) AS domain, unnest(regexp_split_to_array(translate(lower(concat_ws(' ', title, substring(body, 1, 200), 'note')), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM notes) SELECT DISTINCT CAST(query_id AS INTEGER) AS query_id, path FROM w JOIN q USING (domain) WHERE starts_with(word, q)",
+    "keyword_prefix": f"WITH {D.NOTES_SQL}, q AS (SELECT * FROM (VALUES (1, 'src1', 'tha'), (2, 'src2', 'etio'), (3, 'src9', 'not')) v(query_id, domain, q)), w AS (SELECT path, split_part(path, '/', 1) AS domain, unnest(regexp_split_to_array(translate(lower(concat_ws(' ', title, body, 'note')), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM notes) SELECT DISTINCT CAST(query_id AS INTEGER) AS query_id, path FROM w JOIN q USING (domain) WHERE starts_with(word, q)",
     "headings": rf"WITH {_MD}, h AS (SELECT path, regexp_extract_all(body, '(?m)^(#{{1,6}}\s+.+)$', 1) AS hs FROM markdown), u AS (SELECT path, unnest(range(0, len(hs))) AS n, hs FROM h) SELECT path, CAST(n AS INTEGER) AS n, CAST(length(regexp_extract(hs[n + 1], '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_replace(hs[n + 1], '^#+\s+', '')) AS heading FROM u",
     "link_edges": f"WITH {_KEPT} SELECT src, dst, {_WHY.format('wikilink', 1.0, chr(39) + 'links ' + chr(39) + ' || CAST(cnt AS VARCHAR)')} FROM kept UNION ALL SELECT dst, src, {_WHY.format('backlink', 1.0, chr(39) + 'linked ' + chr(39) + ' || CAST(cnt AS VARCHAR)')} FROM kept",
     "folder_edges": f"WITH {_FOLDER} SELECT * FROM fe",
