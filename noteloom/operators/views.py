@@ -1,17 +1,18 @@
 """Views over note cards: computed columns, filters, orders, the figures of a header, a view's text.
 
-Cards have path, size, mtime, summary, concepts, domain, cues, cue_summary, note_type, zettel_id,
+Cards have path, size, mtime, summary, concepts, domain, difficulty, cues, cue_summary, note_type, zettel_id,
 neighbours and graph_nodes (lists may be null).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
+from noteloom.operators.common import top_per
 
 #: Characters of a word for the density estimate, entities of a graph-rich note.
 WORD_CHARS, RICH = 6, 5
@@ -38,14 +39,14 @@ class View:
     sort: str = "path"
     down: bool = False
     kind: str = "table"
-    extra: dict[str, str] = field(default_factory=dict)
+    group: str = ""
 
 
 VIEWS = {
-    "dense": View(columns=("path", "summary", "density"), sort="density", down=True),
+    "dense": View(columns=("path", "summary", "domain", "difficulty", "note_type", "neighbour_count", "graph_node_count", "density", "freshness_days"), sort="density", down=True),
     "orphans": View("neighbour_count = 0", ("path", "summary", "density"), kind="cards"),
     "graph_rich": View(f"graph_node_count >= {RICH}", ("path", "summary", "graph_node_count", "neighbour_count"), "graph_node_count", True),
-    "by_domain": View(columns=("path", "summary", "concepts"), sort="domain_primary", kind="cards"),
+    "by_domain": View(columns=("path", "summary", "concepts", "difficulty"), sort="domain_primary", kind="cards", group="domain_primary"),
     "recent": View(columns=("path", "summary", "freshness_days"), sort="freshness_days"),
     "permanent": View("is_permanent", ("zettel_id", "path", "summary", "concepts", "neighbour_count"), "zettel_id"),
     "literature": View("is_literature", ("path", "summary", "cues", "freshness_days"), kind="cards"),
@@ -57,10 +58,25 @@ VIEWS = {
 def view(rows: DataFrame, name: str) -> DataFrame:
     """The Markdown rows of a view in its order (ties by path); ``rows`` come from ``formulas``."""
     v = VIEWS[name]
-    kept = rows.where("ext = 'md'").where(v.where).select(*v.columns, F.col(v.sort).cast("string").alias("sorted_by"), F.col(v.sort).alias("_key"))
+    kept = _kept(rows, v).select(*v.columns, F.col(v.sort).cast("string").alias("sorted_by"), F.col(v.sort).alias("_key"))
     return kept.orderBy(F.desc("_key") if v.down else F.asc("_key"), "path").drop("_key")
 
 
+def _kept(rows: DataFrame, v: View) -> DataFrame:
+    return rows.where("ext = 'md'").where(v.where)
+
+
+def grouped_view(rows: DataFrame, name: str, show: int = 50) -> DataFrame:
+    """(group, n, cards) of a view that groups: how many rows a group has and its first ``show`` of them in path
+    order, with the view's columns; rows without a value are the group of null."""
+    v = VIEWS[name]
+    kept = _kept(rows, v).withColumn("group", F.col(v.group))
+    counts = kept.groupBy("group").agg(F.count("*").alias("n"))
+    first = top_per(kept.select("group", *v.columns), ["group"], [F.asc("path")], show)
+    cards = first.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("rank", *v.columns))).alias("cards"))
+    return counts.join(cards, counts["group"].eqNullSafe(cards["group"])).select(counts["group"], "n", "cards")
+
+
 def view_stats(cards: DataFrame) -> DataFrame:
     """One row of counts that a view's header shows."""
     return cards.agg(
@@ -84,4 +100,6 @@ def view_text(name: str, stats: DataFrame) -> DataFrame:
     v = VIEWS[name]
     head = [f"# {k}: {n}" for k, n in stats.first().asDict().items()]
     body = ["views:", f"  - type: {v.kind}", f"    name: {name}", "    filters:", '      - file.ext == "md"', f"      - {v.where}", "    order:", *(f"      - {c}" for c in v.columns), "    sort:", f"      - property: {v.sort}", f"        direction: {'DESC' if v.down else 'ASC'}"]
+    if v.group:
+        body += ["    groupBy:", f"      property: {v.group}", "      direction: ASC"]
     return stats.sparkSession.createDataFrame(list(enumerate(head + body)), "n int, line string")

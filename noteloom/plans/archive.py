@@ -208,7 +208,7 @@ def _cards(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 10 == 1, "permanent").when(F.col("doc_id") % 10 == 2, "literature").otherwise(F.col("note_type"))
     path = F.when(F.col("doc_id") % 23 == 0, F.concat("path", F.lit(".txt"))).otherwise(F.col("path"))
     return p.join(n, "path").select(
-        path.alias("path"), F.col("char_count").alias("size"), F.expr("timestamp'2024-06-30 12:00:00' - make_dt_interval(cast(doc_id % 400 as int))").alias("mtime"), F.col("one_line_summary").alias("summary"), "one_line_summary", "concepts", "domain",
+        path.alias("path"), F.col("char_count").alias("size"), F.expr("timestamp'2024-06-30 12:00:00' - make_dt_interval(cast(doc_id % 400 as int))").alias("mtime"), F.col("one_line_summary").alias("summary"), "one_line_summary", "concepts", "domain", "difficulty",
         many(4).alias("cues"), F.lit("s").alias("cue_summary"), kind.alias("note_type"), F.concat(F.lit("z"), F.lpad(_s("doc_id"), 9, "0")).alias("zettel_id"), many(3).alias("neighbours"), many(9).alias("graph_nodes"),
     )
 
@@ -223,6 +223,18 @@ def view_rows(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def dense_view(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of the view of all profiles."""
+    rows = views.view(views.formulas(_cards(spark, sf), F.to_date(F.lit("2024-07-01"))), "dense")
+    return rows.drop("sorted_by").withColumns({"domain": F.array_join("domain", ","), "density": F.round("density", 6)})
+
+
+def view_groups(spark: SparkSession, sf: str) -> DataFrame:
+    rows = views.grouped_view(views.formulas(_cards(spark, sf), F.to_date(F.lit("2024-07-01"))), "by_domain", 20)
+    card = lambda c: F.concat_ws("|", c["path"], c["summary"], F.array_join(c["concepts"], ","), c["difficulty"].cast("string"))
+    return rows.select("group", "n", F.md5(F.array_join(F.transform("cards", card), "\n")).alias("digest"))
+
+
 def view_headers(spark: SparkSession, sf: str) -> DataFrame:
     return views.view_text("graph_rich", views.view_stats(_cards(spark, sf)))
 
@@ -486,7 +498,7 @@ def training_lines(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     header_fields, listed_values, note_markup, note_ids, cue_layouts, concept_candidates, language_guesses, byte_figures, versions, rolling_hashes,
     vault_files, vault_notes, vault_content, valid_results, modal_readings, file_metadata, stored_lines, manifest_merge, keyword_store, capture_log, example_packs, queue_folder, vector_index,
-    view_rows, view_headers, view_stats, type_histogram, domain_list, bm25_lane, lexical_index_search, lexical_index_stream, lease_expiry, watcher_outcomes, passport_concepts, keyword_average, neighbours_of_type, block_changes, label_edges, community_changes,
+    view_rows, dense_view, view_groups, view_headers, view_stats, type_histogram, domain_list, bm25_lane, lexical_index_search, lexical_index_stream, lease_expiry, watcher_outcomes, passport_concepts, keyword_average, neighbours_of_type, block_changes, label_edges, community_changes,
     done_tasks, lease_stats, sweep_stats, renamed_events, threshold_triggers, last_runs, missed_paths,
     embedded_notes, embedded_parts, expanded_queries, classified_notes, prompted_notes, parsed_answers, sentiments, annotated_notes, transcripts, routed_profiles, rendered_prompts, training_lines,
 )}

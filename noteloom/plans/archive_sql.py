@@ -17,7 +17,7 @@ _PLACED = f"""{_HEADED}, placed AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '.h
   kept AS (SELECT * FROM placed WHERE doc_id % 13 <> 0 AND doc_id % 11 <> 0), md AS (SELECT * FROM kept WHERE file LIKE '%.md')"""
 _TALK = "talk AS (SELECT 'task' || CAST(u.conv_id % 7 AS VARCHAR) AS task, u.text AS input, a.text AS output, u.conv_id * 1000 + u.turn AS ts FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 _LEASES = "leases AS (SELECT path AS note_path, 'd' || CAST(doc_id % 3 AS VARCHAR) AS device_id, doc_id * 10 + 1000 AS expires_at FROM notes WHERE doc_id % 2 = 0)"
-_CARDS = f"""{_PASS}, cards AS (SELECT CASE WHEN doc_id % 23 = 0 THEN path || '.txt' ELSE path END AS path, doc_id, char_count AS size, doc_id % 400 AS age, one_line_summary, concepts, domain,
+_CARDS = f"""{_PASS}, cards AS (SELECT CASE WHEN doc_id % 23 = 0 THEN path || '.txt' ELSE path END AS path, doc_id, char_count AS size, doc_id % 400 AS age, one_line_summary, concepts, domain, difficulty,
   doc_id % 4 AS cue_count, CASE doc_id % 10 WHEN 1 THEN 'permanent' WHEN 2 THEN 'literature' ELSE note_type END AS note_type, 'z' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS zettel_id, doc_id % 3 AS neighbour_count, doc_id % 9 AS graph_node_count FROM passports JOIN notes USING (path))"""
 _SHOWN = {
     "dense": ("true", "CAST(size / 6 AS VARCHAR)"), "orphans": ("neighbour_count = 0", "path"), "graph_rich": ("graph_node_count >= 5", "CAST(graph_node_count AS VARCHAR)"),
@@ -103,6 +103,9 @@ ORACLES = {
     "queue_folder": "SELECT CAST(s_suppkey AS VARCHAR) || '.json' AS name, CAST(length(CAST(s_suppkey AS VARCHAR)) + 7 AS BIGINT) AS size FROM supplier WHERE s_suppkey % 10 <> 0",
     "vector_index": "SELECT vec_id AS path, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS sha, CAST(64 AS INTEGER) AS dims FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 3 = 0",
     "view_rows": f"{_CARDS} " + " UNION ALL ".join(f"SELECT '{name}' AS view, path, {shown} AS sorted_by FROM cards WHERE doc_id % 23 <> 0 AND {where}" for name, (where, shown) in _SHOWN.items()),
+    "dense_view": f"{_CARDS} SELECT path, one_line_summary AS summary, domain, CAST(difficulty AS INTEGER) AS difficulty, note_type, CAST(neighbour_count AS INTEGER) AS neighbour_count, CAST(graph_node_count AS INTEGER) AS graph_node_count, round(size / 6, 6) AS density, CAST(1 + age AS INTEGER) AS freshness_days FROM cards WHERE doc_id % 23 <> 0",
+    "view_groups": f"""{_CARDS}, k AS (SELECT domain AS "group", path, concat_ws('|', path, one_line_summary, array_to_string(concepts, ','), CAST(difficulty AS VARCHAR)) AS line, row_number() OVER (PARTITION BY domain ORDER BY path) AS r FROM cards WHERE doc_id % 23 <> 0)
+      SELECT "group", count(*) AS n, md5(string_agg(line, chr(10) ORDER BY path) FILTER (r <= 20)) AS digest FROM k GROUP BY ALL""",
     "view_headers": f"{_CARDS}, s AS (SELECT {_STATS} FROM cards), h AS (" + " UNION ALL ".join(f"SELECT {i} AS n, '# {name}: ' || CAST({name} AS VARCHAR) AS line FROM s" for i, name in enumerate(_STAT_NAMES)) + ") SELECT CAST(n AS INTEGER) AS n, line FROM h UNION ALL " + " UNION ALL ".join(f"SELECT {len(_STAT_NAMES) + i}, '{line}'" for i, line in enumerate(_VIEW_LINES)),
     "view_stats": f"{_PASS} SELECT {_STATS} FROM passports",
     "type_histogram": f"{_CARDS} SELECT coalesce(note_type, 'none') AS note_type, count(*) AS n FROM cards GROUP BY 1",
