@@ -74,9 +74,13 @@ def concept_pairs(passports: DataFrame, least: int = 2, df_low: int = 2, df_high
     return pairs.where(F.size("shared") >= least)
 
 
-def concept_edges(passports: DataFrame, **limits: int) -> DataFrame:
+def shared_edges(pairs: DataFrame) -> DataFrame:
     why = F.concat(F.lit("concepts "), F.array_join(F.slice("shared", 1, 3), ", "))
-    return both_ways(_edges(concept_pairs(passports, **limits), "a", "b", "entity_overlap", why))
+    return both_ways(_edges(pairs, "a", "b", "entity_overlap", why))
+
+
+def concept_edges(passports: DataFrame, **limits: int) -> DataFrame:
+    return shared_edges(concept_pairs(passports, **limits))
 
 
 def cosine_edges(vectors: DataFrame, threshold: float = 0.5, most: int = 2000) -> DataFrame:
@@ -86,17 +90,30 @@ def cosine_edges(vectors: DataFrame, threshold: float = 0.5, most: int = 2000) -
     return both_ways(_edges(similar_pairs(rows, "path", "vec", threshold), "a", "b", "semantic_cosine", F.concat(F.lit("cosine "), F.format_string("%.4f", "cosine"))))
 
 
-def cocitation_pairs(links: DataFrame, targets: int = 1000, per_source: int = 20) -> DataFrame:
-    """(a, b, sources): targets cited together, among the ``targets`` most cited (then by path),
-    at most ``per_source`` of each source (in path order)."""
-    cited = links.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("dst")).limit(targets).select("dst")
+def most_cited(links: DataFrame, targets: int) -> DataFrame:
+    """(dst): the ``targets`` most cited, then by path."""
+    return links.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("dst")).limit(targets).select("dst")
+
+
+def cited_together(links: DataFrame, cited: DataFrame, per_source: int) -> DataFrame:
+    """(a, b, sources) of targets of ``cited``, at most ``per_source`` of each source (in path order)."""
     kept = top_per(links.join(F.broadcast(cited), "dst"), ["src"], [F.asc("dst")], per_source)
     left, right = kept.select("src", F.col("dst").alias("a")), kept.select("src", F.col("dst").alias("b"))
     return left.join(right, "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("sources"))
 
 
+def cocitation_pairs(links: DataFrame, targets: int = 1000, per_source: int = 20) -> DataFrame:
+    """(a, b, sources): targets cited together, among the ``targets`` most cited (then by path),
+    at most ``per_source`` of each source (in path order)."""
+    return cited_together(links, most_cited(links, targets), per_source)
+
+
+def cocited_edges(pairs: DataFrame) -> DataFrame:
+    return both_ways(_edges(pairs, "a", "b", "co_citation", F.concat(F.lit("cited together "), F.col("sources").cast("string"))))
+
+
 def cocitation_edges(links: DataFrame, **limits: int) -> DataFrame:
-    return both_ways(_edges(cocitation_pairs(links, **limits), "a", "b", "co_citation", F.concat(F.lit("cited together "), F.col("sources").cast("string"))))
+    return cocited_edges(cocitation_pairs(links, **limits))
 
 
 def merge(builders: Iterable[DataFrame]) -> DataFrame:

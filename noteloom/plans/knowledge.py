@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import hashing
 from noteloom.functions import text as T
-from noteloom.operators import chunking, community, graph, lexical, profile, upkeep, vector
+from noteloom.operators import chunking, community, edgeupkeep, graph, lexical, profile, upkeep, vector
 from noteloom.operators.common import materialised
 from noteloom.plans import tables as D
 from noteloom.streaming import events as S
@@ -128,6 +128,26 @@ def multiplex_union(spark: SparkSession, sf: str) -> DataFrame:
     return _multiplex(spark, sf).select("src", "dst", "type", "weight", F.array_join("why", ";").alias("why"))
 
 
+def edges_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored edges after a set of changes: files that move to the next day or go, profiles that lose concepts
+    or go, sources that drop their odd targets or all."""
+    number = lambda c, at: F.substr(c, F.lit(at)).cast("long")
+    files, links = D.dated(spark, sf), graph.existing(D.links(spark, sf), D.link_files(spark, sf))
+    passports = materialised(D.passports(spark, sf).select("path", "concepts"), "passports")
+    key = F.regexp_extract("path", r"/o(\d+)\.md$", 1).cast("long")
+    note = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long")
+    source = number(F.col("src"), 2)
+    changes = {
+        "files": files.where((key % 37 == 0) | (key % 41 == 0)).select("path", F.date_add("mtime", 1).alias("mtime"), F.when(key % 41 == 0, "delete").otherwise("modify").alias("kind")),
+        "passports": passports.where((note % 29 == 0) | (note % 31 == 0)).select("path", F.slice("concepts", 1, 6).alias("concepts"), F.when(note % 31 == 0, "delete").otherwise("modify").alias("kind")),
+        "links": links.where((source % 43 == 0) | (source % 47 == 0)).select("src", "dst", "cnt", F.when((source % 43 == 0) | (number(F.col("dst"), 2) % 2 == 1), "delete").otherwise("modify").alias("kind")),
+    }
+    made = {"folder": graph.folder_edges(files), "date": graph.date_edges(files), "concept": graph.concept_edges(passports), "link": graph.link_edges(links), "cocited": graph.cocitation_pairs(links)}
+    stored = {name: materialised(rows, f"stored-{name}") for name, rows in made.items()}
+    edges = edgeupkeep.edges_after(stored, {"files": files, "passports": passports, "links": links}, changes)
+    return edges.select("src", "dst", "type", "weight", F.array_join("why", ";").alias("why"))
+
+
 def neighbors_by_dst(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours_by_dst(_graph(spark, sf)).drop("edges")
 
@@ -313,6 +333,10 @@ _CONCEPT_ROWS = f"""SELECT src, dst, {_WHY.format('entity_overlap', 0.7, chr(39)
 _CITED_ROWS = f"SELECT src, dst, {_WHY.format('co_citation', 0.5, chr(39) + 'cited together ' + chr(39) + ' || CAST(n AS VARCHAR)')} FROM cp"
 _COSINE = f"{D.VECTORS_SQL}, fv AS (SELECT * FROM vectors ORDER BY path LIMIT 2000), ce AS (SELECT CAST(a.path AS VARCHAR) AS src, CAST(b.path AS VARCHAR) AS dst, {_WHY.format('semantic_cosine', 0.8, chr(39) + 'cosine ' + chr(39) + ' || printf(' + chr(39) + '%.4f' + chr(39) + ', round(round(list_cosine_similarity(a.vec, b.vec), 6), 4))')} FROM fv a JOIN fv b ON a.path <> b.path WHERE list_cosine_similarity(a.vec, b.vec) >= 0.3)"
 _MULTIPLEX = f"WITH {D.NOTES_SQL}, {D.PASSPORTS_SQL}, {_KEPT}, {_FOLDER}, {_DATE}, {_CONCEPT}, {_CITED}, {_COSINE}, edges AS (SELECT * FROM fe UNION ALL SELECT * FROM de UNION ALL SELECT * FROM ce UNION ALL {_LINK_ROWS} UNION ALL {_CONCEPT_ROWS} UNION ALL {_CITED_ROWS})"
+_CHANGED_FILES = D.DATED_SQL.replace("CAST(o_orderdate AS DATE) AS day FROM orders", "CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 37 = 0 THEN 1 ELSE 0 END AS day FROM orders WHERE o_orderkey % 41 <> 0")
+_CHANGED_PASSPORTS = D.PASSPORTS_SQL.replace("passports AS (", "passports0 AS (") + ", passports AS (SELECT path, CASE WHEN doc_id % 29 = 0 THEN concepts[1:6] ELSE concepts END AS concepts FROM passports0 JOIN notes USING (path) WHERE doc_id % 31 <> 0)"
+_CHANGED_LINKS = _KEPT.replace("kept AS (", "kept0 AS (") + ", kept AS (SELECT * FROM kept0 WHERE CAST(substring(src, 2) AS BIGINT) % 43 <> 0 AND (CAST(substring(src, 2) AS BIGINT) % 47 <> 0 OR CAST(substring(dst, 2) AS BIGINT) % 2 = 0))"
+_CHANGED = f"WITH {D.NOTES_SQL}, {_CHANGED_PASSPORTS}, {_CHANGED_LINKS}, {_FOLDER.replace(D.DATED_SQL, _CHANGED_FILES)}, {_DATE}, {_CONCEPT}, {_CITED}, edges AS (SELECT * FROM fe UNION ALL SELECT * FROM de UNION ALL {_LINK_ROWS} UNION ALL {_CONCEPT_ROWS} UNION ALL {_CITED_ROWS})"
 _ENTITIES = " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM documents" for kind, pattern in T.ENTITIES)
 _PARAGRAPHS = r"""atoms AS (SELECT path, body, list_filter(regexp_split_to_array(body, '\n\s*\n'), lambda x: length(x) > 2000 OR regexp_matches(x, '\S')) AS ps FROM notes WHERE length(body) > 2000),
   sentences AS (SELECT path, flatten(list_transform(ps, lambda x: CASE WHEN length(x) <= 2000 THEN [x] ELSE string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END)) AS ss FROM atoms),
@@ -340,7 +364,7 @@ _NEAR = f"WITH {D.VECTORS_SQL}, p AS (SELECT a.path, b.path AS neighbour, round(
 
 QUERIES = {f.__name__: f for f in (
     proper_nouns, difficulty, domains, graded_difficulty, note_type, one_line_summary, cornell_cues, keyword_items, keyword_prefix, atomic_splits, profiles_of_pages, headings,
-    link_edges, folder_edges, date_edges, concept_overlap_edges, cosine_edges, cocitation_edges, backlink_counts, multiplex_union, neighbors_by_dst, edge_stats, pair_weights, degrees,
+    link_edges, folder_edges, date_edges, concept_overlap_edges, cosine_edges, cocitation_edges, backlink_counts, multiplex_union, edges_upkeep, neighbors_by_dst, edge_stats, pair_weights, degrees,
     modularity, super_graph, communities, communities_seeded, community_sizes, split_communities, resolve_labels, rendered_links, radial_layout, incremental_changed, change_kinds,
     debounce_sessions, windowed_counts, last_events, missed_events, lease_state, queue_dedup, queue_status, fewshot_ring, fewshot_topk, fewshot_stats, token_metrics, day_buckets, excerpts,
     chunk_text, reduced_texts, hashes, path_parts, entities,
@@ -370,6 +394,7 @@ ORACLES = {
       p AS (SELECT a.dst AS src, b.dst AS dst, count(*) AS n FROM c a JOIN c b ON a.src = b.src AND a.dst <> b.dst WHERE a.r <= 20 AND b.r <= 20 GROUP BY 1, 2) SELECT src, dst, {_WHY.format('co_citation', 0.5, chr(39) + 'cited together ' + chr(39) + ' || CAST(n AS VARCHAR)')} FROM p""",
     "backlink_counts": f"WITH {D.LINKS_SQL} SELECT dst, count(*) AS n FROM links GROUP BY dst",
     "multiplex_union": f"{_MULTIPLEX} SELECT src, dst, type, max(weight) AS weight, array_to_string(list_sort(list_distinct(list(why))), ';') AS why FROM edges GROUP BY src, dst, type",
+    "edges_upkeep": f"{_CHANGED} SELECT src, dst, type, max(weight) AS weight, array_to_string(list_sort(list_distinct(list(why))), ';') AS why FROM edges GROUP BY src, dst, type",
     "neighbors_by_dst": f"{_GRAPH}, s AS (SELECT src, dst, round(sum(weight), 6) AS weight, count(*) AS n_edges, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM edges GROUP BY src, dst) SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INTEGER) AS rank FROM s QUALIFY rank <= 30",
     "edge_stats": f"{_MULTIPLEX} SELECT t AS type, count(e.src) AS n FROM (SELECT unnest({list(graph.WEIGHTS)}) AS t) LEFT JOIN edges e ON e.type = t GROUP BY t",
     "pair_weights": f"{_PAIRS} SELECT * FROM pairs",
