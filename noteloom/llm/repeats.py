@@ -90,31 +90,34 @@ def _part(high: np.ndarray, parts: int) -> np.ndarray:
 
 
 _PACKED = "part int, high binary, low binary, row binary, at binary, size binary"
-_TYPES = (np.uint64, np.uint32, np.int64, np.uint32, np.uint32)
 
 
 def _packed(parts: int, high: np.ndarray, low: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """Records by range of their hash, one row a range, column by column."""
+    """Records by range of their hash, one row a range, column by column; places go as low and high halves,
+    which compress better apart."""
     part = _part(high, parts)
     order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts + 1))
-    high, low, row, at, size = (x[order] for x in (high, low, row, at.astype(np.uint32), size.astype(np.uint32)))
+    high, low, row, at, size = (x[order] for x in (high, low, row, at.astype(np.uint32), size))
     rows = []
     for p in np.flatnonzero(np.diff(ends)):
         own = slice(ends[p], ends[p + 1])
-        rows.append((int(p), high[own].tobytes(), low[own].tobytes(), np.diff(row[own], prepend=0).tobytes(), at[own].tobytes(), size[own].tobytes()))
+        halves = at[own].view(np.uint16).reshape(-1, 2).T
+        rows.append((int(p), high[own].tobytes(), low[own].tobytes(), np.diff(row[own], prepend=0).tobytes(), np.ascontiguousarray(halves).tobytes(), size[own].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int32(), *[pa.binary()] * 5))], ["part", "high", "low", "row", "at", "size"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+def _unpacked(batches: Iterator[pa.RecordBatch], low: type, size: type) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(part, its records) of all ranges of a task, one after another."""
     held: dict[int, list[tuple]] = defaultdict(list)
     for batch in batches:
         for part, *columns in zip(*(x.to_pylist() for x in batch.columns)):
             held[part].append(columns)
+    kinds = (np.uint64, low, np.int64, np.uint16, size)
     for part in list(held):
-        found = [[np.frombuffer(x, t) for x, t in zip(r, _TYPES)] for r in held.pop(part)]
-        yield part, tuple(np.concatenate([np.cumsum(r[k]) if k == 2 else r[k] for r in found]) for k in range(5))
+        found = [[np.frombuffer(x, t) for x, t in zip(r, kinds)] for r in held.pop(part)]
+        place = [np.ascontiguousarray(r[3].reshape(2, -1).T).view(np.uint32).ravel() for r in found]
+        yield part, [np.concatenate(x) for x in ([r[0] for r in found], [r[1] for r in found], [np.cumsum(r[2]) for r in found], place, [r[4] for r in found])]
 
 
 def _more_than_once(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +144,10 @@ def repeated_phrases(texts: DataFrame, parts: int) -> DataFrame:
             k = np.flatnonzero(text[1:] == text[:-1])
             if len(k):
                 start, end = at[k], at[k + 1] + GRAM
-                yield _packed(parts, *Sums(data).of(start, end), batch.column(0).to_numpy()[text[k]], start - offsets[text[k]], end - start - GRAM)
+                yield _packed(parts, *Sums(data).of(start, end), batch.column(0).to_numpy()[text[k]], start - offsets[text[k]], (end - start - GRAM).astype(np.uint32))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (high, low, row, at, size) in _unpacked(batches):
+        for part, (high, low, row, at, size) in _unpacked(batches, np.uint32, np.uint32):
             order, key = _more_than_once(high, low)
             columns = (row[order], at[order].astype(np.int32), size[order].astype(np.int32), (part << 38) + key + 1)
             for i in range(0, len(order), 100_000):
@@ -455,7 +458,7 @@ def _filed(rows: DataFrame, dtype: np.dtype, folder: str, parts: int) -> set[int
         yield pa.RecordBatch.from_arrays([pa.array(files)], ["file"])
 
     placed = rows.select(*dtype.names).repartition(parts, F.shiftright("row", 33))
-    return {r[0] for r in written(placed.mapInArrow(run, "file long"), "repeats-files", 0).toLocalIterator()}
+    return {r[0] for r in written(placed.mapInArrow(run, "file long"), "repeats-files").toLocalIterator()}
 
 
 def _looked_up(rows: np.ndarray, folder: str, files: set[int], dtype: np.dtype) -> np.ndarray:
@@ -522,12 +525,13 @@ def repeated_windows(texts: DataFrame, folder: str, files: set[int], length: int
             start, unknown = open_windows(offsets, at, text, _looked_up(rows, folder, files, MARK), length)
             if len(start):
                 text = np.searchsorted(offsets, start, "right") - 1
-                yield _packed(parts, *Sums(data).of(start, start + length), rows[text], start - offsets[text], unknown)
+                high, low = Sums(data).of(start, start + length)
+                yield _packed(parts, high, (low >> np.uint32(16)).astype(np.uint16), rows[text], start - offsets[text], unknown)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (high, low, row, at, unknown) in _unpacked(batches):
+        for _, (high, low, row, at, unknown) in _unpacked(batches, np.uint16, np.bool_):
             order, _ = _more_than_once(high, low)
-            order = order[unknown[order] == 1]
+            order = order[unknown[order]]
             for i in range(0, len(order), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(row[order[i : i + 100_000]]), pa.array(at[order[i : i + 100_000]].astype(np.int32))], ["row", "at"])
 
