@@ -192,6 +192,20 @@ def communities_seeded(spark: SparkSession, sf: str) -> DataFrame:
     return community.sequential(o.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")))
 
 
+def refreshed_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored communities of the link graph after every fiftieth order lost a line: one row of checks, since
+    the partition itself has no SQL form."""
+    links = graph.existing(D.links(spark, sf), D.link_files(spark, sf))
+    before = materialised(community.pair_weights(graph.merge([graph.link_edges(links)])), "pairs")
+    stored = materialised(community.communities(before).select("path", "community_id"), "stored")
+    order = F.substr("src", F.lit(2)).cast("long")
+    lost = links.where(order % 50 == 0).groupBy("src").agg(F.min("dst").alias("dst"))
+    now = materialised(community.pair_weights(graph.merge([graph.link_edges(links.join(lost, ["src", "dst"], "left_anti"))])), "pairs")
+    ends = lost.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
+    rows, looked = community.refreshed(now, stored, ends)
+    return rows.select("path", "community_id", "modularity", F.lit(sum(looked)).cast("long").alias("looked_at"))
+
+
 def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return community.community_sizes(communities(spark, sf))
 
@@ -365,7 +379,7 @@ _NEAR = f"WITH {D.VECTORS_SQL}, p AS (SELECT a.path, b.path AS neighbour, round(
 QUERIES = {f.__name__: f for f in (
     proper_nouns, difficulty, domains, graded_difficulty, note_type, one_line_summary, cornell_cues, keyword_items, keyword_prefix, atomic_splits, profiles_of_pages, headings,
     link_edges, folder_edges, date_edges, concept_overlap_edges, cosine_edges, cocitation_edges, backlink_counts, multiplex_union, edges_upkeep, neighbors_by_dst, edge_stats, pair_weights, degrees,
-    modularity, super_graph, communities, communities_seeded, community_sizes, split_communities, resolve_labels, rendered_links, radial_layout, incremental_changed, change_kinds,
+    modularity, super_graph, communities, communities_seeded, community_sizes, split_communities, refreshed_communities, resolve_labels, rendered_links, radial_layout, incremental_changed, change_kinds,
     debounce_sessions, windowed_counts, last_events, missed_events, lease_state, queue_dedup, queue_status, fewshot_ring, fewshot_topk, fewshot_stats, token_metrics, day_buckets, excerpts,
     chunk_text, reduced_texts, hashes, path_parts, entities,
 )}
