@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from noteloom.llm.shared import discard, map_file, mix, new_folder, only, parts_for, put_file, slices, text_buffers, written
 
 LENGTH, GRAM, EVERY = 400, 12, 48
-SLICE = 8 << 20
+SLICE = 2 << 20
 _BASES = (0x9E3779B97F4A7C55, 0xD1342543DE82EF95)
 
 
