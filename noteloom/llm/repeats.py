@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,12 +199,14 @@ def _strings(phrases: DataFrame, length: int) -> DataFrame:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the rank: the task's range, then the place in it; the empty triple is 0."""
-    at = (TaskContext.get().partitionId() << 38) + 1
+    """Replaces the number of the range (the last column) by the rank: the range, then the place in it; the
+    empty triple is 0."""
+    place = 1
     for batch in batches:
-        rank = np.where(batch.column(0).to_numpy() == 0, 0, np.arange(at, at + batch.num_rows))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], [*batch.schema.names, "name"])
-        at += batch.num_rows
+        rank = (batch.column(batch.num_columns - 1).to_numpy().astype(np.int64) << 38) + np.arange(place, place + batch.num_rows)
+        rank[batch.column(0).to_numpy() == 0] = 0
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rank)], [*batch.schema.names[:-1], "name"])
+        place += batch.num_rows
 
 
 def _triples(length: int):
@@ -282,37 +283,39 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
     order = np.lexsort((r2, r1, c2, c1, c0, zero, below))
     # Several samples of one rank stand together, for they have one tuple (x = their rank).
-    rank = (TaskContext.get().partitionId() << 38) + 1 + np.arange(len(order))
+    rank = (int(whole.column("range")[0].as_py()) << 38) + 1 + np.arange(len(order))
     columns = (x[order], y[order], z[order], ~zero[order], rank, row[order], i[order])
     for j in range(0, len(order), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(v[j : j + 50_000]) for v in columns], ["x", "y", "z", "sample", "rank", "row", "i"])
 
 
-def suffix_ranks(strings: DataFrame, length: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def suffix_ranks(strings: DataFrame, length: int, parts: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(positions: row, i, x, y, z, sample and more; distinct suffixes: x, y, z, sample, rank and a row and i of one)
-    of strings (row, c, v); equal suffixes of one kind, as far as ``length`` bytes, have one rank."""
-    triples = written(strings.select("row", "c", "v").mapInArrow(_triples(length), "row long, i int, c0 long, c1 long, c2 long, v int"), "repeats-triples")
+    of strings (row, c, v) of ``size`` names together; equal suffixes of one kind, as far as ``length`` bytes,
+    have one rank."""
+    triples = strings.select("row", "c", "v").mapInArrow(_triples(length), "row long, i int, c0 long, c1 long, c2 long, v int")
     distinct = triples.groupBy("c0", "c1", "c2").agg(F.count("*").alias("n"), F.first("v").alias("v"))
-    ranged = distinct.repartitionByRange(parts, "c0", "c1", "c2").sortWithinPartitions("c0", "c1", "c2")
-    names = written(ranged.mapInArrow(_numbered, "c0 long, c1 long, c2 long, n long, v int, name long"), "repeats-names")
+    # Ranks hold the number of the range, whatever tasks the ranges are then written by.
+    ranged = distinct.repartitionByRange(parts, "c0", "c1", "c2").sortWithinPartitions("c0", "c1", "c2").withColumn("range", F.spark_partition_id())
+    names = written(ranged.mapInArrow(_numbered, "c0 long, c1 long, c2 long, n long, v int, name long"), "repeats-names", size)
     named = triples.join(names.select("c0", "c1", "c2", "name"), ["c0", "c1", "c2"])
     string = (2 * F.col("row") + F.col("i") % 3 - 1).alias("row")
-    shorter = written(named.groupBy(string).agg(F.sort_array(F.collect_list(F.struct("i", "name", "v"))).alias("all")).select("row", F.col("all.name").alias("c"), F.col("all.v").alias("v")), "repeats-strings")
+    shorter = written(named.groupBy(string).agg(F.sort_array(F.collect_list(F.struct("i", "name", "v"))).alias("all")).select("row", F.col("all.name").alias("c"), F.col("all.v").alias("v")), "repeats-strings", size)
     lower = ()
     if names.where(f"n > 1 and v < {length}").isEmpty():
         ranks = shorter.select("row", F.col("c").alias("r"))
     else:
-        lower = suffix_ranks(shorter, length, parts)
+        lower = suffix_ranks(shorter, length, parts, 2 * size // 3)
         found = lower[0].select("row", "i", *KEY).join(lower[1].select(*KEY, "rank"), list(KEY)).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "rank"))).alias("all"))
         # Ends have rank 0 and no position of their own.
         ranks = shorter.select("row", "c").join(found, "row", "left").mapInArrow(_filled, "row long, r array<long>")
     pair = ranks.groupBy(F.shiftright("row", 1).alias("row")).agg(F.max(F.when(F.col("row") % 2 == 0, F.col("r"))).alias("one"), F.max(F.when(F.col("row") % 2 == 1, F.col("r"))).alias("two"))
     schema = "row long, i int, x long, y long, z long, sample boolean, c0 long, c1 long, c2 long, k int, r0 long, r1 long, r2 long"
-    positions = written(strings.select("row", "c").join(pair, "row", "left").select("row", "c", "one", "two").mapInArrow(_positions, schema), "repeats-positions")
+    positions = written(strings.select("row", "c").join(pair, "row", "left").select("row", "c", "one", "two").mapInArrow(_positions, schema), "repeats-positions", size)
     firsts = [F.first(k).alias(k) for k in ("c0", "c1", "c2", "k", "r0", "r1", "r2", "row", "i")]
-    distinct = positions.groupBy(*KEY).agg(*firsts).repartitionByRange(parts, "c0", "c1", "c2")
-    suffixes = written(distinct.mapInArrow(_merged, "x long, y long, z long, sample boolean, rank long, row long, i int"), "repeats-suffixes")
-    discard(triples, names, shorter, *lower)
+    distinct = positions.groupBy(*KEY).agg(*firsts).repartitionByRange(parts, "c0", "c1", "c2").withColumn("range", F.spark_partition_id())
+    suffixes = written(distinct.mapInArrow(_merged, "x long, y long, z long, sample boolean, rank long, row long, i int"), "repeats-suffixes", size)
+    discard(names, shorter, *lower)
     return positions, suffixes
 
 
@@ -406,27 +409,27 @@ def _contexts(length: int):
     return run
 
 
-def contexts(strings: DataFrame, length: int, parts: int) -> DataFrame:
+def contexts(strings: DataFrame, length: int, parts: int, size: int) -> DataFrame:
     """(row, at, left, sure, bound) of every phrase that repeats: windows whose first anchor it is, of the
     ``left`` bytes before it, repeat where ``sure``; those whose last anchor is within ``bound`` bytes
     (-1: none) may."""
-    positions, suffixes = suffix_ranks(strings, length, parts)
+    positions, suffixes = suffix_ranks(strings, length, parts, size)
     some = suffixes.groupBy("row").agg(F.collect_list(F.struct("i", "rank")).alias("all"))
     prefixes = strings.select("row", "c", "v").join(some, "row").select("c", "v", "all").mapInArrow(_prefixes(length), "rank long, names array<long>, covers array<int>")
     ordered = prefixes.repartition(parts, F.shiftright("rank", 38)).sortWithinPartitions("rank")
-    classes = written(ordered.mapInArrow(_compared, "rank long, class long, shared int, cover int"), "repeats-classes")
+    classes = written(ordered.mapInArrow(_compared, "rank long, class long, shared int, cover int"), "repeats-classes", size)
     told = suffixes.select(*KEY, "rank").join(classes, "rank")
     found = positions.select("row", "i", *KEY).join(told, list(KEY)).groupBy("row").agg(F.collect_list(F.struct("i", "class", "shared", "cover")).alias("all"))
-    rows = written(strings.select("row", "at", "c", "v").join(found, "row").mapInArrow(_contexts(length), "row long, at int, left int, before long, class long, shared int, cover int"), "repeats-contexts")
+    rows = written(strings.select("row", "at", "c", "v").join(found, "row").mapInArrow(_contexts(length), "row long, at int, left int, before long, class long, shared int, cover int"), "repeats-contexts", size)
     discard(positions, suffixes, classes)
     groups = rows.groupBy("class", "before").agg(F.count("*").alias("n"), F.first("row").alias("one_row"), F.first("at").alias("one_at"))
-    groups = written(groups, "repeats-groups")
+    groups = written(groups, "repeats-groups", size)
     several = groups.groupBy("class").agg(F.sum("n").alias("members"), ((F.count("*") > 1) | F.max((F.col("before") == 0) & (F.col("n") > 1))).alias("several"))
     all_ = rows.join(groups.join(several, "class"), ["class", "before"])
     settled = F.col("before") != 0
     met = F.when(F.col("several"), F.col("cover")).otherwise(F.col("shared"))
     other = settled & (F.col("n") > 1) & ~((F.col("row") == F.col("one_row")) & (F.col("at") == F.col("one_at")))
-    out = written(all_.select("row", "at", "left", (settled & (F.col("n") > 1)).alias("sure"), F.when(other, -1).otherwise(met).cast("int").alias("bound")), "repeats-marks")
+    out = written(all_.select("row", "at", "left", (settled & (F.col("n") > 1)).alias("sure"), F.when(other, -1).otherwise(met).cast("int").alias("bound")), "repeats-marks", size)
     discard(rows, groups)
     return out
 
@@ -554,8 +557,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     numbered = only(documents, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     texts = written(numbered, "repeats-texts")
     phrases = repeated_phrases(texts, parts)
-    strings = written(_strings(phrases, length), "repeats-strings")
-    marks = contexts(strings, length, parts)
+    strings = written(_strings(phrases, length), "repeats-strings", texts.count())
+    size = strings.agg(F.coalesce(F.sum(F.size("c")), F.lit(0))).first()[0]
+    marks = contexts(strings, length, parts, size)
     folder = new_folder(documents.sparkSession, "repeats")
     files = _filed(marks, MARK, f"{folder}/marks", parts)
     starts = repeated_windows(texts, f"{folder}/marks", files, length, parts)
