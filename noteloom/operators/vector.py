@@ -113,7 +113,7 @@ def embed(notes: DataFrame, dims: int = 64, most: int = 4000) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["path", "vec"])
 
-    hashed = F.transform(T.tokens(text), lambda t: F.xxhash64(t))
+    hashed = F.transform(T.tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
     return notes.select("path", hashed.alias("slots")).mapInArrow(run, "path string, vec array<float>")
 
 

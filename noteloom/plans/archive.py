@@ -430,7 +430,9 @@ def missed_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def embedded_notes(spark: SparkSession, sf: str) -> DataFrame:
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return vector.embed(D.notes(spark, sf)).select("path", F.size("vec").alias("dims"), F.round(norm, 3).alias("norm"))
+    # The order of the slots by value tells all values but for their common scale, which is the norm.
+    order = F.transform(F.sort_array(F.transform("vec", lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), lambda s: s["i"])
+    return vector.embed(D.notes(spark, sf)).select("path", F.size("vec").alias("dims"), F.round(norm, 3).alias("norm"), F.array_join(order.cast("array<string>"), ",").alias("slots"))
 
 
 def embedded_parts(spark: SparkSession, sf: str) -> DataFrame:

@@ -128,7 +128,10 @@ ORACLES = {
     "threshold_triggers": "SELECT CAST(user_id AS VARCHAR) AS key, CAST(unnest(range(1, count(*) // 10 + 1)) AS BIGINT) AS trigger FROM events GROUP BY user_id",
     "last_runs": "SELECT event_type AS key, CAST(round((100000000 - max(event_id) * 1000) / 1000) AS BIGINT) AS ago_s, CAST(arg_max(user_id, event_id) % 500 AS BIGINT) AS took_ms, CASE WHEN arg_max(user_id, event_id) % 4 = 0 THEN 'failed' END AS error FROM events GROUP BY event_type",
     "missed_paths": "SELECT CAST(event_id AS VARCHAR) AS path, CAST(ts AS VARCHAR) AS ts FROM (SELECT event_id, events.ts AS ts FROM events WHERE event_type <> 'error' ORDER BY events.ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 10)",
-    "embedded_notes": f"{_N} SELECT path, CAST(64 AS INTEGER) AS dims, CASE WHEN len({TOKENS_SQL.format('substring(title || chr(10) || body, 1, 4000)')}) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM notes",
+    "embedded_notes": f"""{_N}, tok AS (SELECT path, {TOKENS_SQL.format('substring(title || chr(10) || body, 1, 4000)')} AS ts FROM notes),
+      slot AS (SELECT path, CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % 64 AS i, count(*) AS n FROM (SELECT path, unnest(ts) AS t FROM tok) GROUP BY ALL),
+      filled AS (SELECT tok.path, r.i, coalesce(n, 0) AS n FROM tok CROSS JOIN range(64) r(i) LEFT JOIN slot ON slot.path = tok.path AND slot.i = r.i)
+      SELECT path, CAST(64 AS INTEGER) AS dims, CASE WHEN sum(n) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm, string_agg(CAST(i AS VARCHAR), ',' ORDER BY n DESC, i) AS slots FROM filled GROUP BY path""",
     "embedded_parts": f"{_N} SELECT path, CAST(CASE WHEN doc_id % 4 <> 0 THEN 64 ELSE -1 END AS INTEGER) AS title, CAST(CASE WHEN trim(body) <> '' THEN 64 ELSE -1 END AS INTEGER) AS body, CAST(CASE WHEN doc_id % 3 = 0 THEN 64 ELSE -1 END AS INTEGER) AS summary FROM notes",
     "expanded_queries": f"WITH {D.QUERIES_SQL} SELECT query_id, query, CASE WHEN query_id = 1 THEN 'known answer' WHEN length(query) > 14 THEN 'about ' || query ELSE query END AS text, query_id <> 1 AS fresh FROM queries",
     "classified_notes": f"{_N} SELECT path, CASE WHEN length(body) > 2000 THEN 'Long' WHEN length(body) < 500 THEN 'short' END AS label FROM notes",

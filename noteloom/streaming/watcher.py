@@ -75,7 +75,8 @@ class _Watcher(StatefulProcessor):
                 del pending[oldest]
                 told.append((oldest, int(now), "evicted"))
         self._store(was, pending, waiting)
-        yield self._rows(key[0], told)
+        if told:
+            yield self._rows(key[0], told)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         was = self._load()
@@ -83,7 +84,8 @@ class _Watcher(StatefulProcessor):
         told: list[tuple] = []
         self._run(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), pending, waiting, told)
         self._store(was, pending, waiting, fired=True)
-        yield self._rows(key[0], told)
+        if told:
+            yield self._rows(key[0], told)
 
     def _store(self, was: tuple[dict, dict], pending: dict[str, int], waiting: dict[str, int], fired: bool = False) -> None:
         for state, old, new in ((self.pending, was[0], pending), (self.waiting, was[1], waiting)):
@@ -104,7 +106,7 @@ class _Watcher(StatefulProcessor):
             self.timer.update((then,))
 
     def _rows(self, root: str, told: list[tuple]) -> pd.DataFrame:
-        path, at, outcome = zip(*told) if told else ((), (), ())
+        path, at, outcome = zip(*told)
         return pd.DataFrame({"root": [root] * len(told), "path": list(path), "at_ms": pd.Series(list(at), dtype="int64"), "outcome": list(outcome)})
 
     def close(self) -> None:
