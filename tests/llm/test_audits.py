@@ -197,7 +197,9 @@ def prose(rng, n):
     return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
 
-def test_repeats_equal_all_windows(spark):
+@pytest.mark.parametrize("parts", [1, 13])
+def test_repeats_equal_all_windows(spark, monkeypatch, parts):
+    monkeypatch.setattr(repeats, "parts_for", lambda *_: parts)
     rng = random.Random(12)
     base = prose(rng, 900)
     rows = [(i, prose(rng, rng.randint(20, 300))) for i in range(12)]
