@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.shared import discard, map_file, mix, new_folder, only, parts_for, put_file, slices, text_buffers, written
+from noteloom.llm.shared import discard, let_go, map_file, mix, new_folder, only, parts_for, put_file, slices, text_buffers, written
 
 LENGTH, GRAM, EVERY = 400, 12, 48
 SLICE = 2 << 20
@@ -137,6 +137,7 @@ def repeated_phrases(texts: DataFrame, parts: int) -> DataFrame:
     """(row, at, size, name) of every phrase that occurs twice; names ascend with the hash."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches, 10_000, SLICE):
             data, offsets = text_buffers(batch.column(1))
             at, text = anchors(data, offsets)
@@ -146,6 +147,7 @@ def repeated_phrases(texts: DataFrame, parts: int) -> DataFrame:
                 yield _packed(parts, *Sums(data).of(start, end), batch.column(0).to_numpy()[text[k]], start - offsets[text[k]], (end - start - GRAM).astype(np.uint32))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part, (high, low, row, at, size) in _unpacked(batches, np.uint32, np.uint32):
             order, key = _more_than_once(high, low)
             columns = (row[order], at[order].astype(np.int32), size[order].astype(np.int32), (part << 38) + key + 1)
@@ -270,6 +272,7 @@ def _after(keys: list[np.ndarray], wanted: list[np.ndarray], ranks: np.ndarray)
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge suffixes at 0 modulo 3 into the sampled ones of a range of first triples."""
+    let_go()
     all_ = [b for b in batches if b.num_rows]
     if not all_:
         return
@@ -357,6 +360,7 @@ def _prefixes(length: int):
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rank, class, shared, cover) by comparing the names of neighbours in the order of ranks."""
+    let_go()
     all_ = [b for b in batches if b.num_rows]
     if not all_:
         return
@@ -521,6 +525,7 @@ def repeated_windows(texts: DataFrame, folder: str, files: set[int], length: int
     """(row, at) of the compared windows whose hash occurs again, without those known to repeat."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches, 10_000, SLICE):
             rows = batch.column(0).to_numpy()
             data, offsets = text_buffers(batch.column(1))
@@ -532,6 +537,7 @@ def repeated_windows(texts: DataFrame, folder: str, files: set[int], length: int
                 yield _packed(parts, high, (low >> np.uint32(16)).astype(np.uint16), rows[text], start - offsets[text], unknown)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for _, (high, low, row, at, unknown) in _unpacked(batches, np.uint16, np.bool_):
             order, _ = _more_than_once(high, low)
             order = order[unknown[order]]
@@ -567,6 +573,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(strings, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches, 10_000, SLICE):
             rows = batch.column(0).to_numpy()
             data, offsets = text_buffers(batch.column(2))
