@@ -43,7 +43,7 @@ def test_leases_end_without_a_request(drained):
 
 
 def test_watcher_waits_for_quiet_and_bounds_what_it_tracks(drained):
-    first = [("r", "a", 0, False), ("r", "a", 1000, False), ("r", "b", 1200, False), ("r", "c", 1300, False), ("r", "a", 3000, True)]
+    first = [("r", "a", 10, False), ("r", "a", 1000, False), ("r", "b", 1200, False), ("r", "c", 1300, False), ("r", "a", 3000, True)]
     second = [("r", "z", 60_000, False), ("q", "a", 60_000, True)]
     got = drained([first, second], "root string, path string, ms long, own boolean", lambda s: watched(s, 1500, 5000, 2, "10 seconds"))
     # a is evicted when c comes third, so its own event finds nothing; b and c fall quiet and are missed.
@@ -51,9 +51,9 @@ def test_watcher_waits_for_quiet_and_bounds_what_it_tracks(drained):
 
 
 def test_watcher_sees_the_apps_event_in_time(drained):
-    first = [("r", "a", 0, False), ("r", "a", 2000, True), ("r", "b", 5000, False), ("r", "b", 20_000, True)]
+    first = [("r", "a", 10, False), ("r", "a", 2000, True), ("r", "b", 5000, False), ("r", "b", 20_000, True)]
     got = drained([first, [("r", "y", 90_000, False)]], "root string, path string, ms long, own boolean", lambda s: watched(s, 1500, 5000, 500, "10 seconds"))
-    assert got == sorted([("r", "a", 1500, "stable"), ("r", "a", 2000, "seen"), ("r", "b", 6500, "stable"), ("r", "b", 11_500, "missed")])
+    assert got == sorted([("r", "a", 1510, "stable"), ("r", "a", 2000, "seen"), ("r", "b", 6500, "stable"), ("r", "b", 11_500, "missed")])
 
 
 def test_prefix_look_up_over_ranges(spark, monkeypatch):
