@@ -93,3 +93,11 @@ def test_rows_without_a_signature_come_last_if_kept(spark):
     q = spark.createDataFrame([(1, "0" * 32), (2, None)], "query_id int, sh string")
     got = [(r["query_id"], r["path"], r["distance"]) for r in vector.signature_search(df, q, 20, 10, keep_unsigned=True).orderBy("query_id", "rank").collect()]
     assert got == [(1, "a", 0), (1, "b", None), (2, "a", None), (2, "b", None), (2, "c", None)]
+
+
+def test_every_band_is_asked_with_its_own_value(spark):
+    """Signatures that agree in one band only, whichever that is (the band's number was once taken for the mask's)."""
+    q = "0" * 32
+    rows = [(k, "".join("0000" if i == k else "f000" for i in range(8))) for k in range(8)]
+    found = vector.near_signatures(spark.createDataFrame(rows, "path int, sh string").select("sh"), spark.createDataFrame([(q,)], "q_sh string"), 28)
+    assert {r["sh"]: r["distance"] for r in found.collect()} == {sh: 28 for _, sh in rows}
