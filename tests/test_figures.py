@@ -10,3 +10,9 @@ def test_counts_are_shown_by_their_exact_value(spark):
     """2.25 is a tie and goes to the even digit; 1.45 lies just below the tie, 2.35 just above it."""
     df = spark.createDataFrame([(2_250_000,), (1_450_000,), (2_350_000,), (1250,), (999_999,), (999,)], "n int")
     assert [r[0] for r in df.select(T.compact_count(F.col("n"))).collect()] == ["2.2M", "1.4M", "2.4M", "1.2k", "1000.0k", "999"]
+
+
+def test_capitals_beside_accented_letters_are_technical(spark):
+    """Letters outside ASCII end a word here, as in the SQL's patterns."""
+    df = spark.createDataFrame([("x" * 500 + " ÉABC" * 6,), ("x" * 500 + " ABCé" * 6,), ("x" * 500 + " aABC" * 6,)], "body string")
+    assert [r[0] for r in df.select(T.graded_difficulty(F.col("body"))).collect()] == [2, 2, 1]
