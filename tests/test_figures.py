@@ -16,3 +16,9 @@ def test_capitals_beside_accented_letters_are_technical(spark):
     """Letters outside ASCII end a word here, as in the SQL's patterns."""
     df = spark.createDataFrame([("x" * 500 + " ÉABC" * 6,), ("x" * 500 + " ABCé" * 6,), ("x" * 500 + " aABC" * 6,)], "body string")
     assert [r[0] for r in df.select(T.graded_difficulty(F.col("body"))).collect()] == [2, 2, 1]
+
+
+def test_cosines_are_shown_rounded_as_doubles(spark):
+    """0.53175 times 10,000 lies below the tie."""
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.53175, (1 - 0.53175**2) ** 0.5])], "path string, vec array<double>")
+    assert {r["why"][0] for r in graph.cosine_edges(df, 0.3).collect()} == {"cosine 0.5317"}
