@@ -242,3 +242,27 @@ def test_a_refined_profile_or_the_extracted_one(spark):
     own = spark.createDataFrame([("a", "s", "rule", "local"), (None, "s", "rule", "local")], "path string, sha string, summary string, source string")
     model = spark.createDataFrame([("a", "s", "better"), ("b", "s", "none")], "path string, sha string, summary string")
     assert {tuple(r) for r in enrich.profiles(own, model).select("path", "summary", "source").collect()} == {("a", "better", "model"), (None, "rule", "local")}
+
+
+def test_seeded_communities_beyond_the_sequential_bound(spark):
+    """More edges than the sequential form takes: it raised, the seeded one goes on."""
+    pairs = spark.createDataFrame([(f"{g}{i}", f"{g}{j}", 1.0) for g in "xyz" for i in range(5) for j in range(i)] + [("x0", "y0", 1.0), ("y1", "z1", 1.0)], "a string, b string, weight double")
+    rows = community.seeded(pairs, most=10).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["community_id"], set()).add(r["path"][0])
+    assert len(rows) == 15 and sorted(map(sorted, groups.values())) == [["x"], ["y"], ["z"]]
+
+
+@pytest.mark.parametrize("most", [0, 12, 1000])
+def test_components_in_tasks_and_in_tables(spark, most):
+    """Cliques joined by a bridge, two large components and two small ones: by tables, mixed and in tasks alike."""
+    rows = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abcdpq" for i in range(5) for j in range(i)] + [("a0", "b0", 1.0), ("c0", "d0", 1.0)]
+    pairs = spark.createDataFrame(rows, "a string, b string, weight double")
+    found = community.communities(pairs, most=most).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["community_id"], set()).add(r["path"][0])
+    assert sorted(map(sorted, groups.values())) == [[g] for g in "abcdpq"] and sorted(groups) == list(range(6))
+    part = spark.createDataFrame([(r["path"], r["community_id"]) for r in found], "node string, community int")
+    assert {r["modularity"] for r in found} == {community.modularity(pairs, part).first()["q"]}
