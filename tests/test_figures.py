@@ -1,9 +1,11 @@
 """Figures that are printed or counted as the SQL does."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
-from noteloom.operators import graph
+from noteloom.operators import graph, lexical
 
 
 def test_counts_are_shown_by_their_exact_value(spark):
@@ -22,3 +24,31 @@ def test_cosines_are_shown_rounded_as_doubles(spark):
     """0.53175 times 10,000 lies below the tie."""
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.53175, (1 - 0.53175**2) ** 0.5])], "path string, vec array<double>")
     assert {r["why"][0] for r in graph.cosine_edges(df, 0.3).collect()} == {"cosine 0.5317"}
+
+
+def test_stems_equal_the_patterns(spark):
+    """Every ending on short and long words, and two endings after each other, beside the patterns themselves."""
+    endings = [x for s in T.SUFFIXES for x in s.strip("(?:)").split("|")] + [p for p, _ in T.PLURALS] + ["", "x", "ões", "ção"]
+    words = sorted({b + x + y for b in ("", "a", "ab", "abc", "coes", "amente", "casa") for x in endings for y in endings})
+
+    def stem(word):
+        t = word.translate(str.maketrans(T.ACCENTED, T.PLAIN))
+        if len(t) < 2:
+            return None
+        if len(t) >= 4:
+            for ending, single in T.PLURALS:
+                t = re.sub(ending + "$", single, t)
+        cuts = (re.sub(suffix + "$", "", t) for suffix in T.SUFFIXES)
+        return next((s for s in cuts if 3 <= len(s) < len(t)), t)
+
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s"))
+    assert {r["w"]: r["s"] for r in got.collect()} == {w: stem(w) for w in words}
+    assert "regexp_replace" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_the_index_reads_the_texts_once(spark):
+    """Its figures come from the stored postings: the texts' column is not in their plan."""
+    notes = spark.createDataFrame([("a", "um dois dois"), ("b", "tres"), ("c", "")], "path string, body string")
+    stats = lexical.lexical_index(notes)[2]
+    assert list(stats.first()) == [2, 2.0]
+    assert "body" not in stats._jdf.queryExecution().analyzed().toString()
