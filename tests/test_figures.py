@@ -52,3 +52,11 @@ def test_the_index_reads_the_texts_once(spark):
     stats = lexical.lexical_index(notes)[2]
     assert list(stats.first()) == [2, 2.0]
     assert "body" not in stats._jdf.queryExecution().analyzed().toString()
+
+
+def test_edges_travel_once_to_their_source(spark):
+    rows = spark.createDataFrame([("a", "b", "wikilink", 1.0, ["x"]), ("a", "b", "wikilink", 0.5, ["y"]), ("a", "b", "backlink", 1.0, ["z"]), ("a", "c", "backlink", 1.0, ["z"])], "src string, dst string, type string, weight double, why array<string>")
+    found = [graph.neighbours_by_dst(graph.merge([rows], by)) for by in (False, True)]
+    got = [[(r["src"], r["dst"], r["weight"], r["n_edges"], r["rank"]) for r in df.orderBy("rank").collect()] for df in found]
+    assert got[0] == got[1] == [("a", "b", 2.0, 2, 1), ("a", "c", 1.0, 1, 2)]
+    assert found[1]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
