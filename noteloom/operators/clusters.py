@@ -7,6 +7,9 @@ the other's centre less the radius, so a vector is sent only to clusters where t
 for the angle it looks for. Vectors travel packed, some thousand a row: a cluster's rows once for
 every row of vectors sent to it. Zero vectors have cosine 0 with all others and no angle; they are
 a cluster of their own that is never ruled out.
+
+Where many clusters are left open to a vector, sending it to each costs more than it spares. Such
+vectors stay together in bands, one task each, and all vectors pass by every band.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from noteloom.operators.common import materialised, top_per
 
 #: Vectors a centre stands for, centres at most (they and their radii go to every task), vectors packed in a row.
 PER_CENTRE, MOST_CENTRES, PACKED = 512, 2048, 2048
+#: Clusters a vector is sent to at most; vectors of a band; of them compared at once; pairs that wait to be ranked.
+SENT, BAND, SLICE, WAITING = 16, 32_768, 1024, 4_000_000
 #: Scores are rounded to six places, so one that looks equal may lie this much lower.
 ROUNDING = 1e-6
 
@@ -173,6 +179,23 @@ def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float) -> D
     return _compared(clusters, sent).mapInArrow(compare, f"a {clusters.kind}, b {clusters.kind}, cosine double")
 
 
+def _best(ids: np.ndarray, x: np.ndarray, its: np.ndarray, y: np.ndarray, k: int, barred: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of the ``k`` best others of each row of unit vectors ``x`` among ``y``, which stands in order of its keys."""
+    score = np.round(x @ y.T, 6)
+    _, code = np.unique(np.append(ids, its), return_inverse=True)
+    score[code[: len(ids), None] == code[None, len(ids) :]] = -np.inf
+    if barred is not None:
+        score[barred] = -np.inf
+    m = min(k, score.shape[1])
+    least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+    i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    by = np.lexsort((j, -score[i, j], i))
+    i, j = i[by], j[by]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j = i[place < k], j[place < k]
+    return i, j, score[i, j]
+
+
 def _nearest(compared: DataFrame, kind: str, k: int) -> DataFrame:
     """(path, neighbour, score): the ``k`` best of each pair of packed rows."""
 
@@ -181,31 +204,119 @@ def _nearest(compared: DataFrame, kind: str, k: int) -> DataFrame:
             for ids, x, _, its, y, _ in _blocks(batch):
                 ids, its_ = ids.to_numpy(zero_copy_only=False), its.to_numpy(zero_copy_only=False)
                 order = np.argsort(its_, kind="stable")  # equal scores then stand in order of the key
-                its_, score = its_[order], np.round(unit(x) @ unit(y[order]).T, 6)
-                _, code = np.unique(np.append(ids, its_), return_inverse=True)
-                score[code[: len(ids), None] == code[None, len(ids) :]] = -np.inf
-                m = min(k, score.shape[1])
-                least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
-                i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                by = np.lexsort((j, -score[i, j], i))
-                i, j = i[by], j[by]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[place < k], j[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i], its.type), pa.array(its_[j], its.type), pa.array(score[i, j])], ["path", "neighbour", "score"])
+                its_ = its_[order]
+                i, j, score = _best(ids, unit(x), its_, unit(y[order]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], its.type), pa.array(its_[j], its.type), pa.array(score)], ["path", "neighbour", "score"])
 
     return compared.mapInArrow(run, f"path {kind}, neighbour {kind}, score double")
 
 
+def opened(clusters: Clusters, asking: DataFrame) -> DataFrame:
+    """``asking`` (id, v, c, within) with ``many``: whether more than ``SENT`` clusters besides its own are left open to a vector."""
+    shared = asking.sparkSession.sparkContext.broadcast(clusters.reach)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = shared.value
+        step = max(1, 2_000_000 // len(reach.radii))
+        for whole in batches:
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
+                to = reach.of(unit(rows_of(batch.column(1))), batch.column(3).to_numpy())
+                to[np.arange(len(to)), batch.column(2).to_numpy()] = False
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to.sum(axis=1) > SENT)], ["id", "v", "c", "within", "many"])
+
+    return asking.select("id", "v", "c", "within").mapInArrow(run, f"id {clusters.kind}, v {clusters.vector}, c int, within double, many boolean")
+
+
+class _Band:
+    """Vectors whose best others are looked for, and those found so far outside of their own clusters.
+
+    Cosines are first compared as floats against the k-th best known, with room for their error; what comes
+    near is computed again.
+    """
+
+    def __init__(self, asked: pa.Table, k: int):
+        self.k, self.ids, self.own = k, asked.column(0).combine_chunks(), asked.column(2).to_numpy()
+        self.keys = self.ids.to_numpy(zero_copy_only=False)
+        self.x = unit(rows_of(asked.column(1).combine_chunks()))
+        self.narrow, self.room = self.x.astype(np.float32), 1e-6 + 1.2e-7 * self.x.shape[1]
+        within = asked.column(3).to_numpy()
+        self.least = np.where(within > np.pi, -2.0, np.cos(np.minimum(within, np.pi)))
+        self.found, self.waiting = pa.table({"i": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "neighbour": pa.array([], self.ids.type)}), 0
+
+    def see(self, batch: pa.RecordBatch) -> None:
+        batch = batch.take(pc.sort_indices(batch.column(0)))  # equal scores then stand in order of the key
+        its, y, c = batch.column(0), unit(rows_of(batch.column(1))), batch.column(2).to_numpy()
+        keys, narrow = its.to_numpy(zero_copy_only=False), y.astype(np.float32).T
+        for a in range(0, len(self.x), SLICE):
+            part = slice(a, a + SLICE)
+            near = self.narrow[part] @ narrow >= (self.least[part] - self.room).astype(np.float32)[:, None]
+            if np.count_nonzero(near) > 4 * self.k * len(near):
+                i, j, score = _best(self.keys[part], self.x[part], keys, y, self.k, self.own[part][:, None] == c[None, :])
+                i = i + a
+            else:
+                i, j = np.nonzero(near)
+                i = i + a
+                keep = (self.own[i] != c[j]) & (self.keys[i] != keys[j])
+                i, j = i[keep], j[keep]
+                score = np.round(np.einsum("nd,nd->n", self.x[i], y[j]), 6)
+            keep = score >= self.least[i]
+            self.add(i[keep], score[keep], its.take(pa.array(j[keep])))
+
+    def add(self, i: np.ndarray, score: np.ndarray, neighbour: pa.Array) -> None:
+        self.found = pa.concat_tables([self.found, pa.table({"i": pa.array(i, pa.int64()), "score": pa.array(score), "neighbour": neighbour})])
+        self.waiting += len(i)
+        if self.waiting > WAITING:
+            self.rank()
+
+    def rank(self) -> None:
+        """Of each vector only the ``k`` best stay."""
+        self.found = self.found.combine_chunks().sort_by([("i", "ascending"), ("score", "descending"), ("neighbour", "ascending")])
+        i = self.found.column("i").to_numpy()
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        last = place == self.k - 1
+        self.least[i[last]] = np.maximum(self.least[i[last]], self.found.column("score").to_numpy()[last])
+        self.found, self.waiting = self.found.filter(pa.array(place < self.k)), 0
+
+
+def _passed(clusters: Clusters, asking: DataFrame, k: int) -> DataFrame:
+    """(path, neighbour, score): the ``k`` best outside of its own cluster of every vector of ``asking`` (id, v, c, within)."""
+    cores, n = asking.sparkSession.sparkContext.defaultParallelism, asking.count()
+    if not n:
+        return asking.select(F.col("id").alias("path"), F.col("id").alias("neighbour"), F.lit(0.0).alias("score"))
+    bands = cores * -(-n // (cores * BAND))
+    asked = asking.select(F.pmod(F.xxhash64("id"), F.lit(bands)).cast("int").alias("band"), "id", "v", "c", "within")
+    passing = clusters.rows.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"), "id", "v", "c", F.lit(None).cast("double").alias("within"))
+    rows = asked.unionByName(passing).repartitionById(bands, F.col("band")).sortWithinPartitions(F.col("within").isNull()).drop("band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, band = [], None
+        for batch in batches:
+            first = batch.num_rows - batch.column(3).null_count
+            asked += [batch.slice(0, first)] if first else []
+            if first == batch.num_rows or not asked:
+                continue
+            band = band or _Band(pa.Table.from_batches(asked), k)
+            band.see(batch.slice(first))
+        if band:
+            band.rank()
+            path = band.ids.take(band.found.column("i").combine_chunks())
+            yield from pa.table({"path": path, "neighbour": band.found.column("neighbour"), "score": band.found.column("score")}).to_batches()
+
+    return rows.mapInArrow(run, f"path {clusters.kind}, neighbour {clusters.kind}, score double")
+
+
 def neighbours(vectors: DataFrame, key: str, vec: str, k: int = 12) -> DataFrame:
     """(path, neighbour, score, rank): the k most similar others of every row, no threshold, exact.
 
     A vector's own cluster gives its k-th best so far; it then goes to those clusters only that may
-    hold a better one.
+    hold a better one, or, where they are many, to a band.
     """
     clusters = clustered(vectors, key, vec)
     near = materialised(_nearest(_compared(clusters, clusters.rows.select("id", "v", "c", F.col("c").alias("own"))), clusters.kind, k), "own-cluster")
     best = [F.desc("score"), F.asc("neighbour")]
     kth = top_per(near, ["path"], best, k).where(F.col("rank") == k).select(F.col("path").alias("id"), F.acos(F.greatest(F.col("score") - ROUNDING, F.lit(-1.0))).alias("within"))
-    asking = clusters.rows.join(kth, "id", "left").na.fill(4.0, ["within"])
-    more = _nearest(_compared(clusters, probes(clusters, asking, once=False)), clusters.kind, k)
-    return near.unionByName(more).withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(*best))).where(F.col("rank") <= k)
+    asking = materialised(opened(clusters, clusters.rows.join(kth, "id", "left").na.fill(4.0, ["within"])), "asking")
+    more = _nearest(_compared(clusters, probes(clusters, asking.where("not many"), once=False)), clusters.kind, k)
+    found = near.unionByName(more).unionByName(_passed(clusters, asking.where("many"), k))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(*best))).where(F.col("rank") <= k)

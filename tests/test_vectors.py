@@ -101,3 +101,27 @@ def test_every_band_is_asked_with_its_own_value(spark):
     rows = [(k, "".join("0000" if i == k else "f000" for i in range(8))) for k in range(8)]
     found = vector.near_signatures(spark.createDataFrame(rows, "path int, sh string").select("sh"), spark.createDataFrame([(q,)], "q_sh string"), 28)
     assert {r["sh"]: r["distance"] for r in found.collect()} == {sh: 28 for _, sh in rows}
+
+
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_vectors_that_reach_many_clusters_pass_by_in_bands(spark, small_clusters, monkeypatch, key):
+    """Vectors without clusters, with copies and zero vectors: none is sent to every cluster, and the neighbours stay exact."""
+    monkeypatch.setattr(clusters, "SENT", 2)
+    monkeypatch.setattr(clusters, "SLICE", 32)
+    monkeypatch.setattr(clusters, "WAITING", 100)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    rows += [(i, rows[0][1]) for i in range(400, 430)] + [(430, [0.0] * 8), (431, [0.0] * 8)]
+    cos, unit = cosines(rows)
+    df = spark.createDataFrame(rows, "path long, vec array<double>").select(F.col("path").cast(key).alias("path"), "vec")
+    sent, make = [], clusters.probes
+    monkeypatch.setattr(clusters, "probes", lambda *a, **b: sent.append(make(*a, **b)) or sent[-1])
+    got = clusters.neighbours(df, "path", "vec", 5).collect()
+    assert sum(x.count() for x in sent) <= 2 * len(rows)
+    order = int if key == "long" else str
+    for i in unit:
+        own = sorted((r for r in got if r["path"] == order(i)), key=lambda r: r["rank"])
+        best = sorted((-cos[i, j], order(j)) for j in unit if j != i)[:5]
+        assert [r["score"] for r in own] == pytest.approx([-c for c, _ in best], abs=2e-6) and len({r["neighbour"] for r in own}) == 5
+        if i == 0 or i >= 400 and i < 430:  # ties among copies end in order of the key
+            assert [r["neighbour"] for r in own] == [j for _, j in best]
