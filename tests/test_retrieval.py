@@ -151,3 +151,13 @@ def test_stems_begin_as_their_openings_say(spark):
     words = ["acoes", "nações", "pães", "limões", "coes", "xoes", "xaes", "of", "mãos", "universidades", "rapidamente", "mar", "cães", "casas", "ados", "visões"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select(T.fold(F.col("w")).alias("f"), T.stem(F.col("w")).alias("s"))
     assert rows.where(~F.col("f").startswith(T.stem_opening(F.col("s")))).count() == 0
+
+
+def test_sister_notes_read_the_texts_once_for_profiles(spark, sf_dir, monkeypatch):
+    from noteloom.plans import retrieval
+    from noteloom.plans import tables as D
+
+    made, make = [], D.passports
+    monkeypatch.setattr(D, "passports", lambda *a: made.append(a) or make(*a))
+    retrieval.sister_notes(spark, sf_dir)
+    assert len(made) == 1
