@@ -150,3 +150,19 @@ def test_communities_after_a_small_change(spark):
     assert len({got[n] for n in left}) == len({got[n] for n in right}) == 1
     fresh = community.communities(df).first()["modularity"]
     assert rows.first()["modularity"] >= fresh - 0.005 and looked[0] == len(ends)
+
+
+def test_edges_by_type_travel_once(spark, sf_dir):
+    """Merging, summing and ranking by source need one exchange of the edges, besides that of the folders' first notes."""
+    from noteloom.plans import archive
+
+    plan = archive.neighbours_of_type(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(src#" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(src#" in x and "ENSURE_REQUIREMENTS" in x]
+
+
+def test_edge_stats_deal_edges_before_grouping(spark, sf_dir):
+    from noteloom.plans import knowledge
+
+    plan = knowledge.edge_stats(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
