@@ -166,3 +166,23 @@ def test_edge_stats_deal_edges_before_grouping(spark, sf_dir):
 
     plan = knowledge.edge_stats(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_kept_up_folder_edges_are_dealt_once_and_without_reasons(spark):
+    """Dropping and merging share one exchange, by folder, of one way of each pair; also where broadcasts are too large."""
+    files = spark.createDataFrame([(f"f{i % 5}/n{i}.md", 1) for i in range(40)] + [("f1/n1.md", 1)], "path string, mtime int")
+    changes = spark.createDataFrame([("f0/n0.md", 2, "delete"), ("f2/n90.md", 2, "create")], "path string, mtime int, kind string")
+    gone, now, keys = edgeupkeep.changed_rows(files, changes)
+    stored = graph.folder_edges(files)
+    got = edgeupkeep.merged_folder_upkeep(stored, gone, now, keys)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(src" not in plan and "hashpartitioning(a" not in plan
+    assert sorted(map(str, got.collect())) == sorted(map(str, graph.merge([graph.folder_edges(now)]).select(*got.columns).collect()))
+
+
+def test_profiles_that_lose_one_of_three_common_concepts_stay_paired(spark):
+    before = spark.createDataFrame([("a", ["x", "y", "z"]), ("b", ["x", "y", "z"]), ("c", ["x", "q"])], "path string, concepts array<string>")
+    changes = spark.createDataFrame([("b", ["y", "z"], "modify"), ("c", ["y", "z"], "modify")], "path string, concepts array<string>, kind string")
+    gone, now, keys = edgeupkeep.changed_rows(before, changes)
+    got = edgeupkeep.concept_upkeep(graph.concept_edges(before), gone, before, now, keys)
+    assert sorted(map(str, got.collect())) == sorted(map(str, graph.concept_edges(now).select(*got.columns).collect()))
