@@ -16,6 +16,9 @@ from noteloom.functions import text as T
 #: Extensions by modality.
 TEXT, IMAGE, AUDIO = ("md",), ("png", "jpg", "jpeg", "heic", "webp", "gif", "tiff"), ("m4a", "mp3", "wav", "aac", "flac", "ogg")
 
+#: Partitions of small files to one task.
+SCANNED = 16
+
 
 def excluded(path: Column, names: tuple[str, ...] = ()) -> Column:
     """Whether some segment of a path is hidden or named in ``names``."""
@@ -29,10 +32,16 @@ def _relative(root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:/+", "/"), "^" + plain.replace(".", r"\.") + "/", "")
 
 
+def _fewer(rows: DataFrame) -> DataFrame:
+    """A scan puts some 32 small files in a partition; a task takes up to ``SCANNED`` of those one after another."""
+    n, least = rows.rdd.getNumPartitions(), 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(least, -(-n // SCANNED))) if n > least else rows
+
+
 def files(spark: SparkSession, root: str, extensions: tuple[str, ...] = TEXT + IMAGE + AUDIO + ("pdf",), skip: tuple[str, ...] = ()) -> DataFrame:
     """(path, ext, mtime, size) of all enabled files below a folder; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    return found.withColumn("ext", T.extension(F.col("path"))).where(F.col("ext").isin(*extensions) & ~excluded(F.col("path"), skip)).select("path", "ext", "mtime", "size")
+    return _fewer(found.withColumn("ext", T.extension(F.col("path"))).where(F.col("ext").isin(*extensions) & ~excluded(F.col("path"), skip)).select("path", "ext", "mtime", "size"))
 
 
 def notes(spark: SparkSession, root: str, skip: tuple[str, ...] = (), most_bytes: int = 200_000, most_body: int = 50_000) -> DataFrame:
@@ -41,7 +50,7 @@ def notes(spark: SparkSession, root: str, skip: tuple[str, ...] = (), most_bytes
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root).where(F.col("length") <= most_bytes)
     rows = rows.select(_relative(root).alias("path"), F.col("modificationTime").alias("mtime"), F.try_validate_utf8(F.col("content").cast("string")).alias("ok"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     rows = rows.where(~excluded(F.col("path"), skip))
-    return rows.select("path", T.stem_name(F.col("path")).alias("title"), "content", F.substring(T.body_of(F.col("content")), 1, most_body).alias("body"), "mtime", F.sha2("content", 256).alias("sha"))
+    return _fewer(rows.select("path", T.stem_name(F.col("path")).alias("title"), "content", F.substring(T.body_of(F.col("content")), 1, most_body).alias("body"), "mtime", F.sha2("content", 256).alias("sha")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, key: str) -> DataFrame:

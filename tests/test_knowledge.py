@@ -266,3 +266,11 @@ def test_components_in_tasks_and_in_tables(spark, most):
     assert sorted(map(sorted, groups.values())) == [[g] for g in "abcdpq"] and sorted(groups) == list(range(6))
     part = spark.createDataFrame([(r["path"], r["community_id"]) for r in found], "node string, community int")
     assert {r["modularity"] for r in found} == {community.modularity(pairs, part).first()["q"]}
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    for i in range(640):
+        (tmp_path / f"n{i}.md").write_text(f"text {i}")
+    rows = vault.notes(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 12 and {r["content"] for r in rows.select("content").collect()} == {f"text {i}" for i in range(640)}
+    assert vault.files(spark, str(tmp_path)).rdd.getNumPartitions() == 12
