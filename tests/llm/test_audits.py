@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -222,6 +223,36 @@ def test_repeats_in_texts_of_two_letters(spark):
     assert removed(spark, rows) == brute_repeats(rows)
 
 
+def test_starts_are_filed_as_runs(spark, monkeypatch):
+    """A passage without a cut, between others: of its windows each is compared, and files hold them together."""
+    folders = []
+    own = repeats.repeated_windows
+
+    def noted(texts, folder, *rest):
+        folders.append(folder.rpartition("/")[0].removeprefix("file://"))
+        return own(texts, folder, *rest)
+
+    monkeypatch.setattr(repeats, "repeated_windows", noted)
+    rng = random.Random(3)
+    base = ""
+    while len(base) < 1400:  # no place of it is a cut
+        more = base + rng.choice("abcdefgh ")
+        last = np.frombuffer(more[-repeats.GRAM :].encode(), np.uint8)
+        base = base if len(repeats.anchors(last, np.array([0, len(last)]))[0]) else more
+    rows = [(i, prose(rng, 20) + base + prose(rng, 20)) for i in range(6)] + [(9, base[:399])]
+    assert removed(spark, rows) == brute_repeats(rows)
+    held = sum(f.stat().st_size for f in Path(folders[0], "starts").glob("*.bin"))
+    assert 0 < held <= 6 * 2 * 16  # some 1,000 windows a row, 12 bytes each before
+
+
+def test_positions_hold_no_derived_columns(spark):
+    strings = spark.createDataFrame([(0, [3, 5, 3, 5, 0], [200, 200, 200, 200, 400])], "row long, c array<long>, v array<int>")
+    positions, suffixes = repeats.suffix_ranks(strings, 400, 2, 5)
+    assert set(spark.read.parquet(positions.written_at).columns) == {"row", "i", "c0", "c1", "c2", "k", "r0", "r1", "r2"}
+    ranked = positions.join(suffixes.select(*repeats.KEY, "rank"), list(repeats.KEY)).orderBy("rank", "i").select("i").collect()
+    assert [r["i"] for r in ranked] == [2, 0, 3, 1]
+
+
 def test_repeats_of_odd_tables(spark, docs, no_docs, corpus):
     got = sorted(((*tuple(r)[:5], bytes(r["kept"])) for r in repeats.remove_repeats(docs).collect()), key=str)
     assert got == brute_repeats([(i, t) for i, t, *_ in corpus])
