@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import text as T
 from noteloom.functions.vectors import cosine, hamming, signature
-from noteloom.operators import fusion, lexical, vector
+from noteloom.operators import dictionary, fusion, lexical, vector
 
 
 def one(spark, column, *values):
@@ -161,3 +161,18 @@ def test_sister_notes_read_the_texts_once_for_profiles(spark, sf_dir, monkeypatc
     monkeypatch.setattr(D, "passports", lambda *a: made.append(a) or make(*a))
     retrieval.sister_notes(spark, sf_dir)
     assert len(made) == 1
+
+
+def test_words_of_other_domains_are_not_kept(spark, monkeypatch):
+    items = spark.createDataFrame([("a", "src1", "apple tree"), ("b", "src2", "apple pie"), ("c", None, "apple"), ("d", "src1", "pear")], "path string, domain string, title string")
+    items = items.select("*", F.lit("").alias("summary"), F.array().cast("array<string>").alias("keywords"))
+    queries = spark.createDataFrame([(1, "src1", "app"), (2, "src3", "app"), (3, None, "app"), (4, "src2", None)], "query_id int, domain string, query string")
+    tables, own = {}, dictionary.materialised
+
+    def noted(df, name):
+        tables[name] = own(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(dictionary, "materialised", noted)
+    assert sorted(map(tuple, dictionary.keyword_prefix(items, queries).collect())) == [(1, "a")]
+    assert {r["key"] for r in tables["item-words"].collect()} == {"src1\x00apple", "src1\x00tree", "src1\x00pear"}
