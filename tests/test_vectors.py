@@ -125,3 +125,12 @@ def test_vectors_that_reach_many_clusters_pass_by_in_bands(spark, small_clusters
         assert [r["score"] for r in own] == pytest.approx([-c for c, _ in best], abs=2e-6) and len({r["neighbour"] for r in own}) == 5
         if i == 0 or i >= 400 and i < 430:  # ties among copies end in order of the key
             assert [r["neighbour"] for r in own] == [j for _, j in best]
+
+
+def test_bodies_are_read_only_for_queries_without_vector(spark):
+    notes = spark.range(2).selectExpr("cast(id as string) path", "'t' title", "concat('some body', id) body", "array(1.0D, id + 0.5D) vec")
+    asked = spark.createDataFrame([(1, "body1", [1.0, 0.0])], "query_id int, query string, vec array<double>")
+    read = lambda df: "some body" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert not read(vector.search(notes, asked))
+    both = vector.search(notes, asked.union(asked.selectExpr("2", "query", "cast(null as array<double>)")))
+    assert read(both) and [(r["path"], r["score"]) for r in both.where("query_id = 2").collect()] == [("1", 0.5)]
