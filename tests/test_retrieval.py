@@ -79,6 +79,14 @@ def test_postings_cut_and_upsert(spark):
     assert {r["path"] for r in after.collect()} == {"q"} and after.count() == 2
 
 
+def test_stored_postings_keep_all_tokens(spark, tmp_path):
+    from noteloom.plans import retrieval
+
+    spark.createDataFrame([(1, " ".join(f"w{i:03d}x" for i in range(300)), "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = retrieval.stored_postings(spark, str(tmp_path)).collect()
+    assert [(r["kept"], r["sum_tf"], r["dl"]) for r in rows] == [(300, 300, 300)] and "200" not in retrieval.ORACLES["stored_postings"]
+
+
 @pytest.mark.parametrize(("a", "b", "mode", "want"), [
     ([1.0, 0.0], [1.0, 0.0], "prefix", 1.0), ([1.0, 0.0], [0.0, 1.0], "prefix", 0.0), ([0.0, 0.0], [1.0, 0.0], "prefix", 0.0),
     ([1.0, 0.0, 5.0], [1.0, 0.0], "prefix", 1.0), ([1.0, 0.0, 5.0], [1.0, 0.0], "strict", 0.0), ([], [1.0], "prefix", 0.0), (None, [1.0], "prefix", 0.0),
