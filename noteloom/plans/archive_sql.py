@@ -39,6 +39,7 @@ _INDEX_SEARCH = f"""{D.QUERIES_SQL}, t AS (SELECT path, unnest({TOKENS_SQL.forma
       terms AS (SELECT DISTINCT query_id, {_out} AS token FROM (SELECT query_id, {_base} AS b FROM (SELECT query_id, unnest({TOKENS_SQL.format('query')}) AS t FROM queries))),
       s AS (SELECT query_id, path, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, list_sort(list_distinct(list(token))) AS matched FROM terms JOIN cut USING (token) JOIN df USING (token) JOIN dl USING (path), stats GROUP BY query_id, path)
       SELECT query_id, path, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, array_to_string(matched, ',') AS matched FROM s WHERE score > 0 QUALIFY rank <= 30"""
+_WHOLE_SEARCH = _INDEX_SEARCH.replace(" QUALIFY row_number() OVER (PARTITION BY path ORDER BY tf DESC, pos) <= 200", "")
 _KEPT_UP = "notes AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CASE WHEN doc_id % 10 = 0 AND doc_id % 21 <> 0 THEN lang || ' ' || CAST(doc_id AS VARCHAR) ELSE text END AS body FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 <> 0 OR doc_id % 21 = 0)"
 
 ORACLES = {
@@ -111,7 +112,7 @@ ORACLES = {
     "type_histogram": f"{_CARDS} SELECT coalesce(note_type, 'none') AS note_type, count(*) AS n FROM cards GROUP BY 1",
     "domain_list": "SELECT DISTINCT source AS domain FROM documents",
     "bm25_lane": f"WITH {D.NOTES_SQL.replace('notes AS', 'allnotes AS')}, {D.QUERIES_SQL}, notes AS (SELECT path, substring(body, 1, 30000) AS body FROM allnotes ORDER BY path LIMIT 2000), {bm25_sql('r')} SELECT query_id, path, score, rank FROM r",
-    "lexical_index_search": f"{_N}, {_INDEX_SEARCH}",
+    "lexical_index_search": f"{_N}, {_WHOLE_SEARCH}",
     "lexical_index_stream": f"WITH {_KEPT_UP}, {_INDEX_SEARCH}",
     "passport_concepts": f"{_PASS} SELECT path FROM passports WHERE len(list_intersect(list_transform(concepts, lambda c: lower(c)), {[c.lower() for c in CONCEPTS]})) > 0",
     "keyword_average": f"""{_PASS}, k AS (SELECT list_append(concepts, domain) AS bag FROM passports), l AS (SELECT bag, list_transform(bag, lambda x: lower(x)) AS low FROM k)
