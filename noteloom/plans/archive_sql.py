@@ -6,7 +6,7 @@ from noteloom.functions import text as T
 from noteloom.operators import views
 from noteloom.plans import tables as D
 from noteloom.plans.archive import CONCEPTS
-from noteloom.plans.knowledge import _DATE, _EXAMPLES, _FOLDER, _GRAPH
+from noteloom.plans.knowledge import _EXAMPLES, _GRAPH, _WHOLE_FOLDER
 from noteloom.plans.retrieval import TOKENS_SQL, bm25_sql, stem_sql
 
 _N = f"WITH {D.NOTES_SQL}"
@@ -117,7 +117,7 @@ ORACLES = {
     "passport_concepts": f"{_PASS} SELECT path FROM passports WHERE len(list_intersect(list_transform(concepts, lambda c: lower(c)), {[c.lower() for c in CONCEPTS]})) > 0",
     "keyword_average": f"""{_PASS}, k AS (SELECT list_append(concepts, domain) AS bag FROM passports), l AS (SELECT bag, list_transform(bag, lambda x: lower(x)) AS low FROM k)
       SELECT count(*) AS items, round(avg(least(25, len(list_filter(bag, lambda x, i: list_position(low, lower(x)) = i AND length(x) >= 2)))), 1) AS average FROM l""",
-    "neighbours_of_type": f"WITH {_FOLDER}, {_DATE}, s AS (SELECT src, dst, weight, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INTEGER) AS rank, 'folder_path:0.3:' || why AS edges FROM fe) SELECT src, dst, weight, rank, edges FROM s WHERE rank <= 5",
+    "neighbours_of_type": f"WITH {_WHOLE_FOLDER}, s AS (SELECT src, dst, weight, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INTEGER) AS rank, 'folder_path:0.3:' || why AS edges FROM fe) SELECT src, dst, weight, rank, edges FROM s WHERE rank <= 5",
     "block_changes": f"{_N} SELECT path, CASE WHEN doc_id % 3 <> 0 THEN title END AS block, 'change' AS what FROM notes WHERE CASE WHEN doc_id % 3 <> 0 THEN doc_id % 4 = 0 OR doc_id % 5 = 0 ELSE doc_id % 4 <> 0 END UNION ALL SELECT path, NULL, 'clear' FROM notes WHERE doc_id % 4 <> 0",
     "label_edges": f"""{_N}, e AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE '1' END AS src, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE CAST(length(body) AS VARCHAR) END AS dst, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 't' END AS kind FROM notes)
       SELECT e.path, src, dst, kind, n.path AS note FROM e JOIN notes n ON CAST(n.doc_id AS VARCHAR) = e.src""",

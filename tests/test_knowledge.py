@@ -111,6 +111,29 @@ def test_split_of_a_community_in_two_parts(spark):
     assert {r["node"]: r["part"] for r in community.split_components(pairs, part).collect()} == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "c"}
 
 
+def orders(spark, folder, rows):
+    """A table of (order, customer, day of January)."""
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d int").selectExpr("o_orderkey", "o_custkey", "timestamp(date_add(date'2024-01-01', d)) o_orderdate", "'O' o_orderstatus").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def against_sql(spark, folder, name):
+    import duckdb
+
+    from noteloom.plans import catalog
+
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{folder}/orders.parquet/*.parquet'")
+    got, want = catalog.QUERIES[name](spark, folder), con.sql(catalog.ORACLES[name])
+    order = sorted(want.columns)
+    return sorted(map(tuple, got.select(*order).collect())), sorted(want.project(", ".join(order)).fetchall())
+
+
+def test_neighbours_of_type_sees_all_of_a_folder(spark, tmp_path):
+    got, want = against_sql(spark, orders(spark, tmp_path, [(k, 1, k) for k in range(60)] + [(100, 2, 0)]), "neighbours_of_type")
+    assert got == want and len(got) == 60 * 5
+
+
 def test_edges(spark):
     files = spark.createDataFrame([(f"f/{i:02d}.md",) for i in range(60)] + [("root.md",), ("other.md",)], "path string")
     assert graph.folder_edges(files).count() == 50 * 49
