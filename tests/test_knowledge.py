@@ -134,6 +134,11 @@ def test_neighbours_of_type_sees_all_of_a_folder(spark, tmp_path):
     assert got == want and len(got) == 60 * 5
 
 
+def test_split_communities_has_all_notes_of_a_folder(spark, tmp_path):
+    got, want = against_sql(spark, orders(spark, tmp_path, [(k, 1, k) for k in range(60)] + [(100, 2, 0), (101, 3, 0), (102, 3, 0)]), "split_communities")
+    assert got == want and len(got) == 62
+
+
 def test_edges(spark):
     files = spark.createDataFrame([(f"f/{i:02d}.md",) for i in range(60)] + [("root.md",), ("other.md",)], "path string")
     assert graph.folder_edges(files).count() == 50 * 49
