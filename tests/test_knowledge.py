@@ -139,6 +139,16 @@ def test_split_communities_has_all_notes_of_a_folder(spark, tmp_path):
     assert got == want and len(got) == 62
 
 
+def crowded(spark, folder):
+    """A folder of 60 orders, a day of 45, some of both, an order alone."""
+    return orders(spark, folder, [(k, 1, k % 50) for k in range(60)] + [(100 + k, 2 + k % 9, 200) for k in range(45)] + [(200, 50, 300), (201, 1, 200), (202, 2, 3)])
+
+
+def test_modularity_counts_large_folders_and_days(spark, tmp_path):
+    got, want = against_sql(spark, crowded(spark, tmp_path), "modularity")
+    assert got == want
+
+
 def test_edges(spark):
     files = spark.createDataFrame([(f"f/{i:02d}.md",) for i in range(60)] + [("root.md",), ("other.md",)], "path string")
     assert graph.folder_edges(files).count() == 50 * 49
