@@ -149,6 +149,11 @@ def test_modularity_counts_large_folders_and_days(spark, tmp_path):
     assert got == want
 
 
+def test_super_graph_joins_large_folders_and_days(spark, tmp_path):
+    got, want = against_sql(spark, crowded(spark, tmp_path), "super_graph")
+    assert got == want and len(got) > 45
+
+
 def test_edges(spark):
     files = spark.createDataFrame([(f"f/{i:02d}.md",) for i in range(60)] + [("root.md",), ("other.md",)], "path string")
     assert graph.folder_edges(files).count() == 50 * 49
