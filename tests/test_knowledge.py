@@ -1,6 +1,7 @@
 """Profiles, graph, communities, upkeep and streams on small fixtures."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +124,8 @@ def against_sql(spark, folder, name):
     from noteloom.plans import catalog
 
     con = duckdb.connect()
-    con.sql(f"create view orders as select * from '{folder}/orders.parquet/*.parquet'")
+    for table in os.listdir(folder):
+        con.sql(f"create view {table[:-8]} as select * from '{folder}/{table}/*.parquet'")
     got, want = catalog.QUERIES[name](spark, folder), con.sql(catalog.ORACLES[name])
     order = sorted(want.columns)
     return sorted(map(tuple, got.select(*order).collect())), sorted(want.project(", ".join(order)).fetchall())
@@ -154,6 +156,23 @@ def test_super_graph_joins_large_folders_and_days(spark, tmp_path):
     assert got == want and len(got) > 45
 
 
+def crowd(spark, folder):
+    """Folders, days, concepts, sources and vectors beyond every limit of the single builders."""
+    crowded(spark, folder)
+    spark.range(1100).selectExpr("id % 200 l_orderkey", "id l_partkey").unionByName(spark.range(60).selectExpr("1L l_orderkey", "id * 7 l_partkey")).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(1100).selectExpr("id p_partkey").write.parquet(f"{folder}/part.parquet")
+    texts = [(k, f"Common Shared word Own{k} and more" if k < 130 else f"Rare Pair{k // 2} here Again{k // 2}", "en", "s") for k in range(160)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    near = "transform(sequence(1, 8), k -> float(sin((id + 1) * 37 * k) + if(id >= 1990, 3, 0)))"
+    spark.range(2060).selectExpr("id vec_id", f"{near} embedding", "0 label").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_edge_stats_count_all_partners(spark, tmp_path):
+    got, want = against_sql(spark, crowd(spark, tmp_path), "edge_stats")
+    assert got == want and dict((kind, n) for n, kind in got)["entity_overlap"] >= 130 * 129
+
+
 def test_edges(spark):
     files = spark.createDataFrame([(f"f/{i:02d}.md",) for i in range(60)] + [("root.md",), ("other.md",)], "path string")
     assert graph.folder_edges(files).count() == 50 * 49
