@@ -173,6 +173,17 @@ def test_edge_stats_count_all_partners(spark, tmp_path):
     assert got == want and dict((kind, n) for n, kind in got)["entity_overlap"] >= 130 * 129
 
 
+def test_multiplex_union_has_all_partners(spark, tmp_path):
+    got, want = against_sql(spark, crowd(spark, tmp_path), "multiplex_union")
+    assert got == want
+
+
+def test_buckets_of_many_chunks_have_all_pairs(spark):
+    rows = spark.createDataFrame([(f"n{k:02d}", k % 2) for k in range(41)] + [("n00", 0), (None, 0)], "path string, day int")
+    got = sorted(tuple(r) for r in graph.all_bucket_pairs(rows, "day", most=6).collect())
+    assert got == sorted((d, f"n{a:02d}", f"n{b:02d}") for d in (0, 1) for a in range(d, 41, 2) for b in range(a + 2, 41, 2))
+
+
 def test_edges(spark):
     files = spark.createDataFrame([(f"f/{i:02d}.md",) for i in range(60)] + [("root.md",), ("other.md",)], "path string")
     assert graph.folder_edges(files).count() == 50 * 49
