@@ -134,3 +134,27 @@ def test_bodies_are_read_only_for_queries_without_vector(spark):
     assert not read(vector.search(notes, asked))
     both = vector.search(notes, asked.union(asked.selectExpr("2", "query", "cast(null as array<double>)")))
     assert read(both) and [(r["path"], r["score"]) for r in both.where("query_id = 2").collect()] == [("1", 0.5)]
+
+
+@pytest.mark.parametrize("blocks", [(65_536, 65_536, 256, 8192), (7, 40, 3, 16)])
+def test_wide_radii_count_all_pairs_and_keep_the_nearest(spark, monkeypatch, blocks):
+    for name, size in zip(("ASKED", "HELD", "ASKED_AT_ONCE", "HELD_AT_ONCE"), blocks):
+        monkeypatch.setattr(vector, name, size)
+    monkeypatch.setattr(vector, "near_signatures", None)  # its probes, some 5,600 a signature, aren't made
+    rng = random.Random(5)
+    base = [rng.getrandbits(128) for _ in range(4)]
+    signs = [base[k % 4] ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 24))) for k in range(150)]
+    signs[20:40] = [signs[20]] * 20  # equal ones, more than are listed
+    rows = spark.createDataFrame([(k, f"{x:032x}") for k, x in enumerate(signs)] + [(900, None)], "path long, sh string")
+    asked = rows.where("path % 5 = 0 and sh is not null").select(F.col("path").alias("query_id"), "sh")
+    got = sorted(tuple(r) for r in vector.signature_search(rows, asked, 31, 6).select("query_id", "rank", "distance", "path").collect())
+    near = lambda q: sorted((bin(signs[q] ^ x).count("1"), k) for k, x in enumerate(signs) if bin(signs[q] ^ x).count("1") <= 31)[:6]
+    assert got == [(q, n + 1, d, k) for q in range(0, 150, 5) for n, (d, k) in enumerate(near(q))]
+
+
+def test_signatures_by_batch_equal_the_column_function(spark):
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(24)]) for k in range(60)] + [(60, [0.0] * 24), (61, None), (62, []), (63, [1.5, -2.0]), (64, [1.0] * 40), (65, [float("nan"), 1.0]), (66, [None, 1.0])]
+    df = spark.createDataFrame(rows, "path long, vec array<float>").repartition(3)
+    want = {r["path"]: r["sh"] for r in df.select("path", signature(F.col("vec"), "mixed", 32).alias("sh")).collect()}
+    assert {r["path"]: r["sh"] for r in vector.signed(df, "path", "vec", 32).collect()} == want
